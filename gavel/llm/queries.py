@@ -9,6 +9,7 @@ from gavel.llm.common import table
 from gavel.llm.license_scan import scan_licenses
 from gavel.llm.quality_rules import JUDGE_SQL, judge_quality
 from gavel.llm.secret_scan import scan_secrets
+from gavel.llm.simhash import hex16, near_duplicates
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,10 +28,16 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op5_license_scan": op5_license_scan,
     "op9_secret_scan": op9_secret_scan,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLES: dict[str, str] = {
