@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gavel.llm.common import table
 from gavel.llm.license_scan import scan_licenses
+from gavel.llm.line_dedup import REPORT_SQL, line_report
 from gavel.llm.quality_rules import JUDGE_SQL, judge_quality
 from gavel.llm.secret_scan import scan_secrets
 from gavel.llm.simhash import hex16, near_duplicates
@@ -16,6 +17,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_report(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -35,6 +41,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
+    "op4_line_dedup": op4_line_dedup,
     "op5_license_scan": op5_license_scan,
     "op9_secret_scan": op9_secret_scan,
     "op10_simhash": op10_simhash,
@@ -42,4 +49,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op3_quality_rules": JUDGE_SQL,
+    "op4_line_dedup": REPORT_SQL,
 }
