@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavel.llm.common import table
+from gavel.llm import language_id
+from gavel.llm.common import remainder, table
 from gavel.llm.license_scan import scan_licenses
 from gavel.llm.line_dedup import REPORT_SQL, line_report
 from gavel.llm.quality_rules import JUDGE_SQL, judge_quality
@@ -13,6 +14,13 @@ from gavel.llm.secret_scan import scan_secrets
 from gavel.llm.simhash import hex16, near_duplicates
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = language_id.fit(docs, remainder("doc_id", 4) != 2)
+    held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out")
+    return language_id.predict(docs, net).select("doc_id", held_out, "lang_pred", "score")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents"))
 
@@ -40,6 +48,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op3_quality_rules": op3_quality_rules,
     "op4_line_dedup": op4_line_dedup,
     "op5_license_scan": op5_license_scan,
