@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavel.llm import language_id, toxicity
+from gavel.llm import language_id, quality_classifier, toxicity
 from gavel.llm.common import remainder, table
 from gavel.llm.license_scan import scan_licenses
 from gavel.llm.line_dedup import REPORT_SQL, line_report
@@ -41,6 +41,14 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    stats = quality_classifier.with_statistics(docs, "doc_id", "text")
+    model = quality_classifier.fit(stats, labels.where(remainder("doc_id", 5) != 0), remainder("doc_id", 5) == 1)
+    held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out")
+    return quality_classifier.score(stats, model).select("doc_id", held_out, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"))
     return found.select(
@@ -60,6 +68,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_line_dedup": op4_line_dedup,
     "op5_license_scan": op5_license_scan,
+    "op6_quality_classifier": op6_quality_classifier,
     "op9_secret_scan": op9_secret_scan,
     "op10_simhash": op10_simhash,
 }
