@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gavel.llm import language_id, quality_classifier, toxicity
 from gavel.llm.common import remainder, table
+from gavel.llm.decontaminate import find_leaks
 from gavel.llm.license_scan import scan_licenses
 from gavel.llm.line_dedup import REPORT_SQL, line_report
 from gavel.llm.quality_rules import JUDGE_SQL, judge_quality
@@ -49,6 +50,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(stats, model).select("doc_id", held_out, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"))
     return found.select(
@@ -69,6 +74,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_license_scan": op5_license_scan,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_decontamination": op7_decontamination,
     "op9_secret_scan": op9_secret_scan,
     "op10_simhash": op10_simhash,
 }
