@@ -12,8 +12,8 @@ A passage's cosine cannot exceed the share of its weight that lies on words of t
 passages below that share are not projected; this loses no candidate.
 
 The benchmark is the query set: it is worked through in blocks of about ``BLOCK`` items, each with
-its own latent space, so that what is broadcast is bounded whatever its size. Texts are never
-shuffled; only word counts are, pre-aggregated by partition.
+its own latent space, so that what is broadcast is bounded whatever its size. Texts and
+items are lower-cased throughout, accented letters too. Texts are never shuffled; only word counts are, pre-aggregated by partition.
 
 Defined results: a null, empty or wordless text or item matches nothing; rows that repeat an id
 or an item give a pair each, of which one stays; a null id is an id like any other; an empty
@@ -191,7 +191,7 @@ def fit_block(block: DataFrame, idf: np.ndarray, id_col: str, text_col: str) ->
     """The latent space of one block of items, at most about ``BLOCK`` of them."""
     answers = F.col("answer").cast("string") if "answer" in block.columns else F.lit(None).cast("string")
     items = []
-    for r in block.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), answers.alias("answer")).collect():
+    for r in block.select(F.col(id_col).alias("id"), F.lower(text_col).alias("text"), F.lower(answers).alias("answer")).collect():
         if words := hashed(r["text"]):
             items.append(Item(r["id"], words, hashed(r["answer"] or last_sentence(r["text"]))))
     if not items:
@@ -281,7 +281,7 @@ def blocks_of(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: st
     n = benchmark.count()
     if not n:
         return
-    counts, total = document_frequencies(docs.select(text_col))
+    counts, total = document_frequencies(docs.select(F.lower(text_col)))
     idf = np.log((1 + total) / (1 + counts)).astype(np.float32) + np.float32(1e-3)
     n_blocks = -(-n // BLOCK)
     for k in range(n_blocks):
@@ -312,7 +312,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
         names = [pa.field(id_col, pa.int64()), pa.field(item_col, arrow_type(kinds[1]))]
         names += [pa.field(n, pa.null()) for n in ("cosine", "covered", "answer_found", "first_word")]
-        part = docs.select(id_col, text_col).mapInArrow(run, schema)
+        part = docs.select(id_col, F.lower(text_col)).mapInArrow(run, schema)
         found = part if found is None else found.union(part)
     if found is None:
         return docs.sparkSession.createDataFrame([], schema)
@@ -326,7 +326,7 @@ def arrow_type(kind: T.DataType) -> pa.DataType:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows whose text holds no item, with the columns of the input: a map without shuffle."""
-    kept, place = docs, docs.columns.index(text_col)
+    kept, place = docs, len(docs.columns)
     for latent in blocks_of(docs, benchmark, text_col, item_col, item_text_col):
         held = docs.sparkSession.sparkContext.broadcast(latent)
 
@@ -338,7 +338,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
                 for low, high in spans(at):
                     for leak in find_in(latent, data, at[low : high + 1], tables):
                         clean[low + leak.row] = False
-                yield rows.filter(pa.array(clean))
+                yield rows.filter(pa.array(clean)).select(list(range(place)))
 
-        kept = kept.mapInArrow(run, docs.schema)
+        kept = kept.select(*[F.col(f"`{c}`") for c in docs.columns], F.lower(text_col).alias("__lower")).mapInArrow(run, docs.schema)
     return kept
