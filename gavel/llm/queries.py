@@ -10,6 +10,7 @@ from gavel.llm.common import remainder, table
 from gavel.llm.decontaminate import find_leaks
 from gavel.llm.license_scan import scan_licenses
 from gavel.llm.line_dedup import REPORT_SQL, line_report
+from gavel.llm.packing import pack
 from gavel.llm.quality_rules import JUDGE_SQL, judge_quality
 from gavel.llm.secret_scan import scan_secrets
 from gavel.llm.simhash import hex16, near_duplicates
@@ -54,6 +55,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"))
     return found.select(
@@ -75,6 +80,7 @@ QUERIES = {
     "op5_license_scan": op5_license_scan,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_decontamination": op7_decontamination,
+    "op8_packing": op8_packing,
     "op9_secret_scan": op9_secret_scan,
     "op10_simhash": op10_simhash,
 }
