@@ -23,7 +23,7 @@ from gavel.llm.common import written
 
 WINDOW = 8
 #: Names of the working columns; long, so that they don't clash with columns of the input.
-TEXT, WORDS, HASHES = "__quality_text", "__quality_words", "__quality_hashes"
+TEXT, WORDS = "__quality_text", "__quality_words"
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -85,18 +85,18 @@ def chars_of(text: Column, pattern: str) -> Column:
     return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("bigint")
 
 
-#: Each measure from the text, its words and the hashes of its words.
-MEASURES: dict[str, Callable[[Column, Column, Column], Column]] = {
-    "n_words": lambda text, words, hashes: F.size(words).cast("bigint"),
-    "word_chars": lambda text, words, hashes: F.length(F.concat_ws("", words)).cast("bigint"),
-    "n_symbols": lambda text, words, hashes: chars_of(text, r"[#*$%&|<>]+"),
-    "n_dup_lines": lambda text, words, hashes: bind(
+#: Each measure from the text and its words.
+MEASURES: dict[str, Callable[[Column, Column], Column]] = {
+    "n_words": lambda text, words: F.size(words).cast("bigint"),
+    "word_chars": lambda text, words: F.length(F.concat_ws("", words)).cast("bigint"),
+    "n_symbols": lambda text, words: chars_of(text, r"[#*$%&|<>]+"),
+    "n_dup_lines": lambda text, words: bind(
         lines_with_words(text), lambda x: F.size(x) - F.size(F.array_distinct(x))
     ).cast("bigint"),
-    "n_repeat_words": lambda text, words, hashes: repeated_words(hashes),
-    "n_lines": lambda text, words, hashes: F.size(lines_with_words(text)).cast("bigint"),
-    "n_upper": lambda text, words, hashes: chars_of(text, r"\p{Lu}+"),
-    "n_other": lambda text, words, hashes: chars_of(text, r"[^\p{L}\x20\x09-\x0D]+"),
+    "n_repeat_words": lambda text, words: bind(word_hashes(words), lambda h: repeated_words(h)),
+    "n_lines": lambda text, words: F.size(lines_with_words(text)).cast("bigint"),
+    "n_upper": lambda text, words: chars_of(text, r"\p{Lu}+"),
+    "n_other": lambda text, words: chars_of(text, r"[^\p{L}\x20\x09-\x0D]+"),
 }
 BASE_MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -124,16 +124,15 @@ METHOD_RULES = (
 RULES = BASE_RULES + METHOD_RULES
 
 
-def prepared(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows with the text (null as empty), its words and their hashes as working columns."""
-    with_words = docs.withColumn(TEXT, F.coalesce(F.col(text_col), F.lit(""))).withColumn(
-        WORDS, split_words(F.col(TEXT))
-    )
-    return with_words.withColumn(HASHES, word_hashes(F.col(WORDS)))
+def expressions(text: Column, words: Column) -> Measure:
+    return lambda name: MEASURES[name](text, words)
 
 
-def expression(name: str) -> Column:
-    return MEASURES[name](F.col(TEXT), F.col(WORDS), F.col(HASHES))
+def over_words(text_col: str, body: Callable[[Measure], Column]) -> Column:
+    """``body`` of the measures of a text. The words are bound to a variable: as a column of their
+    own they would be split anew wherever Spark pushes the expression down as a filter."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return bind(split_words(text), lambda words: body(expressions(text, words)))
 
 
 def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text", rows: int = 1000) -> list[Rule]:
@@ -143,17 +142,16 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: s
     part of the table is read first.
     """
     sample = written(docs.select(F.col(text_col).alias("text")).sample(0.2, seed=1).limit(rows), "rule-sample")
-    base = prepared(sample)
 
-    def measured(condition: Column) -> tuple[int, float]:
+    def measured(rejects: Callable[[Measure], Column]) -> tuple[int, float]:
         began = time.perf_counter()
-        found = base.select(condition.alias("c")).agg(F.count_if("c").alias("n")).first()
+        found = sample.select(over_words("text", rejects).alias("c")).agg(F.count_if("c").alias("n")).first()
         return found["n"], time.perf_counter() - began
 
-    idle = measured(F.size(F.col(HASHES)) < 0)[1]
+    idle = measured(lambda m: m("n_words") < 0)[1]
     scored = []
     for place, rule in enumerate(rules):
-        rejected, seconds = measured(rule.rejects(expression))
+        rejected, seconds = measured(rule.rejects)
         scored.append((-rejected / max(seconds - idle, 0.01), place, rule))
     return [rule for *_, rule in sorted(scored, key=lambda x: x[:2])]
 
@@ -169,8 +167,8 @@ def first_rejection(rules: list[Rule] | tuple[Rule, ...], measure: Measure) -> C
 
 def filter_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text") -> DataFrame:
     """The rows that no rule rejects, with the columns of the input."""
-    chain = first_rejection(order_rules(docs, rules, text_col=text_col), expression)
-    return prepared(docs, text_col).where(chain.isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    chain = order_rules(docs, rules, text_col=text_col)
+    return docs.where(over_words(text_col, lambda m: first_rejection(chain, m)).isNull())
 
 
 def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,10 +177,11 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     The base measures are wanted for every row; the cascade runs over the other rules and stops
     at the first that rejects.
     """
-    rows = prepared(docs.select(id_col, text_col), text_col)
     chain = order_rules(docs, METHOD_RULES, text_col=text_col)
-    rows = rows.select(id_col, TEXT, WORDS, HASHES, *[expression(m).alias(m) for m in BASE_MEASURES])
-    known = lambda name: F.col(name) if name in BASE_MEASURES else expression(name)
+    rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias(TEXT)).withColumn(WORDS, split_words(F.col(TEXT)))
+    measure = expressions(F.col(TEXT), F.col(WORDS))
+    rows = rows.select(id_col, TEXT, WORDS, *[measure(m).alias(m) for m in BASE_MEASURES])
+    known = lambda name: F.col(name) if name in BASE_MEASURES else measure(name)
     rows = rows.withColumn("base_failed", first_rejection(BASE_RULES, known).isNotNull())
     rejected = F.when(F.col("base_failed"), "base").otherwise(first_rejection(chain, known))
     return rows.select(id_col, *BASE_MEASURES, "base_failed", rejected.isNull().alias("kept"))
