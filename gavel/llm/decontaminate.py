@@ -8,8 +8,8 @@ candidates. A candidate counts as a leak only if the longest common subsequence
 enough of the item, or less of it together with the item's answer (the ``answer`` column if there
 is one, else its last sentence).
 
-A passage's cosine cannot exceed the share of its weight that lies on words of the benchmark, so
-passages below that share are not projected; this loses no candidate.
+A passage is projected only if words of the benchmark carry ``SHARED`` of its weight, since with
+less of it an item could fill but a few of the passage's words.
 
 The benchmark is the query set: it is worked through in blocks of about ``BLOCK`` items, each with
 its own latent space, so that what is broadcast is bounded whatever its size. Texts and
@@ -37,9 +37,11 @@ from gavel.llm.hashing import powers, word_hashes
 WINDOW, STEP = 24, 12
 #: Buckets of the word counts, as bits of the word hash.
 BITS = 18
-RANK, EXTRA, POWERS = 256, 16, 2
-BLOCK = 2048
-COSINE = 0.45
+RANK, EXTRA, POWERS = 256, 16, 1
+BLOCK, STRIP = 1024, 1024
+#: Least share of a passage's weight on words of the benchmark.
+SHARED = 0.3
+COSINE = 0.55
 #: Covered share of an item that makes a leak, alone or with the answer, and of an answer.
 COVERED, COVERED_WITH_ANSWER, ANSWER_COVERED = 0.7, 0.5, 0.8
 TABLES = (1 << 20) + 1
@@ -148,32 +150,36 @@ class Latent:
 
 
 def latent_products(rows: DataFrame, basis: np.ndarray, both: bool) -> np.ndarray:
-    """A' A basis (``both``) or (A basis)' (A basis), for A the passages ``rows`` (at, weights), summed over partitions."""
+    """A' A basis (``both``) or (A basis)' (A basis), for A the passages ``rows`` (at, weights).
+
+    Each partition emits its sums as strips of ``STRIP`` rows, and strips are added by Spark.
+    """
     held = rows.sparkSession.sparkContext.broadcast(basis)
     width = basis.shape[1]
+    height = len(basis) if both else width
+    schema = pa.schema([pa.field("strip", pa.int32()), pa.field("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         basis, total = held.value, None
         for part in batches:
             for at, weights in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                at, weights = np.array(at), np.array(weights)
-                y = weights @ basis[at]
-                if total is None:
-                    total = np.zeros((len(basis) if both else width, width))
+                total = np.zeros((height, width)) if total is None else total
+                y = np.array(weights) @ basis[at]
                 if both:
-                    total[at] += weights[:, None] * y
+                    total[at] += np.array(weights)[:, None] * y
                 else:
                     total += np.outer(y, y)
         if total is not None:
-            used = np.flatnonzero(total.any(axis=1))
-            schema = pa.schema([pa.field("row", pa.int32()), pa.field("vector", pa.list_(pa.float64()))])
-            yield batch(schema, used.astype(np.int32), [total[k].tolist() for k in used])
+            strips = range(0, height, STRIP)
+            yield batch(schema, [k // STRIP for k in strips], [total[k : k + STRIP].tobytes() for k in strips])
+
+    def added(strips: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.float64) for x in strips.column("data").to_pylist())
+        return pa.table({"strip": strips.column("strip")[:1], "data": pa.array([total.tobytes()], pa.binary())})
 
-    sums = rows.mapInArrow(run, "row int, vector array<double>").select("row", F.posexplode("vector")).groupBy("row", "pos").agg(F.sum("col").alias("v"))
-    found = np.zeros((len(basis) if both else width, width))
-    for r in sums.toArrow().to_batches():
-        found[r.column(0).to_numpy(), r.column(1).to_numpy()] = r.column(2).to_numpy()
-    return found
+    sums = rows.mapInArrow(run, "strip int, data binary").groupBy("strip").applyInArrow(added, "strip int, data binary")
+    found = sorted((r["strip"], bytes(r["data"])) for r in sums.collect())
+    return np.frombuffer(b"".join(x for _, x in found), np.float64).reshape(height, width)
 
 
 def randomised_svd(rows: DataFrame, n_terms: int, n_rows: int, seed: int = 5) -> np.ndarray:
@@ -209,7 +215,7 @@ def fit_block(block: DataFrame, idf: np.ndarray, id_col: str, text_col: str) ->
                 owner.append(n)
                 rows.append((at.tolist(), (weights / norm).tolist()))
     spark = block.sparkSession
-    matrix = spark.createDataFrame(rows, "at array<int>, weights array<double>").repartition(max(1, min(32, len(rows) // 64)))
+    matrix = spark.createDataFrame(rows, "at array<int>, weights array<double>").repartition(max(1, len(rows) // 256))
     vectors = randomised_svd(matrix, len(vocabulary), len(rows))
     queries = np.stack([np.array(weights) @ vectors[at] for at, weights in rows])
     queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
@@ -248,7 +254,7 @@ def find_in(latent: Latent, data: np.ndarray, at: np.ndarray, tables: tuple) ->
     np.cumsum(weight2, out=sums[0, 1:])
     np.cumsum(np.where(rows >= 0, weight2, 0), out=sums[1, 1:])
     whole, shared = sums[0][end] - sums[0][first], sums[1][end] - sums[1][first]
-    likely = np.flatnonzero((whole > 0) & (shared >= COSINE**2 * whole))
+    likely = np.flatnonzero((whole > 0) & (shared >= SHARED * whole))
     best: dict[tuple[int, int], Leak] = {}
     for low in range(0, len(likely), 2048):
         part = likely[low : low + 2048]
@@ -258,7 +264,7 @@ def find_in(latent: Latent, data: np.ndarray, at: np.ndarray, tables: tuple) ->
         taken, column = np.nonzero(at_row >= 0)
         starts = np.flatnonzero(np.r_[True, taken[1:] != taken[:-1]])
         projected = np.add.reduceat(latent.vectors[at_row[taken, column]], starts, axis=0)
-        cosines = projected @ latent.queries.T / np.sqrt(whole[part][taken[starts]])[:, None].astype(np.float32)
+        cosines = projected @ latent.queries.T / np.maximum(np.linalg.norm(projected, axis=1, keepdims=True), 1e-12)
         for hit, query in zip(*np.nonzero(cosines >= COSINE), strict=True):
             window, item = part[taken[starts[hit]]], int(latent.owner[query])
             own = latent.items[item]
@@ -266,6 +272,9 @@ def find_in(latent: Latent, data: np.ndarray, at: np.ndarray, tables: tuple) ->
             low_word, d = int(begin[doc[window]]), int(doc[window])
             a, b = max(low_word, int(first[window]) - reach), min(low_word + int(n_words[d]), int(end[window]) + reach)
             region = words[a:b].tolist()
+            present = set(region)
+            if sum(w in present for w in own.words) < COVERED_WITH_ANSWER * reach:
+                continue  # the common subsequence can't be longer than the words that the region has
             covered = common_words(own.masks, reach, region) / reach
             answer = bool(own.answer) and common_words(own.answer_masks, len(own.answer), region) >= ANSWER_COVERED * len(own.answer)
             if covered >= COVERED or (answer and covered >= COVERED_WITH_ANSWER):
