@@ -215,7 +215,7 @@ def probe(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_chars:
     shards = written(build_shards(counted, n_shards), "line-shards")
     names = [f"`{c}`" for c in docs.columns]
     width, text_at, id_at = len(names), docs.columns.index(text_col), docs.columns.index(id_col)
-    out = T.StructType(docs.schema.fields).add("__n_lines", T.LongType()).add("__n_dropped", T.LongType())
+    out = T.StructType(list(docs.schema.fields)).add("__n_lines", T.LongType()).add("__n_dropped", T.LongType())
     labels = [f.name for f in out]
 
     if n * ENTRY_BYTES <= broadcast_bytes:

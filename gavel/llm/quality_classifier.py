@@ -77,8 +77,8 @@ def statistics(data: np.ndarray, at: np.ndarray, tables: tuple | None = None) ->
     breaks = np.flatnonzero(part == 10)
     begins = np.unique(np.r_[bounds[:-1], breaks + 1])
     begins = begins[begins < len(part)]
-    ends = np.r_[begins[1:], len(part)]
-    ends = ends - (part[ends - 1] == 10) if len(ends) else ends
+    ends = np.r_[begins[1:], len(part)][: len(begins)]
+    ends = ends - (part[ends - 1] == 10)
     whole = ends > begins
     line_owner = np.searchsorted(bounds, begins[whole], "right") - 1
     n_lines = np.bincount(line_owner, minlength=n)
