@@ -10,9 +10,16 @@ from pyspark.sql import types as T
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A Parquet folder, or the one file of that name, as a stream."""
-    folder, _, name = path.rstrip("/").rpartition("/")
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    """A Parquet folder, or a single file, as a stream.
+
+    A stream watches folders, so a single file is its folder filtered by the file's name.
+    """
+    path = path.rstrip("/")
+    folder, _, name = path.rpartition("/")
+    found = spark.read.schema(schema).parquet(path).inputFiles()
+    if len(found) == 1 and found[0].endswith(f"/{name}"):
+        return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    return spark.readStream.schema(schema).parquet(path)
 
 
 def window_counts(events: DataFrame, at: str, key: str, width: str = "1 day", late: str = "1 hour") -> DataFrame:
