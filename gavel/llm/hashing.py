@@ -31,25 +31,38 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return both[0], both[1]
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray, tables: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Owner and hash of every word of the texts at ``at``, in order: a polynomial over its bytes."""
+def word_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, first byte and end of every word of the texts at ``at``, counted from the first text on."""
     low, high = int(at[0]), int(at[-1])
-    part = data[low:high]
-    if not len(part):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    inside = IN_WORD[part]
-    fresh = np.zeros(len(part) + 1, bool)
+    inside = IN_WORD[data[low:high]]
+    fresh = np.zeros(len(inside) + 1, bool)
     fresh[at - low] = True  # a text's end is a word's end too
-    before = np.r_[False, inside[:-1]]
-    after = np.r_[inside[1:], False]
-    first = np.flatnonzero(inside & (~before | fresh[:-1]))
-    last = np.flatnonzero(inside & (~after | fresh[1:]))
-    return np.searchsorted(at, first + low, "right") - 1, run_hashes(part, first, last + 1, tables)
+    first = np.flatnonzero(inside & (~np.r_[False, inside[:-1]] | fresh[:-1])) if len(inside) else np.zeros(0, np.int64)
+    end = np.flatnonzero(inside & (~np.r_[inside[1:], False] | fresh[1:])) + 1 if len(inside) else np.zeros(0, np.int64)
+    return np.searchsorted(at, first + low, "right") - 1, first, end
 
 
-def run_hashes(part: np.ndarray, first: np.ndarray, end: np.ndarray, tables: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-    """Hash of each run of bytes from ``first`` to ``end``, A-Z lower-cased."""
+def word_hashes(data: np.ndarray, at: np.ndarray, tables: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and hash of every word of the texts at ``at``, in order: a polynomial over its bytes."""
+    owner, first, end = word_bounds(data, at)
+    return owner, run_hashes(data[int(at[0]) : int(at[-1])], first, end, tables)
+
+
+def stem_hashes(data: np.ndarray, at: np.ndarray, stems: tuple[int, ...], tables: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Owner and hashes of every word: of the whole word, and of its first bytes for each size in ``stems``."""
+    owner, first, end = word_bounds(data, at)
+    sizes = [end, *[np.minimum(end, first + n) for n in stems]]
+    return owner, run_hashes_of(data[int(at[0]) : int(at[-1])], first, sizes, tables)
+
+
+def run_hashes_of(part: np.ndarray, first: np.ndarray, ends: list[np.ndarray], tables: tuple[np.ndarray, np.ndarray] | None = None) -> list[np.ndarray]:
+    """Hashes of runs of bytes, A-Z lower-cased, that begin at ``first``, for several ends each."""
     up, down = tables if tables is not None and len(tables[0]) > len(part) else powers(len(part) + 1)
     sums = np.zeros(len(part) + 1, np.uint64)
     np.cumsum((LOWER[part].astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
-    return mixed((sums[end] - sums[first]) * down[first])
+    before, turn = sums[first], down[first]
+    return [mixed((sums[end] - before) * turn) for end in ends]
+
+
+def run_hashes(part: np.ndarray, first: np.ndarray, end: np.ndarray, tables: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    return run_hashes_of(part, first, [end], tables)[0]

@@ -1,7 +1,8 @@
 """Toxicity scores by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features of a text are the hashes of its words, of its pairs of neighbours and of its pairs with
-one word between them; each feature counts once. Every coordinate has a learning rate of its own,
+Features of a text are the hashes of its words (whole, and their stems, so that inflected forms
+share weight), of its pairs of neighbours and of its pairs with one word between them; each feature
+counts once. Every coordinate has a learning rate of its own,
 and the L1 term keeps weights at zero until the evidence outweighs it, so the fitted model is a
 short list of weights whose size is checked before it is broadcast.
 
@@ -24,19 +25,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gavel.llm.common import batch, spans, unit, utf8
-from gavel.llm.hashing import mixed, powers, word_hashes
+from gavel.llm.hashing import mixed, powers, stem_hashes
 
 BITS = 22
+#: Sizes of the stems of a word, in bytes.
+STEMS = (4, 5)
 #: Bound of the training sample, in labelled texts.
 SAMPLE = 12_000
 ALPHA, BETA, L1, L2, PASSES = 1.0, 1.0, 6.0, 0.1, 3
 MAX_WEIGHTS = 2_000_000
 
 
-def features(owner: np.ndarray, words: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Owner and coordinate of each word, pair of neighbours, and pair around one word."""
+def features(data: np.ndarray, at: np.ndarray, tables: tuple | None = None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and coordinate of each word and its stems, pair of neighbours, and pair around one word."""
     shift = np.uint64(64 - bits)
-    owners, found = [owner], [words >> shift]
+    owner, (words, *stems) = stem_hashes(data, at, STEMS, tables)
+    owners, found = [owner] * (1 + len(stems)), [words >> shift]
+    found += [mixed(x + np.uint64(n)) >> shift for n, x in enumerate(stems, 1)]
     for step, salt in ((1, 0xA0761D6478BD642F), (2, 0xE7037ED1A0B428DB)):
         same = np.flatnonzero(owner[step:] == owner[:-step])
         owners.append(owner[same])
@@ -109,7 +114,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
             data, at = utf8(rows.column(2))
             found = []
             for k in range(len(rows)):
-                _, own = features(*word_hashes(data, at[k : k + 2]))
+                _, own = features(data, at[k : k + 2])
                 found.append(np.unique(own).astype("<i4").tobytes())
             yield batch(schema, rows.column(0), rows.column(1), found)
 
@@ -140,7 +145,7 @@ def score(docs: DataFrame, model: SparseLogit | None, id_col: str = "doc_id", te
             data, at = utf8(rows.column(1))
             total = np.full(len(rows), model.bias)
             for low, high in spans(at):
-                owner, found = features(*word_hashes(data, at[low : high + 1], tables))
+                owner, found = features(data, at[low : high + 1], tables)
                 weighed = np.flatnonzero(table[found])
                 pairs = np.unique(owner[weighed] << BITS | found[weighed])
                 np.add.at(total, low + (pairs >> BITS), table[pairs & ((1 << BITS) - 1)])

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from gavel.llm import language_id, quality_classifier, toxicity
 from gavel.llm.common import remainder, table
 from gavel.llm.decontaminate import drop_leaks, find_leaks
+from gavel.llm.hashing import word_hashes
 from gavel.llm.license_scan import scan_licenses
 from gavel.llm.line_dedup import PerfectHash, dedup_lines, line_report
 from gavel.llm.packing import best_buckets, pack
@@ -129,7 +130,7 @@ def test_word_hashes_follow_the_words():
     texts = ["The cat; the CAT sat", "", "é-é x", "the"]
     data = np.frombuffer("".join(texts).encode(), np.uint8)
     at = np.cumsum([0, *[len(t.encode()) for t in texts]])
-    owner, hashes = toxicity.word_hashes(data, at)
+    owner, hashes = word_hashes(data, at)
     assert owner.tolist() == [0, 0, 0, 0, 0, 2, 2, 2, 3]
     assert hashes[0] == hashes[2] == hashes[8] and hashes[1] == hashes[3] != hashes[4] and hashes[5] == hashes[6]
 
