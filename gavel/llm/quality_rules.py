@@ -95,6 +95,9 @@ MEASURES: dict[str, Callable[[Column, Column], Column]] = {
     ).cast("bigint"),
     "n_repeat_words": lambda text, words: bind(word_hashes(words), lambda h: repeated_words(h)),
     "n_lines": lambda text, words: F.size(lines_with_words(text)).cast("bigint"),
+    "n_doubled": lambda text, words: F.size(
+        F.filter(words, lambda w, i: F.coalesce(w == F.get(words, i - 1), F.lit(False)))
+    ).cast("bigint"),
     "n_upper": lambda text, words: chars_of(text, r"\p{Lu}+"),
     "n_other": lambda text, words: chars_of(text, r"[^\p{L}\x20\x09-\x0D]+"),
 }
@@ -117,7 +120,8 @@ BASE_RULES = (
 METHOD_RULES = (
     Rule("word_length", lambda m: (m("word_chars") < 3 * m("n_words")) | (m("word_chars") > 12 * m("n_words"))),
     Rule("symbols", lambda m: 100 * m("n_symbols") > 10 * m("n_words")),
-    Rule("repeated_lines", lambda m: 100 * m("n_dup_lines") > 30 * m("n_lines")),
+    Rule("repeated_lines", lambda m: 100 * m("n_dup_lines") > 50 * m("n_lines")),
+    Rule("doubled_words", lambda m: 100 * m("n_doubled") > 30 * m("n_words")),
     Rule("shouting", lambda m: 100 * m("n_upper") > 30 * m("word_chars")),
     Rule("few_letters", lambda m: 100 * m("n_other") > 30 * m("word_chars")),
 )
@@ -201,7 +205,7 @@ WITH base AS (
 ), covered AS (
   SELECT doc_id, count(DISTINCT i + k) AS n FROM repeated, unnest(range(0, 8)) AS t(k) GROUP BY doc_id
 ), measured AS (
-  SELECT b.doc_id, text, lines, CAST(len(words) AS BIGINT) AS n_words,
+  SELECT b.doc_id, text, lines, words, CAST(len(words) AS BIGINT) AS n_words,
          CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
          CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
@@ -214,7 +218,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT (base_failed
             OR word_chars < 3 * n_words OR word_chars > 12 * n_words
             OR 100 * n_symbols > 10 * n_words
-            OR 100 * n_dup_lines > 30 * len(lines)
+            OR 100 * n_dup_lines > 50 * len(lines)
+            OR 100 * len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) > 30 * n_words
             OR 100 * (length(text) - length(regexp_replace(text, '\p{Lu}', '', 'g'))) > 30 * word_chars
             OR 100 * (length(text) - length(regexp_replace(text, '[^\p{L}\x20\x09-\x0D]', '', 'g'))) > 30 * word_chars
        ) AS kept
