@@ -105,7 +105,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     n = usable.count()
     if not n:
         return []
-    drawn = usable.where(unit("id", salt="toxicity") < sample / n)
+    # About ``sample`` rows of two numbers each, whatever the input: small enough to broadcast, so texts stay where they are.
+    drawn = F.broadcast(usable.where(unit("id", salt="toxicity") < sample / n))
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(drawn, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
