@@ -1,11 +1,15 @@
 """Hashes of words over byte arrays.
 
-Words are runs of ASCII letters and digits and of bytes beyond ASCII, with A-Z lower-cased. A
-slice of texts is hashed at a time, by prefix sums of a polynomial, without a loop over words.
+Words are runs of ASCII letters and digits and of bytes beyond ASCII, with A-Z lower-cased, or,
+with ``BETWEEN_SPACES``, runs of anything but ``[\\x20\\x09-\\x0D]``. A slice of texts is hashed at a
+time, by prefix sums of a polynomial, without a loop over words; a text longer than a slice is
+worked through in pieces cut between words, so that per-byte arrays stay small.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 RADIX = 0x9E3779B97F4A7C15 | 1
@@ -13,6 +17,10 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 IN_WORD = np.zeros(256, bool)
 IN_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+BETWEEN_SPACES = np.ones(256, bool)
+BETWEEN_SPACES[[*range(9, 14), 32]] = False
+#: Bytes of one piece of a long text.
+PIECE = 1 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -31,10 +39,30 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return both[0], both[1]
 
 
-def word_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def pieces(data: np.ndarray, at: np.ndarray, inside: np.ndarray, size: int = PIECE) -> Iterator[tuple[int, np.ndarray]]:
+    """The texts at ``at`` as pieces of about ``size`` bytes cut between words: number of the first text, and offsets."""
+    low, high = int(at[0]), int(at[-1])
+    while True:
+        end = min(high, low + size)
+        if end < high:
+            gaps = np.flatnonzero(~inside[data[low:end]])
+            while not len(gaps) and end < high:  # one word fills the piece: it ends further on
+                more = min(high, end + size)
+                gaps = np.flatnonzero(~inside[data[end:more]]) + (end - low)
+                end = more
+            end = low + int(gaps[-1]) + 1 if len(gaps) and end < high else end
+        first = int(np.searchsorted(at, low, "right")) - 1 if low > at[0] else 0
+        last = int(np.searchsorted(at, end, "left")) if end < high else len(at) - 1
+        yield first, np.clip(at[first : last + 1], low, end)
+        if end >= high:
+            return
+        low = end
+
+
+def word_bounds(data: np.ndarray, at: np.ndarray, in_word: np.ndarray = IN_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Owner, first byte and end of every word of the texts at ``at``, counted from the first text on."""
     low, high = int(at[0]), int(at[-1])
-    inside = IN_WORD[data[low:high]]
+    inside = in_word[data[low:high]]
     fresh = np.zeros(len(inside) + 1, bool)
     fresh[at - low] = True  # a text's end is a word's end too
     first = np.flatnonzero(inside & (~np.r_[False, inside[:-1]] | fresh[:-1])) if len(inside) else np.zeros(0, np.int64)
@@ -42,17 +70,22 @@ def word_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.searchsorted(at, first + low, "right") - 1, first, end
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray, tables: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, at: np.ndarray, tables: tuple[np.ndarray, np.ndarray] | None = None, in_word: np.ndarray = IN_WORD) -> tuple[np.ndarray, np.ndarray]:
     """Owner and hash of every word of the texts at ``at``, in order: a polynomial over its bytes."""
-    owner, first, end = word_bounds(data, at)
-    return owner, run_hashes(data[int(at[0]) : int(at[-1])], first, end, tables)
+    owner, (words,) = stem_hashes(data, at, (), tables, in_word)
+    return owner, words
 
 
-def stem_hashes(data: np.ndarray, at: np.ndarray, stems: tuple[int, ...], tables: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+def stem_hashes(
+    data: np.ndarray, at: np.ndarray, stems: tuple[int, ...], tables: tuple[np.ndarray, np.ndarray] | None = None, in_word: np.ndarray = IN_WORD
+) -> tuple[np.ndarray, list[np.ndarray]]:
     """Owner and hashes of every word: of the whole word, and of its first bytes for each size in ``stems``."""
-    owner, first, end = word_bounds(data, at)
-    sizes = [end, *[np.minimum(end, first + n) for n in stems]]
-    return owner, run_hashes_of(data[int(at[0]) : int(at[-1])], first, sizes, tables)
+    owners, found = [], []
+    for text, own in pieces(data, at, in_word):
+        owner, first, end = word_bounds(data, own, in_word)
+        owners.append(owner + text)
+        found.append(run_hashes_of(data[int(own[0]) : int(own[-1])], first, [end, *[np.minimum(end, first + n) for n in stems]], tables))
+    return np.concatenate(owners), [np.concatenate(x) for x in zip(*found, strict=True)]
 
 
 def run_hashes_of(part: np.ndarray, first: np.ndarray, ends: list[np.ndarray], tables: tuple[np.ndarray, np.ndarray] | None = None) -> list[np.ndarray]:
