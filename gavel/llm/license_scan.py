@@ -4,12 +4,15 @@ Every rolling k-gram of words is hashed and joined to the positions of the templ
 it. A hit votes for the diagonal (position in the text less position in the template); votes are
 summed by row, template and diagonal, diagonals that lie close together are merged, so that a few
 inserted or lost words don't split a match, and a merged span counts only if it covers enough of
-its template and isn't longer than the template allows. Hits are confirmed word by word before
+its template and isn't longer than the template allows. Diagonals that cover enough by themselves
+stay apart, and none merge that are a template's length apart: copies that follow each other are
+copies each. Hits are confirmed word by word before
 they vote, so equal hashes of different words do no harm.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z.
 
-Defined results: a null text counts as empty and has no places; rows are told apart by id and
+Defined results: a null text counts as empty and has no places; a very long text is split whole, in
+one row; spans of several templates at one place all count; rows are told apart by id and
 text, so rows that repeat both get the same result each, and a null id is an id like any other;
 an empty table gives an empty result; other columns of the input are ignored.
 """
@@ -21,11 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 K = 3
-#: Diagonals this near to each other belong to one match.
+#: Diagonals this near to each other, and nearer than the template is long, belong to one match.
 BAND = 4
 #: Least covered share of a template, and longest span as a multiple of its length.
 COVERED, STRETCH = 0.8, 1.5
-#: The join broadcasts one row for each template position; this bounds them.
+#: Most template positions that the join broadcasts; beyond that it shuffles.
 MAX_POSITIONS = 100_000
 
 #: The phrases whose places are counted, with their labels.
@@ -65,23 +68,25 @@ def gram_hashes(words: Column, k: int = K) -> Column:
     return F.when(F.size(words) >= k, F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)])))
 
 
-def template_positions(docs: DataFrame, k: int = K) -> DataFrame:
-    """(gram_hash, gram, template, place, length, label, exact) for every k-gram of every template."""
+def template_positions(docs: DataFrame, k: int = K, notices: DataFrame | None = None) -> DataFrame:
+    """(gram_hash, gram, template, place, length, label, exact) for every k-gram of every template:
+    the phrases, and the ``notices`` (label, text) of at least k words, by default NOTICES."""
     spark = docs.sparkSession
-    rows = [(n, label, text.split(), n < len(PHRASES)) for n, (label, text) in enumerate([*PHRASES.items(), *NOTICES])]
-    if sum(len(r[2]) for r in rows) > MAX_POSITIONS:
-        raise ValueError(f"the templates have more than {MAX_POSITIONS} words")
-    templates = spark.createDataFrame(rows, "template int, label string, words array<string>, exact boolean")
+    given = spark.createDataFrame(NOTICES, "label string, text string") if notices is None else notices
+    phrases = spark.createDataFrame([*PHRASES.items()], "label string, text string")
+    both = phrases.withColumn("exact", F.lit(True)).union(given.select("label", "text", F.lit(False)))
+    templates = both.select(F.xxhash64("label", "text", "exact").alias("template"), "label", "exact", split_words(F.col("text")).alias("words")).distinct()
     placed = templates.select("template", "label", "exact", F.size("words").alias("length"), "words", F.posexplode_outer(gram_hashes(F.col("words"), k)).alias("place", "gram_hash"))
     return placed.select("template", "label", "exact", "length", "place", "gram_hash", F.array_join(F.slice("words", F.col("place") + 1, k), " ").alias("gram"))
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, notices: DataFrame | None = None) -> DataFrame:
     """Per row the id, number of words, places of the phrases, labels and a score.
 
-    The score is the largest covered share of a template (1 for a phrase that stands in full).
-    Memory: the broadcast side has one row for each template position; everything after the join
-    holds hits only, grouped by row and template.
+    The score is the largest covered share among the spans found (1 for a phrase, which stands in
+    full; 0 if there is none). Memory: the broadcast side has one row for each template position, and
+    is joined by a shuffle beyond ``MAX_POSITIONS``; everything after the join holds hits only,
+    grouped by row and template.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("row_id"), F.xxhash64(text).alias("text_hash"), split_words(text).alias("words"))
@@ -89,7 +94,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # The outer form, since for the plain one Spark infers a filter on the size of the array and,
     # pushing it to the scan, splits the text anew for every element.
     grams = grams.select("row_id", "text_hash", "words", F.posexplode_outer("gram_hashes").alias("pos", "gram_hash"))
-    hits = grams.join(F.broadcast(template_positions(docs, k)), "gram_hash").select(
+    places = template_positions(docs, k, notices)
+    hits = grams.join(F.broadcast(places) if notices is None or places.limit(MAX_POSITIONS + 1).count() <= MAX_POSITIONS else places, "gram_hash").select(
         "row_id", "text_hash", "template", "label", "exact", "length", "place", "gram",
         (F.col("pos") - F.col("place")).alias("diagonal"),
         F.array_join(F.slice("words", F.col("pos") + 1, k), " ").alias("seen"),
@@ -101,14 +107,17 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .where(F.size("places") > 0)
     )
     by_template = W.partitionBy(*row, "template").orderBy("diagonal")
-    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by_template) > BAND, F.lit(True)) | F.col("exact")
+    covered = lambda c: F.size(F.array_distinct(F.flatten(F.transform(c, lambda p: F.sequence(p, p + k - 1)))))
+    diagonals = diagonals.withColumn("alone", F.col("exact") | (covered("places") >= COVERED * F.col("length")))
+    band = F.least(F.lit(BAND), F.col("length") - 1)
+    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by_template) > band, F.lit(True))
+    apart = apart | F.col("alone") | F.coalesce(F.lag("alone").over(by_template), F.lit(False))
     merged = diagonals.withColumn("run", F.sum(apart.cast("int")).over(by_template)).groupBy(*row, "template", "label", "exact", "length", "run").agg(
         F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"),
         F.min(F.array_min("places") + F.col("diagonal")).alias("first"),
         F.max(F.array_max("places") + F.col("diagonal") + k).alias("last"),
     )
-    covers = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + k - 1)))))
-    share = F.least(F.lit(1.0), covers / F.col("length"))
+    share = F.least(F.lit(1.0), covered("places") / F.col("length"))
     spans = merged.withColumn("share", share).withColumn(
         "found",
         F.when(F.col("exact"), F.col("share") == 1.0).otherwise(
@@ -123,7 +132,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.max(F.when(base, F.col("first"))).cast("bigint").alias("last_word"),
         labels(base).alias("base_labels"),
         labels(F.col("found")).alias("labels"),
-        F.max("share").alias("score"),
+        F.max(F.when(F.col("found"), F.col("share"))).alias("score"),
     )
     sizes = docs.select(F.col(id_col), F.xxhash64(text).alias("text_hash"), F.size(split_words(text)).cast("bigint").alias("n_words"))
     same = sizes[id_col].eqNullSafe(by_row["row_id"]) & (sizes["text_hash"] == by_row["text_hash"])
@@ -137,3 +146,54 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.coalesce("labels", F.lit("")).alias("labels"),
         F.coalesce("score", F.lit(0.0)).alias("score"),
     )
+
+
+def scan_sql() -> str:
+    """The same rows in DuckDB's SQL, for the default templates."""
+    values = ", ".join(f"({n}, '{label}', '{text}', {'true' if n < len(PHRASES) else 'false'})" for n, (label, text) in enumerate([*PHRASES.items(), *NOTICES]))
+    return rf"""
+WITH templates(template, label, phrase, exact) AS (VALUES {values}
+), parts AS (
+  SELECT template, label, exact, string_split(phrase, ' ') AS w FROM templates
+), grams AS (
+  SELECT template, label, exact, len(w) AS length, p, array_to_string(w[p + 1 : p + {K}], ' ') AS gram
+  FROM parts, LATERAL (SELECT unnest(range(0, len(w) - {K - 1})) AS p)
+), split AS (
+  SELECT doc_id, row_number() OVER () AS rid,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents
+), seen AS (
+  SELECT rid, p, array_to_string(w[p + 1 : p + {K}], ' ') AS gram
+  FROM split, LATERAL (SELECT unnest(range(0, len(w) - {K - 1})) AS p) WHERE len(w) >= {K}
+), diagonals AS (
+  SELECT s.rid, g.template, g.label, g.exact, g.length, s.p - g.p AS diagonal, list(DISTINCT g.p) AS places
+  FROM seen s JOIN grams g ON s.gram = g.gram GROUP BY ALL
+), measured AS (
+  SELECT *, exact OR len(list_distinct(flatten(list_transform(places, lambda p: range(p, p + {K}))))) >= {COVERED} * length AS alone
+  FROM diagonals
+), marked AS (
+  SELECT *, coalesce(diagonal - lag(diagonal) OVER w > least({BAND}, length - 1), true) OR alone OR coalesce(lag(alone) OVER w, false) AS apart
+  FROM measured WINDOW w AS (PARTITION BY rid, template ORDER BY diagonal)
+), numbered AS (
+  SELECT *, sum(apart::INT) OVER (PARTITION BY rid, template ORDER BY diagonal) AS run FROM marked
+), spans AS (
+  SELECT rid, label, exact, length, min(list_min(places) + diagonal) AS first, max(list_max(places) + diagonal + {K}) AS last,
+         list_distinct(flatten(list_transform(flatten(list(places)), lambda p: range(p, p + {K})))) AS words
+  FROM numbered GROUP BY rid, template, label, exact, length, run
+), judged AS (
+  SELECT *, least(1.0, len(words) / length) AS share,
+         CASE WHEN exact THEN len(words) = length ELSE len(words) / length >= {COVERED} AND last - first <= {STRETCH} * length END AS found
+  FROM spans
+), by_row AS (
+  SELECT rid, count(*) FILTER (WHERE exact AND found) AS n_base, min(first) FILTER (WHERE exact AND found) AS first_word,
+         max(first) FILTER (WHERE exact AND found) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE exact AND found) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE found) AS labels, max(share) FILTER (WHERE found) AS score
+  FROM judged GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
+       CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0.0) AS DOUBLE) AS score
+FROM split LEFT JOIN by_row USING (rid)
+"""

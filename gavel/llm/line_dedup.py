@@ -9,16 +9,18 @@ arrays with their own lines; no line is joined to a line.
 
 While the arrays take at most ``BROADCAST_BYTES`` (known from the count before anything is
 gathered), every task holds them all and the second pass is a map without shuffle. Beyond that
-bound probes travel to the shards instead, salted by row, so that a hot line is spread over many
-tasks, and only the digests to drop travel back.
+bound probes travel to the shards instead. Each shard is dealt out by row to as many salts as its
+probes need, unique lines included, so that a hot line is spread over many tasks; a task holds one
+shard's arrays and streams probes past them. Only the digests to drop travel back.
 
 A key is the line, stripped of ``[\\x20\\x09-\\x0D]`` at both ends, with A-Z lower-cased; keys
 under ``min_chars`` code points are left alone.
 
 Defined results: a null or empty text is one empty line and comes back as an empty text; each row
 counts as a document, so rows that repeat an id count each; of rows with the largest id all keep
-the line; a null id is below every other; an empty table gives an empty result; other columns pass
-through ``dedup_lines`` untouched. Ids are integers.
+the line; a null id is below every other; a very long text is split whole, in one task; an empty table
+gives an empty result; other columns, whatever their names, pass through ``dedup_lines`` untouched.
+Ids are integers.
 """
 
 from __future__ import annotations
@@ -30,11 +32,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gavel.llm.common import batch, written
+from gavel.llm.common import batch, small, unused, written
 
 MIN_DOCS, MIN_CHARS = 3, 20
 STRIPPED = b" \t\n\x0b\x0c\r"
@@ -146,8 +148,11 @@ def ids_of(column: pa.Array) -> np.ndarray:
 DIGESTS = pa.schema([pa.field("a", pa.int64()), pa.field("b", pa.int64()), pa.field("id", pa.int64())])
 
 
-def line_counts(docs: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
-    """(a, b, n, holder) of every line that at least ``min_docs`` rows hold; docs has id and text."""
+def line_counts(docs: DataFrame, min_docs: int, min_chars: int, total: Observation | None = None) -> DataFrame:
+    """(a, b, n, holder) of every line that at least ``min_docs`` rows hold; docs has id and text.
+
+    ``total`` observes ``n``, the lines of all rows, each counted once for a row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -160,7 +165,8 @@ def line_counts(docs: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
             yield batch(DIGESTS, pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), owner)
 
     lines = docs.mapInArrow(run, "a bigint, b bigint, id bigint")
-    return lines.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("id").alias("holder")).where(F.col("n") >= min_docs)
+    counted = lines.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("id").alias("holder"))
+    return (counted if total is None else counted.observe(total, F.sum("n").alias("n"))).where(F.col("n") >= min_docs)
 
 
 def build_shards(counted: DataFrame, n_shards: int) -> DataFrame:
@@ -205,17 +211,27 @@ def _emit(rows: pa.RecordBatch, width: int, text_at: int, names: list[str], resu
     return pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=names)
 
 
-def probe(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_chars: int, broadcast_bytes: int) -> DataFrame:
-    """``docs`` with shortened texts and, as last columns, ``__n_lines`` and ``__n_dropped``."""
+def shard_salts(counted: DataFrame, n_shards: int, total: int) -> DataFrame:
+    """(shard, salts): tasks for the probes of each shard, from its counted lines and its share of the others."""
+    per_shard = counted.groupBy(F.pmod("a", F.lit(n_shards)).cast("int").alias("shard")).agg(F.sum("n").alias("n"))
+    every = counted.sparkSession.range(n_shards).select(F.col("id").cast("int").alias("shard")).join(per_shard, "shard", "left")
+    many = counted.agg(F.sum("n")).first()[0] or 0
+    probes = F.coalesce("n", F.lit(0)) + F.lit((total - many) / n_shards)
+    return every.select("shard", F.greatest(F.lit(1), F.ceil(probes / PROBES_PER_TASK)).cast("int").alias("salts"))
+
+
+def probe(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_chars: int, broadcast_bytes: int, counts: tuple[str, str]) -> DataFrame:
+    """``docs`` with shortened texts and, as last columns named ``counts``, numbers of lines and of dropped ones."""
     spark = docs.sparkSession
-    keyed = docs.select(F.col(id_col).cast("bigint"), text_col)
-    counted = written(line_counts(keyed, min_docs, min_chars), "line-counts")
+    keyed = docs.select(F.col(f"`{id_col}`").cast("bigint"), F.col(f"`{text_col}`"))
+    seen = Observation()
+    counted = written(line_counts(keyed, min_docs, min_chars, seen), "line-counts")
     n = counted.count()
     n_shards = max(1, -(-n // SHARD_KEYS))
     shards = written(build_shards(counted, n_shards), "line-shards")
     names = [f"`{c}`" for c in docs.columns]
     width, text_at, id_at = len(names), docs.columns.index(text_col), docs.columns.index(id_col)
-    out = T.StructType(list(docs.schema.fields)).add("__n_lines", T.LongType()).add("__n_dropped", T.LongType())
+    out = T.StructType(list(docs.schema.fields)).add(counts[0], T.LongType()).add(counts[1], T.LongType())
     labels = [f.name for f in out]
 
     if n * ENTRY_BYTES <= broadcast_bytes:
@@ -240,10 +256,9 @@ def probe(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_chars:
 
         return docs.select(*names).mapInArrow(whole, out)
 
-    total = counted.agg(F.sum("n")).first()[0]
-    salts = max(1, -(-total // (n_shards * PROBES_PER_TASK)))
-    row_key = F.xxhash64(F.col(id_col), F.col(text_col))
-    per_row = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), row_key.alias("row"))
+    salts = written(shard_salts(counted, n_shards, int(seen.get["n"] or 0)), "line-salts")
+    row_key = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    per_row = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"), row_key.alias("row"))
     probe_fields = pa.schema([*DIGESTS, pa.field("row", pa.int64())])
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,21 +272,36 @@ def probe(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_chars:
             a, b = as_halves(found)
             yield batch(probe_fields, pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), owner, keys)
 
-    def answered(part: pa.Table, arrays: pa.Table) -> pa.Table:
-        a, b = (part.column(x).to_numpy().view(np.uint64) for x in ("a", "b"))
-        gone = np.zeros(len(a), bool)
-        if len(arrays) and len(a):
-            gone = pickle.loads(arrays.column("data")[0].as_py()).drops(a, b, part.column("id").to_numpy(), min_docs)
-        mask = pa.array(gone)
-        digests = np.stack([a[gone], b[gone]], axis=1)
-        return pa.table({"row": part.column("row").filter(mask), "digest": pa.array([x.tobytes() for x in digests], pa.binary())})
-
-    sent = per_row.mapInArrow(probes, "a bigint, b bigint, id bigint, row bigint")
-    sent = sent.withColumn("shard", F.pmod("a", F.lit(n_shards)).cast("int")).withColumn("salt", F.pmod("row", F.lit(salts)).cast("int"))
-    copies = shards.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    gone = sent.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInArrow(answered, "row bigint, digest binary")
-    gone = written(gone.groupBy("row").agg(F.collect_set("digest").alias("__gone")), "line-drops")
-    joined = docs.join(gone, row_key == gone["row"], "left").select(*[docs[c] for c in names], "__gone")
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by shard and salt, a shard's arrays before the probes."""
+        held, of = None, None
+        schema = pa.schema([pa.field("row", pa.int64()), pa.field("digest", pa.binary())])
+        for rows in batches:
+            shard, salt, kind = (rows.column(k).to_numpy() for k in range(3))
+            starts = np.flatnonzero(np.r_[True, (shard[1:] != shard[:-1]) | (salt[1:] != salt[:-1]) | (kind[1:] != kind[:-1])])
+            for low, high in zip(starts, np.r_[starts[1:], len(shard)], strict=True):
+                if kind[low] == 0:
+                    held, of = pickle.loads(rows.column(7)[int(low)].as_py()), (shard[low], salt[low])
+                    continue
+                if of != (shard[low], salt[low]):
+                    continue  # a shard without counted lines
+                part = rows.slice(low, high - low)
+                a, b = (part.column(k).to_numpy().view(np.uint64) for k in (3, 4))
+                gone = held.drops(a, b, part.column(5).to_numpy(), min_docs)
+                digests = np.stack([a[gone], b[gone]], axis=1)
+                yield batch(schema, part.column(6).filter(pa.array(gone)), [x.tobytes() for x in digests])
+
+    sent = per_row.mapInArrow(probes, "a bigint, b bigint, id bigint, row bigint").withColumn("shard", F.pmod("a", F.lit(n_shards)).cast("int"))
+    sent = sent.join(small(salts), "shard").withColumn("salt", F.pmod("row", F.col("salts")).cast("int"))
+    copies = shards.join(small(salts), "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    both = copies.select("shard", "salt", F.lit(0).alias("kind"), *[none("bigint", c) for c in ("a", "b", "id", "row")], "data").union(
+        sent.select("shard", "salt", F.lit(1).alias("kind"), "a", "b", "id", "row", none("binary", "data"))
+    )
+    gone = both.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(answered, "row bigint, digest binary")
+    row, digests = unused("row", docs.columns), unused("digests", docs.columns)
+    gone = written(gone.groupBy(F.col("row").alias(row)).agg(F.collect_set("digest").alias(digests)), "line-drops")
+    joined = docs.withColumn(row, row_key).join(gone, row, "left").select(*names, digests)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -291,7 +321,8 @@ def dedup_lines(
     min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """The rows with the columns of the input and repeated lines gone from their texts."""
-    return probe(docs, id_col, text_col, min_docs, min_chars, broadcast_bytes).drop("__n_lines", "__n_dropped")
+    counts = unused("n_lines", docs.columns), unused("n_dropped", docs.columns)
+    return probe(docs, id_col, text_col, min_docs, min_chars, broadcast_bytes, counts).drop(*counts)
 
 
 def line_report(
@@ -299,25 +330,28 @@ def line_report(
     min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Per row the id, ``n_lines``, ``n_dropped`` and the ``kept`` text."""
-    found = probe(docs.select(id_col, text_col), id_col, text_col, min_docs, min_chars, broadcast_bytes)
-    return found.select(id_col, F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.col(text_col).alias("kept"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("kept"))
+    found = probe(rows, "id", "kept", min_docs, min_chars, broadcast_bytes, ("n_lines", "n_dropped"))
+    return found.select(F.col("id").alias(id_col), "n_lines", "n_dropped", "kept")
 
 
 REPORT_SQL = r"""
-WITH lines AS (
-  SELECT doc_id, t.k AS k, t.line AS line,
+WITH numbered AS (
+  SELECT doc_id, text, row_number() OVER () AS rid FROM documents
+), lines AS (
+  SELECT rid, doc_id, t.k AS k, t.line AS line,
          translate(regexp_replace(t.line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
-  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+  FROM (SELECT rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM numbered),
        LATERAL (SELECT unnest(parts) AS line, unnest(range(len(parts))) AS k) AS t
 ), counted AS (
   SELECT key, max(doc_id) AS holder FROM lines WHERE length(key) >= 20
-  GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+  GROUP BY key HAVING count(DISTINCT rid) >= 3
 ), marked AS (
-  SELECT l.doc_id, l.k, l.line, c.key IS NOT NULL AND c.holder <> l.doc_id AS gone
+  SELECT l.rid, l.doc_id, l.k, l.line, c.key IS NOT NULL AND c.holder <> l.doc_id AS gone
   FROM lines l LEFT JOIN counted c ON l.key = c.key
 )
 SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY rid, doc_id
 """

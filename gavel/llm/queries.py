@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gavel.llm import language_id, quality_classifier, toxicity
 from gavel.llm.common import remainder, table
 from gavel.llm.decontaminate import find_leaks
-from gavel.llm.license_scan import scan_licenses
+from gavel.llm.license_scan import scan_licenses, scan_sql
 from gavel.llm.line_dedup import REPORT_SQL, line_report
 from gavel.llm.packing import pack
 from gavel.llm.quality_rules import JUDGE_SQL, judge_quality
@@ -88,4 +88,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op3_quality_rules": JUDGE_SQL,
     "op4_line_dedup": REPORT_SQL,
+    "op5_license_scan": scan_sql(),
 }
