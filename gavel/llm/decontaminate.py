@@ -1,23 +1,25 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark items and texts are cut into passages of ``WINDOW`` words that overlap by half. Word
-weights are inverse document frequencies counted over all texts. A randomised SVD of the items'
-TF-IDF passages, its products summed over partitions, spans the latent space; every passage of
-every text is projected, and those whose cosine to an item's passage reaches ``COSINE`` become
-candidates. A candidate counts as a leak only if the longest common subsequence of words covers
-enough of the item, or less of it together with the item's answer (the ``answer`` column if there
-is one, else its last sentence).
-
-A passage is projected only if words of the benchmark carry ``SHARED`` of its weight, since with
-less of it an item could fill but a few of the passage's words.
-
-The benchmark is the query set: it is worked through in blocks of about ``BLOCK`` items, each with
-its own latent space, so that what is broadcast is bounded whatever its size. Texts and
-items are lower-cased throughout, accented letters too. Texts are never shuffled; only word counts are, pre-aggregated by partition.
+Benchmark items and texts are cut into passages that overlap by half, of a size that suits the item
+(``SCALES``), so that an item in the midst of other words still fills a passage. Word weights are
+inverse document frequencies counted over all texts. A randomised SVD of the items' TF-IDF passages,
+its products summed over partitions, spans the latent space; every passage of every text is
+projected, and those whose cosine to an item's passage reaches ``COSINE`` become candidates. A
+candidate counts as a leak only if the longest common subsequence of words covers enough of the
+item, or less of it together with the item's answer (the ``answer`` column if there is one, else its
+last sentence).
+
+A passage is projected only if words of the items of its scale carry ``SHARED`` of its weight.
+
+The benchmark is the query set. Its distinct items are dealt into blocks of about ``BLOCK`` items and
+``BLOCK_BYTES`` of text, each with its own latent space, and one pass over the texts tries as many
+blocks as fit in ``PASS_BYTES``. Texts and items are lower-cased throughout, accented letters too.
+Texts are never shuffled; only word counts are, pre-aggregated by partition.
 
 Defined results: a null, empty or wordless text or item matches nothing; rows that repeat an id
-or an item give a pair each, of which one stays; a null id is an id like any other; an empty
-table gives an empty result; other columns pass through ``drop_leaks`` untouched.
+or an item give a pair each, of which one stays: that of the best coverage, then cosine, then the
+first place; a null id is an id like any other; a very long text is hashed in pieces and counts whole;
+an empty table gives an empty result; other columns pass through ``drop_leaks`` untouched.
 """
 
 from __future__ import annotations
@@ -30,17 +32,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from gavel.llm.common import batch, spans, utf8
+from gavel.llm.common import batch, spans, unused, utf8
 from gavel.llm.hashing import powers, word_hashes
 
-WINDOW, STEP = 24, 12
+#: Least words of an item, and words and step of the passages that are compared with it.
+SCALES = ((1, 6, 3), (12, 12, 6), (30, 24, 12))
 #: Buckets of the word counts, as bits of the word hash.
 BITS = 18
 RANK, EXTRA, POWERS = 256, 16, 1
-BLOCK, STRIP = 1024, 1024
-#: Least share of a passage's weight on words of the benchmark.
-SHARED = 0.3
+#: Items and bytes of items of a block, about; bytes of the latent spaces of one pass; rows of a strip of sums.
+BLOCK, BLOCK_BYTES, PASS_BYTES, STRIP = 1024, 256 << 10, 256 << 20, 1024
+#: Least share of a passage's weight on words of the items of its scale.
+SHARED = 0.2
 COSINE = 0.55
 #: Covered share of an item that makes a leak, alone or with the answer, and of an answer.
 COVERED, COVERED_WITH_ANSWER, ANSWER_COVERED = 0.7, 0.5, 0.8
@@ -76,12 +81,17 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     return counts, total
 
 
+def scale_of(n_words: int) -> int:
+    return max(k for k, (least, _, _) in enumerate(SCALES) if n_words >= least)
+
+
 def passages(n_words: int) -> list[tuple[int, int]]:
     """First word and end of the passages of one item."""
-    if n_words <= WINDOW:
-        return [(0, n_words)] if n_words else []
-    starts = list(range(0, n_words - WINDOW, STEP)) + [n_words - WINDOW]
-    return [(s, s + WINDOW) for s in starts]
+    _, window, step = SCALES[scale_of(n_words)]
+    if n_words <= window:
+        return [(0, n_words)]
+    starts = list(range(0, n_words - window, step)) + [n_words - window]
+    return [(s, s + window) for s in starts]
 
 
 @dataclass
@@ -135,10 +145,15 @@ class Latent:
     row: np.ndarray  # bucket -> row of a word, -1 for none; words share a bucket only by accident
     vocabulary: np.ndarray  # hash of each row's word
     vectors: np.ndarray  # (rows, rank): a word's place in the latent space, times its weight
-    queries: np.ndarray  # (item passages, rank), unit length
-    owner: np.ndarray  # item of each passage
+    of_scale: np.ndarray  # (scales, rows): whether an item of the scale holds the word
+    queries: list[np.ndarray]  # by scale: (item passages, rank), unit length
+    owner: list[np.ndarray]  # by scale: item of each passage
     items: list[Item]
 
+    @property
+    def n_bytes(self) -> int:
+        return self.vectors.nbytes + self.row.nbytes + sum(q.nbytes for q in self.queries) + 200 * sum(len(x.words) for x in self.items)
+
     def rows_of(self, words: np.ndarray) -> np.ndarray:
         found = self.row[bucket(words)]
         known = np.flatnonzero(found >= 0)
@@ -193,11 +208,10 @@ def randomised_svd(rows: DataFrame, n_terms: int, n_rows: int, seed: int = 5) ->
     return basis @ turn[:, best]
 
 
-def fit_block(block: DataFrame, idf: np.ndarray, id_col: str, text_col: str) -> Latent | None:
-    """The latent space of one block of items, at most about ``BLOCK`` of them."""
-    answers = F.col("answer").cast("string") if "answer" in block.columns else F.lit(None).cast("string")
+def fit_block(block: DataFrame, idf: np.ndarray) -> Latent | None:
+    """The latent space of one block (id, text, answer) of items, lower-cased."""
     items = []
-    for r in block.select(F.col(id_col).alias("id"), F.lower(text_col).alias("text"), F.lower(answers).alias("answer")).collect():
+    for r in block.collect():
         if words := hashed(r["text"]):
             items.append(Item(r["id"], words, hashed(r["answer"] or last_sentence(r["text"]))))
     if not items:
@@ -205,9 +219,10 @@ def fit_block(block: DataFrame, idf: np.ndarray, id_col: str, text_col: str) ->
     items.sort(key=lambda x: (str(x.key), x.words))
     vocabulary = np.unique(np.array([w for x in items for w in x.words], np.uint64))
     weight = idf[bucket(vocabulary)].astype(np.float64)
-    owner, rows = [], []
+    owner, rows, of_scale = [], [], np.zeros((len(SCALES), len(vocabulary)), bool)
     for n, item in enumerate(items):
         places = np.searchsorted(vocabulary, np.array(item.words, np.uint64))
+        of_scale[scale_of(len(places)), places] = True
         for first, end in passages(len(places)):
             at, times = np.unique(places[first:end], return_counts=True)
             weights = times * weight[at]
@@ -221,7 +236,13 @@ def fit_block(block: DataFrame, idf: np.ndarray, id_col: str, text_col: str) ->
     queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
     row = np.full(1 << BITS, -1, np.int32)
     row[bucket(vocabulary)] = np.arange(len(vocabulary))
-    return Latent(idf, row, vocabulary, (vectors * weight[:, None]).astype(np.float32), queries.astype(np.float32), np.array(owner), items)
+    owner = np.array(owner)
+    scales = np.array([scale_of(len(x.words)) for x in items])[owner]
+    by_scale = [np.flatnonzero(scales == k) for k in range(len(SCALES))]
+    return Latent(
+        idf, row, vocabulary, (vectors * weight[:, None]).astype(np.float32), of_scale,
+        [queries[k].astype(np.float32) for k in by_scale], [owner[k] for k in by_scale], items,
+    )
 
 
 @dataclass
@@ -234,39 +255,51 @@ class Leak:
     first_word: int
 
 
-def find_in(latent: Latent, data: np.ndarray, at: np.ndarray, tables: tuple) -> Iterator[Leak]:
+def find_in(latents: list[Latent], data: np.ndarray, at: np.ndarray, tables: tuple) -> Iterator[tuple[Latent, Leak]]:
     """Leaks in the texts at ``at``: for each text and item the best candidate passage."""
     owner, words = word_hashes(data, at, tables)
     if not len(words):
         return
-    n_docs = len(at) - 1
-    n_words = np.bincount(owner, minlength=n_docs)
+    n_words = np.bincount(owner, minlength=len(at) - 1)
+    weight2 = latents[0].idf[bucket(words)].astype(np.float64) ** 2
+    whole = np.r_[0.0, np.cumsum(weight2)]
+    for latent in latents:
+        best: dict[tuple[int, int], Leak] = {}
+        rows = latent.rows_of(words)
+        for scale in range(len(SCALES)):
+            if len(latent.queries[scale]):
+                of_scale = np.where(rows >= 0, np.where(latent.of_scale[scale][rows], rows, -1), -1)
+                for leak in find_at(latent, scale, words, n_words, of_scale, weight2, whole):
+                    old = best.get((leak.row, leak.item))
+                    if old is None or (leak.covered, leak.cosine, -leak.first_word) > (old.covered, old.cosine, -old.first_word):
+                        best[leak.row, leak.item] = leak
+        for leak in best.values():
+            yield latent, leak
+
+
+def find_at(latent: Latent, scale: int, words: np.ndarray, n_words: np.ndarray, rows: np.ndarray, weight2: np.ndarray, whole: np.ndarray) -> Iterator[Leak]:
+    """Leaks of the items of one scale; ``rows`` has the words of that scale's items, -1 for others."""
+    _, size, step = SCALES[scale]
     begin = np.cumsum(n_words) - n_words
-    each = np.where(n_words > 0, np.maximum(1, -(-(n_words - WINDOW) // STEP) + 1), 0)
-    doc = np.repeat(np.arange(n_docs), each)
+    each = np.where(n_words > 0, np.maximum(1, -(-(n_words - size) // step) + 1), 0)
+    doc = np.repeat(np.arange(len(n_words)), each)
     place = np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each)
-    first = begin[doc] + place * STEP
-    end = np.minimum(first + WINDOW, (begin + n_words)[doc])
-
-    rows = latent.rows_of(words)
-    weight2 = latent.idf[bucket(words)].astype(np.float64) ** 2
-    sums = np.zeros((2, len(words) + 1))
-    np.cumsum(weight2, out=sums[0, 1:])
-    np.cumsum(np.where(rows >= 0, weight2, 0), out=sums[1, 1:])
-    whole, shared = sums[0][end] - sums[0][first], sums[1][end] - sums[1][first]
-    likely = np.flatnonzero((whole > 0) & (shared >= SHARED * whole))
-    best: dict[tuple[int, int], Leak] = {}
+    first = begin[doc] + place * step
+    end = np.minimum(first + size, (begin + n_words)[doc])
+    known = np.r_[0.0, np.cumsum(np.where(rows >= 0, weight2, 0))]
+    weight, shared = whole[end] - whole[first], known[end] - known[first]
+    likely = np.flatnonzero((weight > 0) & (shared > 0) & (shared >= SHARED * weight))
     for low in range(0, len(likely), 2048):
         part = likely[low : low + 2048]
-        steps = first[part][:, None] + np.arange(WINDOW)
+        steps = first[part][:, None] + np.arange(size)
         inside = steps < end[part][:, None]
         at_row = np.where(inside, rows[np.minimum(steps, len(rows) - 1)], -1)
         taken, column = np.nonzero(at_row >= 0)
         starts = np.flatnonzero(np.r_[True, taken[1:] != taken[:-1]])
         projected = np.add.reduceat(latent.vectors[at_row[taken, column]], starts, axis=0)
-        cosines = projected @ latent.queries.T / np.maximum(np.linalg.norm(projected, axis=1, keepdims=True), 1e-12)
+        cosines = projected @ latent.queries[scale].T / np.maximum(np.linalg.norm(projected, axis=1, keepdims=True), 1e-12)
         for hit, query in zip(*np.nonzero(cosines >= COSINE), strict=True):
-            window, item = part[taken[starts[hit]]], int(latent.owner[query])
+            window, item = part[taken[starts[hit]]], int(latent.owner[scale][query])
             own = latent.items[item]
             reach = len(own.words)
             low_word, d = int(begin[doc[window]]), int(doc[window])
@@ -278,76 +311,75 @@ def find_in(latent: Latent, data: np.ndarray, at: np.ndarray, tables: tuple) ->
             covered = common_words(own.masks, reach, region) / reach
             answer = bool(own.answer) and common_words(own.answer_masks, len(own.answer), region) >= ANSWER_COVERED * len(own.answer)
             if covered >= COVERED or (answer and covered >= COVERED_WITH_ANSWER):
-                leak = Leak(d, item, float(cosines[hit, query]), covered, answer, int(first[window]) - low_word)
-                old = best.get((d, item))
-                if old is None or (leak.covered, leak.cosine) > (old.covered, old.cosine):
-                    best[d, item] = leak
-    yield from best.values()
+                yield Leak(d, item, float(cosines[hit, query]), covered, answer, int(first[window]) - low_word)
 
 
-def blocks_of(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str) -> Iterator[Latent]:
-    """Latent spaces of the blocks of the benchmark."""
-    n = benchmark.count()
+def blocks_of(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str) -> Iterator[list[Latent]]:
+    """Latent spaces of the blocks of the benchmark, as many at a time as one pass holds."""
+    answers = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
+    items = benchmark.select(F.col(item_col).alias("id"), F.lower(item_text_col).alias("text"), F.lower(answers).alias("answer")).distinct()
+    n, n_bytes = items.agg(F.count("text"), F.sum(F.octet_length("text"))).first()
     if not n:
         return
     counts, total = document_frequencies(docs.select(F.lower(text_col)))
     idf = np.log((1 + total) / (1 + counts)).astype(np.float32) + np.float32(1e-3)
-    n_blocks = -(-n // BLOCK)
+    n_blocks = max(1, -(-n // BLOCK), -(-n_bytes // BLOCK_BYTES))
+    held: list[Latent] = []
     for k in range(n_blocks):
-        part = benchmark.where(F.pmod(F.xxhash64(item_col, item_text_col), F.lit(n_blocks)) == k)
-        if (latent := fit_block(part, idf, item_col, item_text_col)) is not None:
-            yield latent
+        latent = fit_block(items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == k), idf)
+        if latent is None:
+            continue
+        if held and sum(x.n_bytes for x in held) + latent.n_bytes > PASS_BYTES:
+            yield held
+            held = []
+        held.append(latent)
+    if held:
+        yield held
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, item, cosine, covered, answer_found, first_word) of every text and item that it holds."""
-    kinds = docs.select(id_col).schema[0].dataType, benchmark.select(item_col).schema[0].dataType
+    kinds = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
     schema = T.StructType().add(id_col, kinds[0]).add(item_col, kinds[1]).add("cosine", T.DoubleType()).add("covered", T.DoubleType()).add("answer_found", T.BooleanType()).add("first_word", T.LongType())
-    found = None
-    for latent in blocks_of(docs, benchmark, text_col, item_col, item_text_col):
-        held = docs.sparkSession.sparkContext.broadcast(latent)
+    found, item_type = None, to_arrow_type(kinds[1])
+    for latents in blocks_of(docs, benchmark, text_col, item_col, item_text_col):
+        held = docs.sparkSession.sparkContext.broadcast(latents)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            latent, tables = held.value, powers(TABLES)
+            tables = powers(TABLES)
             for rows in batches:
                 data, at = utf8(rows.column(1))
-                leaks = [(low + x.row, x) for low, high in spans(at) for x in find_in(latent, data, at[low : high + 1], tables)]
-                taken = pa.array([k for k, _ in leaks], pa.int64())
+                leaks = [(low + x.row, latent.items[x.item].key, x) for low, high in spans(at) for latent, x in find_in(held.value, data, at[low : high + 1], tables)]
                 yield pa.RecordBatch.from_arrays([
-                    rows.column(0).take(taken), pa.array([latent.items[x.item].key for _, x in leaks], names[1].type),
-                    pa.array([x.cosine for _, x in leaks], pa.float64()), pa.array([x.covered for _, x in leaks], pa.float64()),
-                    pa.array([x.answer for _, x in leaks], pa.bool_()), pa.array([x.first_word for _, x in leaks], pa.int64()),
-                ], names=[f.name for f in names])
-
-        names = [pa.field(id_col, pa.int64()), pa.field(item_col, arrow_type(kinds[1]))]
-        names += [pa.field(n, pa.null()) for n in ("cosine", "covered", "answer_found", "first_word")]
-        part = docs.select(id_col, F.lower(text_col)).mapInArrow(run, schema)
+                    rows.column(0).take(pa.array([k for k, *_ in leaks], pa.int64())), pa.array([key for _, key, _ in leaks], item_type),
+                    pa.array([x.cosine for *_, x in leaks], pa.float64()), pa.array([x.covered for *_, x in leaks], pa.float64()),
+                    pa.array([x.answer for *_, x in leaks], pa.bool_()), pa.array([x.first_word for *_, x in leaks], pa.int64()),
+                ], names=schema.names)
+
+        part = docs.select(F.col(f"`{id_col}`"), F.lower(text_col)).mapInArrow(run, schema)
         found = part if found is None else found.union(part)
     if found is None:
         return docs.sparkSession.createDataFrame([], schema)
-    best = F.max_by(F.struct("cosine", "covered", "answer_found", "first_word"), F.struct("covered", "cosine")).alias("best")
-    return found.groupBy(id_col, item_col).agg(best).select(id_col, item_col, "best.*")
-
-
-def arrow_type(kind: T.DataType) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]
+    best = F.max_by(F.struct("cosine", "covered", "answer_found", "first_word"), F.struct("covered", "cosine", -F.col("first_word"))).alias("best")
+    return found.groupBy(F.col(f"`{id_col}`"), F.col(f"`{item_col}`")).agg(best).select(F.col(f"`{id_col}`"), F.col(f"`{item_col}`"), "best.*")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows whose text holds no item, with the columns of the input: a map without shuffle."""
     kept, place = docs, len(docs.columns)
-    for latent in blocks_of(docs, benchmark, text_col, item_col, item_text_col):
-        held = docs.sparkSession.sparkContext.broadcast(latent)
+    lower = unused("lower", docs.columns)
+    for latents in blocks_of(docs, benchmark, text_col, item_col, item_text_col):
+        held = docs.sparkSession.sparkContext.broadcast(latents)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            latent, tables = held.value, powers(TABLES)
+            tables = powers(TABLES)
             for rows in batches:
                 data, at = utf8(rows.column(place))
                 clean = np.ones(len(rows), bool)
                 for low, high in spans(at):
-                    for leak in find_in(latent, data, at[low : high + 1], tables):
+                    for _, leak in find_in(held.value, data, at[low : high + 1], tables):
                         clean[low + leak.row] = False
                 yield rows.filter(pa.array(clean)).select(list(range(place)))
 
-        kept = kept.select(*[F.col(f"`{c}`") for c in docs.columns], F.lower(text_col).alias("__lower")).mapInArrow(run, docs.schema)
+        kept = kept.select(*[F.col(f"`{c}`") for c in docs.columns], F.lower(text_col).alias(lower)).mapInArrow(run, docs.schema)
     return kept
