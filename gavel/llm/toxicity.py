@@ -4,14 +4,14 @@ Features of a text are the hashes of its words (whole, and their stems, so that
 share weight), of its pairs of neighbours and of its pairs with one word between them; each feature
 counts once. Every coordinate has a learning rate of its own,
 and the L1 term keeps weights at zero until the evidence outweighs it, so the fitted model is a
-short list of weights whose size is checked before it is broadcast.
+short list of weights; there are ``2 ** BITS`` coordinates, so it has 50 MB at most when broadcast.
 
-Words are those of ``hashing.word_hashes``; whole texts count.
+Words are those of ``hashing.word_hashes``; whole texts count, very long ones in pieces cut between words.
 
 Defined results: a null, empty or wordless text has no features and gets the score of the bias
 alone; rows with a null label or id are not learned from; without any labelled row all scores are
-0; a text with several labels is learned from once for each; repeated rows are scored each on its
-own; an empty table gives an empty result; other columns are ignored.
+0; a text with several labels is learned from once for each, and so is each row of a repeated id; a
+text whose features alone exceed the sample's bytes isn't learned from; repeated rows are scored each on its own; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,17 +23,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gavel.llm.common import batch, spans, unit, utf8
+from gavel.llm.common import batch, spans, unit, utf8, written
 from gavel.llm.hashing import mixed, powers, stem_hashes
 
 BITS = 22
 #: Sizes of the stems of a word, in bytes.
 STEMS = (4, 5)
-#: Bound of the training sample, in labelled texts.
-SAMPLE = 12_000
+#: Bounds of the training sample: labelled texts, and bytes of their features, which the driver gathers.
+SAMPLE, SAMPLE_BYTES = 12_000, 80 << 20
 ALPHA, BETA, L1, L2, PASSES = 1.0, 1.0, 6.0, 0.1, 3
-MAX_WEIGHTS = 2_000_000
 
 
 def features(data: np.ndarray, at: np.ndarray, tables: tuple | None = None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -91,13 +91,12 @@ def ftrl(rows: list[tuple[np.ndarray, int]], bits: int = BITS) -> SparseLogit:
             bias_n += g * g
     w = solved(z, n)
     at = np.flatnonzero(w)
-    if len(at) > MAX_WEIGHTS:
-        raise ValueError(f"more than {MAX_WEIGHTS} weights are not zero")
     return SparseLogit(at, w[at].astype(np.float32), -bias_z / ((BETA + bias_n**0.5) / ALPHA))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> list[tuple[np.ndarray, int]]:
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int, sample_bytes: int) -> list[tuple[np.ndarray, int]]:
     """About ``sample`` labelled texts, drawn by a hash of the id, as distinct coordinates and label.
+    Ids are taken in the order of the draw, each if its features still fit in ``sample_bytes``.
 
     ``labels`` holds the rows that may be learned from, as id and label.
     """
@@ -119,13 +118,19 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
                 found.append(np.unique(own).astype("<i4").tobytes())
             yield batch(schema, rows.column(0), rows.column(1), found)
 
-    sent = picked.select(F.xxhash64("id").alias("draw"), "y", "text").mapInArrow(run, "draw bigint, y int, at binary")
-    ordered = sorted((r["draw"], r["y"], bytes(r["at"])) for r in sent.collect())
+    sent = written(picked.select(F.xxhash64("id").alias("draw"), "y", "text").mapInArrow(run, "draw bigint, y int, at binary"), "training-features")
+    sizes = sorted(tuple(r) for r in sent.groupBy("draw").agg(F.sum(F.octet_length("at"))).collect())  # a row for each drawn id
+    taken, total = [], 0
+    for draw, size in sizes:
+        if total + size <= sample_bytes:
+            taken, total = [*taken, draw], total + size
+    ids = F.broadcast(sent.sparkSession.createDataFrame([(x,) for x in taken], "draw bigint"))
+    ordered = sorted((r["draw"], r["y"], bytes(r["at"])) for r in sent.join(ids, "draw").collect())
     return [(np.frombuffer(at, "<i4"), y) for _, y, at in ordered]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> SparseLogit | None:
-    rows = training_rows(docs, labels, id_col, text_col, label_col, sample)
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> SparseLogit | None:
+    rows = training_rows(docs, labels, id_col, text_col, label_col, sample, sample_bytes)
     return ftrl(rows) if rows else None
 
 
@@ -153,5 +158,5 @@ def score(docs: DataFrame, model: SparseLogit | None, id_col: str = "doc_id", te
             schema = pa.schema([pa.field(id_col, rows.column(0).type), pa.field("score", pa.float64())])
             yield batch(schema, rows.column(0), sigmoid(total))
 
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, score double")
+    out = T.StructType().add(id_col, docs.schema[id_col].dataType).add("score", T.DoubleType())
+    return docs.select(F.col(f"`{id_col}`"), text_col).mapInArrow(run, out)
