@@ -10,8 +10,9 @@ Texts are read once: the statistics are written to the shared folder and everyth
 on those.
 
 Defined results: a null, empty or wordless text has statistics of zero and is scored like any
-other; rows with a null label or id are not learned from; without any labelled row all scores are
-0; a text with several labels is learned from once for each; repeated rows are scored each on its
+other; a very long text is hashed in pieces and counts whole; rows with a null label or id are not
+learned from; if only one of the two parts, to regress on and to calibrate, has labelled rows, it serves
+for both; without any labelled row all scores are 0; equal scores are one step of the calibration; a text with several labels is learned from once for each; repeated rows are scored each on its
 own; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -25,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql import types as T
+
 from gavel.llm.common import batch, spans, utf8, written
 from gavel.llm.hashing import run_hashes, word_hashes
 
@@ -109,8 +112,8 @@ def with_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 rows.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
             )
 
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return written(docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, stats array<double>"), "statistics")
+    out = T.StructType().add("id", docs.schema[id_col].dataType).add("stats", T.ArrayType(T.DoubleType()))
+    return written(docs.select(F.col(f"`{id_col}`"), text_col).mapInArrow(run, out), "statistics")
 
 
 @dataclass
@@ -193,7 +196,11 @@ def fit(stats: DataFrame, labels: DataFrame, calibrate: Column, label_col: str =
     """Learn from ``labels`` (id and label); rows that ``calibrate`` admits calibrate, others are regressed on."""
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y"), F.coalesce(calibrate, F.lit(False)).alias("later")).where(F.col("id").isNotNull() & F.col("y").isNotNull())
     rows = written(stats.join(usable, "id").select("stats", "y", "later"), "labelled-statistics")
-    first = rows.where(~F.col("later"))
+    first, later = rows.where(~F.col("later")), rows.where("later")
+    if first.isEmpty():
+        first = later
+    elif later.isEmpty():
+        later = first
     n = len(STATISTICS)
     moments = first.agg(*[F.avg(F.get("stats", F.lit(k))).alias(f"m{k}") for k in range(n)], *[F.stddev_pop(F.get("stats", F.lit(k))).alias(f"s{k}") for k in range(n)]).first()
     if moments["m0"] is None:
@@ -210,7 +217,6 @@ def fit(stats: DataFrame, labels: DataFrame, calibrate: Column, label_col: str =
         for part in batches:
             yield batch(pa.schema([pa.field("raw", pa.float64()), pa.field("y", pa.float64())]), held.value.raw(stats_of(part.column(0))), part.column(1))
 
-    later = rows.where("later") if rows.where("later").take(1) else first
     bins = later.select("stats", "y").mapInArrow(scored, "raw double, y double").groupBy(F.least(F.greatest(F.floor(F.col("raw") * BINS), F.lit(-BINS)), F.lit(2 * BINS)).alias("bin"))
     counted = sorted(bins.agg(F.avg("raw"), F.sum("y"), F.count("*")).collect())
     at, level = pooled(*(np.array([r[k] for r in counted]) for k in (1, 2, 3)))
@@ -227,5 +233,4 @@ def score(stats: DataFrame, model: QualityModel | None, id_col: str = "doc_id")
         for part in batches:
             yield batch(pa.schema([pa.field(id_col, part.column(0).type), pa.field("score", pa.float64())]), part.column(0), np.clip(held.value.score(stats_of(part.column(1))), 0, 1))
 
-    kind = stats.schema["id"].dataType.simpleString()
-    return stats.select("id", "stats").mapInArrow(run, f"{id_col} {kind}, score double")
+    return stats.select("id", "stats").mapInArrow(run, T.StructType().add(id_col, stats.schema["id"].dataType).add("score", T.DoubleType()))
