@@ -10,7 +10,8 @@ To apply it, embedding and filters are folded into one table of responses by byt
 window needs look-ups, sums and maxima only, block by block.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, as is every text
-when no labelled text was there to learn from; rows with a null language or id are not learned
+when no labelled text was there to learn from; of equal probabilities the first language by name wins;
+a very long text has as many windows as it needs, worked through block by block; rows with a null language or id are not learned
 from; repeated rows are predicted each on its own; an empty table gives an empty result; other
 columns are ignored.
 """
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gavel.llm.common import batch, spans, unit, utf8
 
@@ -31,6 +33,7 @@ UNKNOWN = "und"
 WIDTHS, FILTERS, DEPTH, LENGTH = (2, 3, 4), 8, 8, 256
 #: Bounds of the training sample: texts of each language, and windows of each text.
 TEXTS_PER_LANGUAGE, WINDOWS_PER_TEXT = 400, 4
+#: Languages that are learned: the most frequent ones, ties by name.
 MAX_LANGUAGES = 400
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 BLOCK = 16
@@ -152,9 +155,7 @@ def training_windows(docs: DataFrame, learn: Column, id_col: str, text_col: str,
     by a hash of the id, and of each text at most ``WINDOWS_PER_TEXT`` windows spread over the whole.
     """
     admitted = docs.where(learn & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    counts = {r[lang_col]: r["n"] for r in admitted.groupBy(lang_col).agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = {r[lang_col]: r["n"] for r in admitted.groupBy(lang_col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang_col).limit(MAX_LANGUAGES).collect()}
     if not counts:
         return np.zeros((0, LENGTH), np.uint8), []
     draw = unit(F.col(id_col), salt="language")
@@ -218,5 +219,5 @@ def predict(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_c
             schema = pa.schema([pa.field(id_col, rows.column(0).type), pa.field("lang_pred", pa.string()), pa.field("score", pa.float64())])
             yield batch(schema, rows.column(0), names[best].tolist(), score)
 
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"), letters.alias("letters")).mapInArrow(run, f"{id_col} {kind}, lang_pred string, score double")
+    out = T.StructType().add(id_col, docs.schema[id_col].dataType).add("lang_pred", T.StringType()).add("score", T.DoubleType())
+    return docs.select(F.col(f"`{id_col}`"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), letters.alias("letters")).mapInArrow(run, out)

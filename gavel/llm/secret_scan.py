@@ -5,7 +5,8 @@ has been decoded and parsed: signed tokens (``jwt``) need a JSON header that nam
 armoured keys (``pem``) and bare base64 or hex blobs (``key``) need a DER structure whose nested
 lengths add up, or the length-prefixed fields of an OpenSSH key.
 
-Defined results: a null text counts as empty and has no spans; repeated rows are scanned each on
+Defined results: a null text counts as empty and has no spans; a very long text is scanned whole; spans
+of several kinds at one place all stay; repeated rows are scanned each on
 its own; an empty table gives an empty result; other columns of the input are ignored. Offsets
 are in code points, the end exclusive.
 """
@@ -20,6 +21,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gavel.llm.common import batch, texts
 
@@ -148,8 +151,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A map over the rows without any shuffle; memory is bounded by one Arrow batch.
     """
-    ids = docs.select(id_col).schema[0].dataType.simpleString()
-    out = f"{id_col} {ids}, n_assign bigint, n_access bigint, n_hex bigint, n_confirmed bigint, base_spans string, spans string"
+    out = T.StructType().add(id_col, docs.schema[id_col].dataType)
+    for name in ("n_assign", "n_access", "n_hex", "n_confirmed"):
+        out = out.add(name, T.LongType())
+    out = out.add("base_spans", T.StringType()).add("spans", T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -162,6 +167,4 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 [len(c) for _, c in found], [joined(b) for b, _ in found], [joined(x) for x in whole],
             )
 
-    return docs.select(id_col, text_col).mapInArrow(run, out)
-
-
+    return docs.select(F.col(f"`{id_col}`"), text_col).mapInArrow(run, out)
