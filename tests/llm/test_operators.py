@@ -124,6 +124,12 @@ def test_scores_of_odd_rows(spark):
     assert quality_classifier.fit(stats, empty(labels), F.lit(False), label_col="y") is None
     none = quality_classifier.with_statistics(empty(odd), "doc_id", "text")
     assert quality_classifier.score(none, model).count() == 0
+    for calibrate in (F.lit(True), F.lit(False)):  # all labels in one part: it serves for both
+        only = quality_classifier.fit(stats, labels, calibrate, label_col="y")
+        assert only is not None and len({r.score for r in quality_classifier.score(stats, only).collect()}) > 1
+    assert toxicity.training_rows(odd, labels, "doc_id", "text", "y", 100, 0) == []
+    few = toxicity.training_rows(odd, labels, "doc_id", "text", "y", 100, 2000)
+    assert 0 < sum(at.nbytes for at, _ in few) <= 2000
 
 
 def test_word_hashes_follow_the_words():
@@ -195,7 +201,8 @@ def test_line_dedup(spark, docs, rows, room, monkeypatch):
     for frame, pairs in ((docs, rows), (odd, [(r.doc_id, r.text) for r in odd.collect()])):
         got = sorted((tuple(r) for r in line_report(frame, broadcast_bytes=room).collect()), key=str)
         assert got == brute_lines(pairs)
-    assert dedup_lines(odd).columns == odd.columns
+    clash = odd.withColumnsRenamed({"n_words": "n_lines", "key": "n_dropped", "label": "digests", "source": "row"})
+    assert dedup_lines(clash, broadcast_bytes=room).columns == clash.columns
     assert line_report(empty(odd), broadcast_bytes=room).count() == 0
 
 
@@ -263,6 +270,35 @@ def test_leaks_are_found_and_clean_texts_stay(spark):
     assert find_leaks(odd_rows(spark), bench).count() == 0
 
 
+@pytest.mark.parametrize("n_words", [4, 6, 9, 11, 14, 20, 29, 34, 60])
+def test_verbatim_items_of_every_length_are_found(spark, n_words):
+    """Recall of the retrieval against the longest common subsequence of every text and item."""
+    rng = np.random.default_rng(n_words)
+    make = lambda kind, n, most: [f"{kind}{x}" for x in rng.integers(0, most, n)]
+    items = [make("w", n_words, 400) for _ in range(8)]
+    texts = []
+    for i in range(64):
+        words = make("w" if i % 2 else "rare", int(rng.integers(60, 200)), 400 if i % 2 else 100_000)
+        at = int(rng.integers(0, len(words)))
+        words[at:at] = items[i % 8]
+        texts.append((i, " ".join(words)))
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    bench = spark.createDataFrame([(str(i), " ".join(x)) for i, x in enumerate(items)], "item_id string, text string")
+    found = {(r.doc_id, r.item_id) for r in find_leaks(docs, bench).collect()}
+    planted = {(i, str(i % 8)) for i in range(64)}
+    assert len(planted & found) >= 0.95 * len(planted)
+
+
+def test_leaks_in_blocks_and_passes_are_the_same(spark, docs, sf_dir, monkeypatch):
+    bench = table(spark, sf_dir, "benchmark")
+    want = sorted((r.doc_id, r.item_id, r.covered) for r in find_leaks(docs, bench.union(bench)).collect())
+    assert want == sorted((r.doc_id, r.item_id, r.covered) for r in find_leaks(docs, bench).collect())
+    monkeypatch.setattr("gavel.llm.decontaminate.BLOCK", 80)
+    monkeypatch.setattr("gavel.llm.decontaminate.PASS_BYTES", 1)
+    got = sorted((r.doc_id, r.item_id, r.covered) for r in find_leaks(docs, bench).collect())
+    assert {x[:2] for x in got} == {x[:2] for x in want}
+
+
 # packing
 
 
