@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from gavel.llm.common import batch, spans, unused, utf8
+from gavel.llm.common import arrow_rows, batch, spans, unused, utf8
 from gavel.llm.hashing import powers, word_hashes
 
 #: Least words of an item, and words and step of the passages that are compared with it.
@@ -50,6 +50,8 @@ COSINE = 0.55
 #: Covered share of an item that makes a leak, alone or with the answer, and of an answer.
 COVERED, COVERED_WITH_ANSWER, ANSWER_COVERED = 0.7, 0.5, 0.8
 TABLES = (1 << 20) + 1
+#: Texts that a task counts words of at a time.
+ROWS = 1000
 
 
 def bucket(hashes: np.ndarray) -> np.ndarray:
@@ -74,7 +76,9 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
     found = texts.mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     counts, total = np.zeros(1 << BITS, np.int64), 0
-    for r in found.toArrow().to_batches():  # at most one row for each bucket
+    with arrow_rows(texts.sparkSession, ROWS):
+        whole = found.toArrow()
+    for r in whole.to_batches():  # at most one row for each bucket
         at, n = r.column(0).to_numpy(), r.column(1).to_numpy()
         counts[at[at >= 0]] = n[at >= 0]
         total += int(n[at < 0].sum())
