@@ -111,7 +111,8 @@ def json_map(c: Column) -> Column:
 def tagged_names(text: Column, names: Sequence[str]) -> Column:
     """The names that stand in the text as whole words, case ignored, in the order of the list."""
     body = F.coalesce(text, F.lit(""))
-    found = [F.when(body.rlike(rf"(?iu)\b\Q{name}\E\b"), name) for name in names]
+    edge = r"[\p{L}\p{N}_]"
+    found = [F.when(body.rlike(rf"(?iu)(?<!{edge})\Q{name}\E(?!{edge})"), name) for name in names]
     return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
 
 
@@ -181,6 +182,20 @@ def page_count(total: Column, size: int) -> Column:
     return F.greatest(F.ceil(total / size), F.lit(1))
 
 
+def page_links(offset: Column, total: Column, size: int) -> Column:
+    """Struct of whether a page has one before it and one after it."""
+    return F.struct((offset > 0).alias("has_previous"), (offset + size < total).alias("has_next"))
+
+
+def displayed(c: Column, default: str) -> Column:
+    """The text that a page shows, the default for a null or empty one."""
+    return first_filled(c, default=default)
+
+
+def displayed_date(c: Column, default: str) -> Column:
+    return F.coalesce(F.date_format(c, "MMM d, yyyy"), F.lit(default))
+
+
 def natural_id(*columns: Column) -> Column:
     """An id from the natural key: the same on every run."""
     return F.sha2(F.concat_ws("\u0001", *[F.coalesce(c.cast("string"), F.lit("\u0002")) for c in columns]), 256)

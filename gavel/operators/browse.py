@@ -76,23 +76,29 @@ def with_default(df: DataFrame, column: str, value: object) -> DataFrame:
 def list_items(rows: DataFrame, key: str, links: DataFrame, source: str, sponsors: DataFrame, order: Sequence[str], sponsor_name: str) -> DataFrame:
     """Page rows with the distinct sources of their claims and their first sponsor.
 
-    ``links`` and ``sponsors`` are first cut down to the page, which is at most ``MAX_PAGE`` rows and
-    is therefore broadcast.
+    The page, at most ``MAX_PAGE`` rows, is computed once, here; its keys reach the scans of ``links``
+    and ``sponsors`` as a filter.
     """
-    ids = F.broadcast(rows.select(key))
-    counts = distinct_counts(links.join(ids, key, "left_semi"), key, source, "source_count")
-    first = first_by(sponsors.join(ids, key, "left_semi"), key, order, {"primary_sponsor": sponsor_name})
+    page_rows = rows.limit(MAX_PAGE).collect()
+    keys = [r[key] for r in page_rows]
+    rows = rows.sparkSession.createDataFrame(page_rows, rows.schema)
+    counts = distinct_counts(links.where(F.col(key).isin(keys)), key, source, "source_count")
+    first = first_by(sponsors.where(F.col(key).isin(keys)), key, order, {"primary_sponsor": sponsor_name})
     return with_default(rows.join(counts, key, "left"), "source_count", 0).join(first, key, "left")
 
 
 def detail(bills: DataFrame, key: str, claims: DataFrame, claim_sources: DataFrame, sources: DataFrame, sponsors: DataFrame, news: DataFrame) -> DataFrame:
     """Bills with nested claims (each with its sources), sponsors and news, in a fixed order.
 
+    What belongs to other bills is left out before anything is gathered.
+
     ``claims`` has the key, claim_id, claim_type and claim_text; ``claim_sources`` claim_id and
     source_id; ``sources`` source_id and url; ``sponsors`` the key, name and relationship_type;
     ``news`` the key, event_date, title and url.
     """
-    linked = claim_sources.join(sources, "source_id")
+    ids = bills.select(key)
+    claims, sponsors, news = (df.join(ids, key, "left_semi") for df in (claims, sponsors, news))
+    linked = claim_sources.join(claims.select("claim_id"), "claim_id", "left_semi").join(sources, "source_id")
     nested = linked.groupBy("claim_id").agg(F.sort_array(F.collect_list(F.struct("source_id", "url"))).alias("sources"))
     none = F.array().cast(nested.schema["sources"].dataType)
     with_sources = claims.join(nested, "claim_id", "left").withColumn("sources", F.coalesce("sources", none))
@@ -112,5 +118,10 @@ def detail(bills: DataFrame, key: str, claims: DataFrame, claim_sources: DataFra
 
 
 def first_position_last_value(df: DataFrame, group: str, key: str, position: str, value: str) -> DataFrame:
-    """Duplicates of a key within a group: the first position and the last value."""
-    return df.groupBy(group, key).agg(F.min(position).alias("position"), F.max_by(value, position).alias("value"))
+    """Duplicates of a key within a group: the first position and the last value, the largest of those at one position."""
+    return df.groupBy(group, key).agg(F.min(position).alias("position"), F.max(F.struct(position, value))[value].alias("value"))
+
+
+def json_records(df: DataFrame) -> DataFrame:
+    """(record): each row as a JSON object."""
+    return df.select(F.to_json(F.struct(*df.columns)).alias("record"))

@@ -56,8 +56,12 @@ def created(requests: DataFrame, bills: DataFrame, claims: DataFrame) -> DataFra
 
 
 def status_changed(flags: DataFrame, changes: DataFrame) -> DataFrame:
-    """Flags with the statuses of ``changes`` (id, new_status) where these are valid."""
-    valid = changes.where(F.col("new_status").isin(*FLAG_STATUSES)).select("id", "new_status")
+    """Flags with the statuses of ``changes`` (id, new_status) where these are valid.
+
+    Of several changes of one flag the last stays, by ``changed_at`` if there is one, then by name.
+    """
+    order = [c for c in ("changed_at", "new_status") if c in changes.columns]
+    valid = changes.where(F.col("new_status").isin(*FLAG_STATUSES)).groupBy("id").agg(F.max(F.struct(*order))["new_status"].alias("new_status"))
     return flags.join(valid, "id", "left").withColumn("status", F.coalesce("new_status", "status")).drop("new_status")
 
 

@@ -29,6 +29,14 @@ def features(rows: DataFrame) -> DataFrame:
     return rows.select("scope_name", F.to_json(feature).alias("feature"))
 
 
+def collection(features: DataFrame) -> DataFrame:
+    """(collection): the features as one FeatureCollection, in the order of their names. One text holds them
+    all, so this is for what a map shows."""
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("scope_name", "feature"))), lambda f: f["feature"])
+    text = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(ordered, ","), F.lit("]}"))
+    return features.agg(text.alias("collection"))
+
+
 def replaced(existing: DataFrame, loaded: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Reference rows (of no entity and no event) with a loaded key go, then the loaded rows come."""
     of_something = F.col("entity_id").isNotNull() | F.col("event_id").isNotNull()

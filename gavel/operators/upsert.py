@@ -10,10 +10,12 @@ from pyspark.sql import Window as W
 
 
 def changed(incoming: DataFrame, stored: DataFrame, keys: Sequence[str], digest: str) -> DataFrame:
-    """Incoming rows whose hash is not the stored one; a null or empty hash counts as changed."""
-    known = stored.select(*keys, F.col(digest).alias("__stored"))
-    same = F.coalesce((F.col(digest) == F.col("__stored")) & (F.col(digest) != ""), F.lit(False))
-    return incoming.join(known, list(keys), "left").where(~same).drop("__stored")
+    """Incoming rows whose hash is not the stored one; a null or empty hash counts as changed.
+
+    Stored rows that repeat a key don't multiply anything: any of their hashes counts as known.
+    """
+    known = stored.where(F.col(digest) != "").select(*keys, digest)
+    return incoming.join(known, [*keys, digest], "left_anti")
 
 
 def overlay(base: DataFrame, incoming: DataFrame, keys: Sequence[str], keep_old: Sequence[str] = ()) -> DataFrame:

@@ -128,11 +128,11 @@ def search_second_column(spark: SparkSession, d: str) -> DataFrame:
     return browse.search(t(spark, d, "customer"), "hold", ["c_name", "c_mktsegment"]).select("c_custkey", "c_mktsegment")
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate END AS last_action_date FROM orders WHERE o_orderkey < 300
-ORDER BY last_action_date DESC NULLS LAST, o_orderkey LIMIT 100 OFFSET 200""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN o_orderdate END AS last_action_date FROM orders
+ORDER BY last_action_date DESC NULLS LAST, o_orderkey LIMIT 100 OFFSET 250""")
 def sort_nulls_last(spark: SparkSession, d: str) -> DataFrame:
-    rows = t(spark, d, "orders").where("o_orderkey < 300").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate")).alias("last_action_date"))
-    return browse.page(rows, "last_action_date", "o_orderkey", 100, 200)
+    rows = t(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 50 == 0, F.col("o_orderdate")).alias("last_action_date"))
+    return browse.page(rows, "last_action_date", "o_orderkey", 100, 250)
 
 
 @query("SELECT l_linenumber, count(*) AS n_links, count(DISTINCT l_partkey) AS source_count FROM lineitem WHERE l_orderkey = 7 GROUP BY l_linenumber")
@@ -152,16 +152,6 @@ def detail_news(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "events").where("event_type = 'view'").join(owner, "user_id").select("event_id", "ts", "c_name")
 
 
-@query("""SELECT o_orderkey, string_agg(l_partkey || ':' || l_suppkey, ',' ORDER BY l_partkey, l_suppkey) AS claims, count(*) AS n_claims
-FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey < 500 GROUP BY o_orderkey""")
-def detail_nested(spark: SparkSession, d: str) -> DataFrame:
-    rows = t(spark, d, "orders").where("o_orderkey < 500").select("o_orderkey")
-    lines = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_suppkey")
-    nested = rows.join(lines, "o_orderkey").groupBy("o_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_partkey", "l_suppkey"))).alias("c"))
-    text = F.transform("c", lambda x: F.concat(x["l_partkey"].cast("string"), F.lit(":"), x["l_suppkey"].cast("string")))
-    return nested.select("o_orderkey", F.array_join(text, ",").alias("claims"), F.size("c").cast("bigint").alias("n_claims"))
-
-
 @query("SELECT conv_id, min(turn) AS turn, arg_min(text, turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
 def first_claim_by_type(spark: SparkSession, d: str) -> DataFrame:
     said = t(spark, d, "conversations").where("role = 'assistant'")
@@ -373,11 +363,12 @@ def edge_dedup(spark: SparkSession, d: str) -> DataFrame:
     return upsert.new_only(edges, edges.where("l_orderkey % 2 = 0"), ["l_suppkey", "l_orderkey", "l_returnflag"])
 
 
-@query("SELECT page_id % 5 AS bill, url FROM pages WHERE page_id % 3 <> 0 AND url <> '' GROUP BY ALL")
+@query("""SELECT DISTINCT page_id % 5 AS bill, url FROM pages p WHERE url <> ''
+AND NOT EXISTS (SELECT 1 FROM pages s WHERE s.page_id % 3 = 0 AND s.page_id % 5 = p.page_id % 5 AND s.url = p.url)""")
 def url_dedup(spark: SparkSession, d: str) -> DataFrame:
     pages = t(spark, d, "pages").select((F.col("page_id") % 5).alias("bill"), "url", "page_id")
-    twice = pages.where("page_id % 3 <> 0").union(pages.where("page_id % 3 <> 0")).union(pages.where("page_id % 3 <> 0").withColumn("url", F.lit("")))
-    return upsert.new_only(twice.drop("page_id"), pages.where("page_id < 0"), ["bill", "url"])
+    batch = pages.union(pages).union(pages.withColumn("url", F.lit("")))
+    return upsert.new_only(batch.drop("page_id"), pages.where("page_id % 3 = 0"), ["bill", "url"])
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
@@ -414,16 +405,16 @@ COUNTIES, CITIES = ("thor", "hener", "blested"), ("shen", "stor", "reer")
 
 
 def _tag_sql(names: tuple[str, ...]) -> str:
-    found = ", ".join(rf"CASE WHEN regexp_matches(text, '(?i)\b{n}\b') THEN '{n}' END" for n in names)
+    other = r"[^\p{L}\p{N}_]"
+    found = ", ".join(rf"CASE WHEN regexp_matches(coalesce(text, ''), '(?i)(^|{other}){n}($|{other})') THEN '{n}' END" for n in names)
     return f"list_filter([{found}], lambda x: x IS NOT NULL)"
 
 
 @query(f"""SELECT doc_id, CASE WHEN len(a) > 0 THEN 'county' WHEN len(b) > 0 THEN 'city' ELSE 'statewide' END AS scope_type,
 CASE WHEN len(a) > 0 THEN array_to_string(a, '|') WHEN len(b) > 0 THEN array_to_string(b, '|') ELSE 'FL' END AS scope_names
-FROM (SELECT doc_id, {_tag_sql(COUNTIES)} AS a, {_tag_sql(CITIES)} AS b FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7F]'))""")
+FROM (SELECT doc_id, {_tag_sql(COUNTIES)} AS a, {_tag_sql(CITIES)} AS b FROM documents)""")
 def geotag(spark: SparkSession, d: str) -> DataFrame:
-    plain = t(spark, d, "documents").where((F.col("lang") == "en") & ~F.col("text").rlike(r"[^\x00-\x7F]"))
-    tagged = plain.select("doc_id", X.geo_scope(F.col("text"), COUNTIES, CITIES, "statewide", ["FL"]).alias("s"))
+    tagged = t(spark, d, "documents").select("doc_id", X.geo_scope(F.col("text"), COUNTIES, CITIES, "statewide", ["FL"]).alias("s"))
     return tagged.select("doc_id", "s.scope_type", F.array_join("s.scope_names", "|").alias("scope_names"))
 
 
@@ -439,10 +430,10 @@ def gap_probe(spark: SparkSession, d: str) -> DataFrame:
     return upsert.miss_runs(present, "o_orderkey")
 
 
-@query("""WITH seen AS (SELECT DISTINCT o_orderkey AS id FROM orders WHERE o_orderkey < 900 AND o_orderkey >= 100), gaps AS (SELECT id, lead(id) OVER (ORDER BY id) AS nxt FROM seen)
-SELECT min(id) AS highest FROM gaps WHERE nxt IS NULL OR nxt - id > 25""")
+@query("""WITH seen AS (SELECT DISTINCT o_orderkey AS id FROM orders WHERE o_orderkey BETWEEN 100 AND 3099 AND NOT o_orderkey % 1000 BETWEEN 900 AND 930),
+gaps AS (SELECT id, lead(id) OVER (ORDER BY id) AS nxt FROM seen) SELECT min(id) AS highest FROM gaps WHERE nxt IS NULL OR nxt - id > 25""")
 def frontier(spark: SparkSession, d: str) -> DataFrame:
-    return upsert.frontier(t(spark, d, "orders").where("o_orderkey < 900"), "o_orderkey", 100)
+    return upsert.frontier(t(spark, d, "orders").where("NOT o_orderkey % 1000 BETWEEN 900 AND 930"), "o_orderkey", 100)
 
 
 @query("SELECT user_id, date_trunc('minute', ts) AS minute, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1")
@@ -487,3 +478,6 @@ def stream_event_counts(spark: SparkSession, d: str) -> DataFrame:
     stream = read_stream(spark, source, t(spark, d, "events").schema)
     run_available(window_counts(stream, "ts", "event_type"), f"{base}/out", f"{base}/state")
     return spark.read.schema("start timestamp, event_type string, n bigint").parquet(f"{base}/out").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+from gavel.plans import records  # noqa: E402, F401  the queries over composed payloads join the catalogue

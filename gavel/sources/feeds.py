@@ -7,6 +7,8 @@ hashes of natural keys. Fixed values are the names that stored rows carry (sourc
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,7 +95,7 @@ def state_bills(listing: DataFrame, details: DataFrame, state: str, run_at: Colu
         F.when(F.col("s.people_id").isNotNull(), X.natural_id(F.lit("legiscan_people_id"), F.col("s.people_id"))).otherwise(X.natural_id(F.lit("name"), name)).alias("person_id"),
         F.when(F.col("s.sponsor_type_id") == 1, "sponsor").otherwise("co_sponsor").alias("relationship_type"),
     )
-    return {"entities": entities, "bills": bills, "sources": sources, "people": _people(people), "relationships": _edges(people)}
+    return {"entities": entities, "bills": bills, "sources": sources, "people": _people(people), "relationships": _edges(people), "source_of": rows.select("entity_id", "source_id")}
 
 
 def city_bills(matters: DataFrame, sponsors: DataFrame, client: str, place: str, county: str, run_at: Column) -> Tables:
@@ -119,7 +121,7 @@ def city_bills(matters: DataFrame, sponsors: DataFrame, client: str, place: str,
     about = F.to_json(F.struct(F.col("MatterId").alias("matter_id"), F.col("MatterTypeName").alias("matter_type")))
     sources = _source(rows, run_at, url, F.col("MatterFile"), F.lit(f"{place} City Clerk (Legistar)"), "legistar_agenda", about)
     people = _named_people(rows.join(sponsors, "MatterId"), F.col("MatterSponsorName"), place)
-    return {"entities": entities, "bills": bills, "sources": sources, "people": _people(people), "relationships": _edges(people)}
+    return {"entities": entities, "bills": bills, "sources": sources, "people": _people(people), "relationships": _edges(people), "source_of": rows.select("entity_id", "source_id")}
 
 
 def _named_people(rows: DataFrame, name: Column, place: str) -> DataFrame:
@@ -149,15 +151,19 @@ def scraped_bills(pages: DataFrame, base_url: str, place: str, county: str, run_
     sources = _source(rows, run_at, url, F.col("number"), F.lit(f"{place} (Granicus iQM2)"), "iqm2_legislation", about)
     named = rows.withColumn("one", F.explode(X.parts(F.col("sponsors"), ";")))
     people = _named_people(named, F.col("one"), place)
-    return {"entities": entities, "bills": bills, "sources": sources, "people": _people(people), "relationships": _edges(people)}
+    return {"entities": entities, "bills": bills, "sources": sources, "people": _people(people), "relationships": _edges(people), "source_of": rows.select("entity_id", "source_id")}
 
 
 def news(articles: DataFrame, stored: DataFrame, run_at: Column) -> Tables:
     """Articles (entity_id and the article's fields) that aren't stored for that bill yet.
 
-    ``stored`` has (entity_id, url). The same article on two bills makes two sources.
+    ``stored`` has (entity_id, url). The same article on two bills makes two sources. Of articles that
+    repeat a url the first of the feed stays, by ``position`` if there is one, then by their fields.
     """
-    usable = articles.where(X.filled(F.col("url")).isNotNull()).dropDuplicates(["entity_id", "url"])
+    rest = [c for c in articles.columns if c not in ("entity_id", "url", "position")]
+    order = F.struct(*[c for c in ("position",) if c in articles.columns], *rest)
+    first = articles.where(X.filled(F.col("url")).isNotNull()).groupBy("entity_id", "url").agg(F.min(order).alias("a"))
+    usable = first.select("entity_id", "url", *[F.col("a")[c].alias(c) for c in rest])
     fresh = usable.join(stored.select("entity_id", "url"), ["entity_id", "url"], "left_anti")
     rows = fresh.withColumn("source_id", X.natural_id(F.col("entity_id"), F.col("url")))
     about = F.to_json(F.struct("language", "sourcecountry"))
@@ -169,6 +175,26 @@ def news(articles: DataFrame, stored: DataFrame, run_at: Column) -> Tables:
     return {"sources": sources, "events": events}
 
 
+def with_keywords(articles: DataFrame, column: str, words: Sequence[str]) -> DataFrame:
+    """Articles that hold any of the words, as a part of their text, case ignored; no word means all."""
+    hit = F.lit(not words)
+    for word in words:
+        hit = hit | F.lower(column).contains(word.lower())
+    return articles.where(hit)
+
+
+def batch_outcome(written: DataFrame, failed: DataFrame, key: str) -> DataFrame:
+    """(articles, bills) that a batch wrote; a bill that failed wrote nothing and stops no other."""
+    kept = written.join(failed.select(key), key, "left_anti")
+    return kept.agg(F.count("*").alias("articles"), F.count_distinct(key).alias("bills"))
+
+
+def newest_successes(candidates: DataFrame, key: str, ok: str, most: int, tried: int | None = None) -> DataFrame:
+    """The newest ``most`` candidates that are records, looked for downwards among the newest ``tried`` (twice as many)."""
+    newest = candidates.orderBy(F.col(key).desc()).limit(tried or 2 * most)
+    return newest.where(ok).orderBy(F.col(key).desc()).limit(most)
+
+
 def latest_articles(landed: DataFrame, key: str, at: str, since: Column, most: int = 5) -> DataFrame:
     """The newest articles of each key since a time."""
     from pyspark.sql import Window as W

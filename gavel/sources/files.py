@@ -27,8 +27,8 @@ def boundaries(spark: SparkSession, path: str, origin: str) -> DataFrame:
     )
 
 
-def dbf_rows(data: bytes) -> Iterator[dict[str, str]]:
-    """Rows of a dBASE attribute table as texts."""
+def dbf_rows(data: bytes) -> Iterator[dict[str, str] | None]:
+    """Rows of a dBASE attribute table as texts; None for a deleted one."""
     n, head, size = struct.unpack_from("<IHH", data, 4)
     fields, at = [], 32
     while data[at] != 0x0D:
@@ -36,26 +36,57 @@ def dbf_rows(data: bytes) -> Iterator[dict[str, str]]:
         at += 32
     for k in range(n):
         row, place = {}, head + k * size + 1
+        if data[place - 1 : place] == b"*":
+            yield None
+            continue
         for name, width in fields:
             row[name] = data[place : place + width].decode("utf-8", "replace").strip()
             place += width
         yield row
 
 
+def _area(ring: list) -> float:
+    """Twice the signed area; negative for a ring that runs clockwise."""
+    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:], strict=False))
+
+
+def _inside(point: list, ring: list) -> bool:
+    x, y = point
+    crossed = [(a[1] > y) != (b[1] > y) and x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0] for a, b in zip(ring, ring[1:], strict=False)]
+    return sum(crossed) % 2 == 1
+
+
+def polygons(rings: list) -> list:
+    """Polygons of rings: one that runs clockwise begins a polygon, any other is a hole of the one around it."""
+    made = [[r] for r in rings if _area(r) <= 0]
+    if not made:
+        return [[r] for r in rings]
+    for hole in (r for r in rings if _area(r) > 0):
+        around = [p for p in made if _inside(hole[0], p[0])]
+        (around[-1] if around else made[-1]).append(hole)
+    return made
+
+
+#: Shape types of polygons, plain and with heights or measures, which lie behind the points; and of no shape.
+POLYGONS, NO_SHAPE = (5, 15, 25), 0
+
+
 def shapes(data: bytes) -> Iterator[list]:
-    """MultiPolygon coordinates of each record of a shapefile; every ring is a polygon of its own."""
+    """MultiPolygon coordinates of each record of a shapefile; an empty list for a record without a shape."""
     at = 100
     while at + 8 <= len(data):
         (words,) = struct.unpack_from(">I", data, at + 4)
         kind, body = struct.unpack_from("<i", data, at + 8)[0], at + 12
-        if kind == 5:
+        if kind in POLYGONS:
             n_parts, n_points = struct.unpack_from("<ii", data, body + 32)
             starts = [*struct.unpack_from(f"<{n_parts}i", data, body + 40), n_points]
             points = struct.unpack_from(f"<{2 * n_points}d", data, body + 40 + 4 * n_parts)
             ring = lambda a, b: [[points[2 * k], points[2 * k + 1]] for k in range(a, b)]
-            yield [[ring(a, b)] for a, b in zip(starts, starts[1:], strict=False)]
-        else:
+            yield polygons([ring(a, b) for a, b in zip(starts, starts[1:], strict=False)])
+        elif kind == NO_SHAPE:
             yield []
+        else:
+            raise ValueError(f"shape type {kind} is no polygon")
         at += 8 + 2 * words
 
 
@@ -77,8 +108,10 @@ def shapefile_boundaries(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             for _, pair in part.iterrows():
-                rows = list(zip(dbf_rows(pair["dbf"]), shapes(pair["shp"]), strict=False))
-                kept = [(r, g) for r, g in rows if state_field not in r or r[state_field] == state]
+                if pair["shp"] is None or pair["dbf"] is None:
+                    raise ValueError(f"{pair['file']} lacks its .shp or .dbf file")
+                rows = zip(dbf_rows(pair["dbf"]), shapes(pair["shp"]), strict=True)  # a file of another length is broken
+                kept = [(r, g) for r, g in rows if r is not None and (state_field not in r or r[state_field] == state)]
                 yield pd.DataFrame({"file": [pair["file"]] * len(kept), "scope_name": [r.get(name_field, "").strip() for r, _ in kept], "geom": [g for _, g in kept]})
 
     found = pairs.mapInPandas(run, "file string, scope_name string, geom array<array<array<array<double>>>>").where(F.col("scope_name") != "")

@@ -38,6 +38,48 @@ def test_pages_become_records():
     assert html.record_of(only, 9) == {"number": "9", "type": None, "status": "Unknown", "date_text": None, "title": "T", "department": None, "sponsors": ""}
 
 
+def test_only_the_first_element_of_an_id_and_cells_of_one_row_count():
+    title = '<b id="ContentPlaceholder1_lblLegiFileTitle">'
+    page = f'<img id="ContentPlaceholder1_lblResNum">{title}T</b>{title}U</b><table id="tblLegiFileInfo"><tr><th>Department</th></tr><tr><td>stray</td><th>Sponsors<td>Ann</table>'
+    record = html.record_of(page, 3)
+    assert record["title"] == "T" and record["number"] == "" and record["department"] is None and record["sponsors"] == "Ann"
+
+
+def test_holes_stay_holes_and_broken_files_fail():
+    outer = [[0.0, 0.0], [0.0, 9.0], [9.0, 9.0], [9.0, 0.0], [0.0, 0.0]]
+    hole = [[1.0, 1.0], [2.0, 1.0], [2.0, 2.0], [1.0, 2.0], [1.0, 1.0]]
+    other = [[20.0, 0.0], [20.0, 1.0], [21.0, 1.0], [20.0, 0.0]]
+    assert files.polygons([outer, other, hole]) == [[outer, hole], [other]] and files.polygons([hole]) == [[hole]]
+    body = struct.pack("<i4d2i", 15, 0, 0, 1, 1, 1, 4) + struct.pack("<i", 0) + b"".join(struct.pack("<2d", *p) for p in other) + b"\0" * 48
+    record = struct.pack(">2i", 1, len(body) // 2) + body
+    assert list(files.shapes(b"\0" * 100 + record)) == [[[other]]]
+    with pytest.raises(ValueError, match="polygon"):
+        list(files.shapes(b"\0" * 100 + struct.pack(">2i", 1, 2) + struct.pack("<i", 3)))
+
+
+def test_a_second_run_of_the_same_feed_writes_nothing(spark):
+    from gavel.operators import ingest
+
+    listing = spark.createDataFrame([(1, "S 1", "t1", "h1", "9", None, "2026-3-5", "u1"), (2, "H 2", "t2", None, None, "la", "bad", "")], schemas.STATE_LISTING)
+    detail = [(k, f"T{k}", None, None, f"h{k}", 4, None, "x", "2026-02-03", "acted", None, [(5, "Ann", 1)]) for k in (1, 2)]
+    rows = spark.createDataFrame(detail, schemas.STATE_DETAIL)
+    later = F.lit("2026-04-05 10:00:00").cast("timestamp")
+    first = ingest.ingested(ingest.none_stored(spark), feeds.state_bills(listing, rows, "FL", run_at()), "legiscan_change_hash")
+    first["entities"] = first["entities"].withColumn("external_ids", F.map_concat("external_ids", F.create_map(F.lit("other"), F.lit("x"))))
+    second = ingest.ingested(first, feeds.state_bills(listing, rows, "FL", later), "legiscan_change_hash")
+    counts = lambda tables: {name: df.count() for name, df in tables.items()}
+    assert counts(first) == {"entities": 3, "bills": 2, "sources": 2, "relationships": 2}
+    # the second bill has no hash, so it is written again, with a source of its own
+    assert counts(second) == {"entities": 3, "bills": 2, "sources": 3, "relationships": 2}
+    assert {r.external_ids.get("other") for r in second["entities"].where("entity_type = 'bill'").collect()} == {"x"}
+
+
+def test_stored_repeats_multiply_nothing(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k int, h string")
+    stored = spark.createDataFrame([(1, "a"), (1, "a"), (2, "x"), (2, "y"), (3, None)], "k int, h string")
+    assert pairs(upsert.changed(rows, stored, ["k"], "h"), "k", "h") == [(2, "b"), (3, None)]
+
+
 def test_scraped_bills(spark):
     pages = spark.createDataFrame([(7, PAGE), (8, "<p>nothing"), (9, None)], "page_id long, html string")
     made = feeds.scraped_bills(pages, "https://x.example", "Miami", "Miami-Dade County", run_at())
