@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gavel.llm.common import batch, written
+from gavel.llm.common import batch, small, written
 
 SEED = 42
 SHINGLE = 3
@@ -41,6 +41,8 @@ MAX_BITS = 3
 SEGMENTS, WIDTH = 8, 8
 #: Most fingerprints of one block of a key.
 BLOCK = 4096
+#: Rows of one fingerprint beyond which it is named by a broadcast join, so that its rows aren't shuffled to one task.
+HOT_ROWS = 100_000
 #: Groups up to this size are compared by shifting whole columns, larger ones node by node.
 SMALL = 32
 
@@ -202,56 +204,56 @@ def candidate_edges(fps: DataFrame) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def are_stars(edges: DataFrame) -> bool:
+    """Whether every node of distinct edges (a, b), a > b, has one such b or is a root: no path is longer than an edge."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("root").alias("root")).where("up > 1 OR up + root > 1").isEmpty()
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) for every node that has an edge, by alternating large and small stars.
 
     Each round links every node's larger neighbours, then its smaller ones, to the least node
-    around; rounds grow with the logarithm of the longest path. Every round is written to the
-    shared folder, so that lineage stays short; minima are pre-aggregated before each shuffle.
+    around; rounds grow with the logarithm of the longest path, and end when every node has one
+    edge, to a node that has none itself. Every round is written to the shared folder, so that
+    lineage stays short; minima are pre-aggregated before each shuffle.
     """
-    stars = written(edges.select("a", "b").where("a <> b"), name)
-    before = None
-    while True:
+    stars = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
+    while not are_stars(stars):
         both = stars.select(F.col("a").alias("u"), F.col("b").alias("v")).union(stars.select("b", "a"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u")
+        both = large.join(lowest, "u")
         stars = written(
-            small.select(F.col("v").alias("a"), F.col("m").alias("b"))
+            both.select(F.col("v").alias("a"), F.col("m").alias("b"))
             .union(lowest.select(F.col("u").alias("a"), F.col("m").alias("b")))
             .where("a <> b")
             .distinct(),
             name,
         )
-        now = tuple(stars.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-        if now == before:
-            break
-        before = now
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).union(stars.select("b", "b").distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """One row per input row: the id, its fingerprint (signed) and the least id of its component."""
     prints = written(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    classes = written(prints.groupBy("fp").agg(F.min("id").alias("first")), "classes")
+    classes = written(prints.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "classes")
     roots = components(candidate_edges(classes.select("fp")))
     placed = roots.join(classes, roots["node"] == classes["fp"]).select("node", "root", "first")
     heads = placed.groupBy("root").agg(F.min("first").alias("head"))
     moved = placed.join(heads, "root").select("node", "head")
     named = classes.join(moved, classes["fp"] == moved["node"], "left").select(
-        "fp", F.coalesce("head", "first").alias("component_id")
+        "fp", F.coalesce("head", "first").alias("component_id"), "n"
     )
     named = written(named, "named-classes")
-    return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    hot, rest = named.where(F.col("n") > HOT_ROWS), named.where(F.col("n") <= HOT_ROWS)
+    columns = [F.col("id").alias(id_col), "fp", "component_id"]
+    if hot.isEmpty():
+        return prints.join(rest, "fp").select(*columns)
+    hot = small(hot)
+    return prints.join(hot, "fp").select(*columns).union(prints.join(hot, "fp", "left_anti").join(rest, "fp").select(*columns))
 
 
 def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
-
-
-def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose id is the least of their component (rows with a null id where all are null)."""
-    found = near_duplicates(docs, id_col, text_col)
-    heads = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__head")).distinct()
-    return docs.join(heads, docs[id_col].eqNullSafe(heads["__head"]), "left_semi")

@@ -8,6 +8,7 @@ import pytest
 
 import corpus_pipeline
 from gavel.llm import near_copies
+from gavel.llm.simhash import components
 
 
 def shingles(text):
@@ -66,3 +67,24 @@ def test_one_row_stays_of_rows_that_share_an_id(spark, sf_dir):
     rows = [(5, text), (5, text), (6, text), (None, text + " a"), (None, "q r s t u v"), (None, "q r s t u v"), (5, "other words of the same id here")]
     got = near_copies.keep_one_of_near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sorted(map(tuple, got), key=str) == sorted([(5, text), (None, "q r s t u v"), (5, "other words of the same id here")], key=str)
+
+
+def test_odd_rows_and_clashing_columns(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text, 7, "a"), (2, text + " more", 8, "b"), (3, None, None, None), (4, "", 9, "c"), (5, "w " * 200_000, 1, "d"), (5, "w " * 200_000, 1, "d")]
+    odd = spark.createDataFrame(rows, "doc_id bigint, text string, __k1 bigint, key string")
+    got = near_copies.keep_one_of_near_copies(odd)
+    assert got.columns == odd.columns
+    assert sorted((r[0], r[2], r[3]) for r in got.collect()) == [(1, 7, "a"), (3, None, None), (5, 1, "d")]
+    assert near_copies.keep_one_of_near_copies(odd.where("false")).count() == 0
+
+
+def test_components_of_paths_and_stars(spark):
+    paths = [(k, k + 1) for k in range(40)] + [(100 - k, 101 - k) for k in range(0, 9, 2)]
+    stars = [(200, 200 + k) for k in range(1, 20)] + [(231 + k, 230) for k in range(5)] + [(300, 300)]
+    edges = spark.createDataFrame(paths + stars, "a bigint, b bigint")
+    got = dict(map(tuple, components(edges).collect()))
+    want = {k: 0 for k in range(41)} | {k: 200 for k in range(200, 220)} | {k: 230 for k in range(230, 236)}
+    for k in range(0, 9, 2):
+        want |= {100 - k: 100 - k, 101 - k: 100 - k}
+    assert got == want

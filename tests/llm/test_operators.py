@@ -21,7 +21,7 @@ from gavel.llm.packing import best_buckets, pack
 from gavel.llm.quality_rules import filter_quality, judge_quality
 from gavel.llm.queries import QUERIES
 from gavel.llm.secret_scan import confirmed_spans, scan_secrets
-from gavel.llm.simhash import keep_one_per_component, near_duplicates
+from gavel.llm.simhash import near_duplicates
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words string, key string, label string"
 LONG = " ".join(f"word{k % 977}x{k}" for k in range(60_000))
@@ -408,9 +408,10 @@ def brute_components(pairs):
     return sorted(found, key=str)
 
 
-@pytest.mark.parametrize("block", [4096, 4])
-def test_simhash_components(spark, docs, rows, block, monkeypatch):
+@pytest.mark.parametrize(("block", "hot"), [(4096, 100_000), (4, 1)])
+def test_simhash_components(spark, docs, rows, block, hot, monkeypatch):
     monkeypatch.setattr("gavel.llm.simhash.BLOCK", block)
+    monkeypatch.setattr("gavel.llm.simhash.HOT_ROWS", hot)
     rng = np.random.default_rng(4)
     base = [f"w{x}" for x in rng.integers(0, 500, 400)]
     near = []
@@ -427,8 +428,6 @@ def test_simhash_components(spark, docs, rows, block, monkeypatch):
         got = [tuple(r) for r in near_duplicates(frame).select("doc_id", hex16(F.col("fp")), "component_id").collect()]
         assert sorted(got, key=str) == brute_components(pairs)
     assert near_duplicates(empty(odd)).count() == 0
-    kept = keep_one_per_component(odd)
-    assert kept.columns == odd.columns
 
 
 def test_every_key_choice_keeps_every_link():
