@@ -14,6 +14,7 @@ from gavel.llm.packing import pack
 from gavel.llm.quality_rules import JUDGE_SQL, judge_quality
 from gavel.llm.secret_scan import scan_secrets
 from gavel.llm.simhash import hex16, near_duplicates
+from gavel.llm.substring_dedup import REPEAT_SQL, repeat_report
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +73,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeat_report(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
@@ -83,10 +89,12 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_secret_scan": op9_secret_scan,
     "op10_simhash": op10_simhash,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op3_quality_rules": JUDGE_SQL,
     "op4_line_dedup": REPORT_SQL,
     "op5_license_scan": scan_sql(),
+    "op13_substring_dedup": REPEAT_SQL,
 }
