@@ -11,6 +11,7 @@ from gavel.llm.decontaminate import find_leaks
 from gavel.llm.license_scan import scan_licenses, scan_sql
 from gavel.llm.line_dedup import REPORT_SQL, line_report
 from gavel.llm.packing import pack
+from gavel.llm.periodic_runs import run_report
 from gavel.llm.quality_rules import JUDGE_SQL, judge_quality
 from gavel.llm.secret_scan import scan_secrets
 from gavel.llm.simhash import hex16, near_duplicates
@@ -73,6 +74,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = run_report(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256",
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeat_report(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -89,6 +98,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_secret_scan": op9_secret_scan,
     "op10_simhash": op10_simhash,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_substring_dedup": op13_substring_dedup,
 }
 
