@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gavel.llm import language_id, quality_classifier, toxicity
 from gavel.llm.common import remainder, table
 from gavel.llm.decontaminate import find_leaks
+from gavel.llm.hard_negatives import MINE_SQL, mine_hard_negatives
 from gavel.llm.license_scan import scan_licenses, scan_sql
 from gavel.llm.line_dedup import REPORT_SQL, line_report
 from gavel.llm.packing import pack
@@ -74,6 +75,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return mine_hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = run_report(table(spark, sf_dir, "documents"))
     return found.select(
@@ -98,6 +105,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_secret_scan": op9_secret_scan,
     "op10_simhash": op10_simhash,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_substring_dedup": op13_substring_dedup,
 }
@@ -106,5 +114,6 @@ ORACLES: dict[str, str] = {
     "op3_quality_rules": JUDGE_SQL,
     "op4_line_dedup": REPORT_SQL,
     "op5_license_scan": scan_sql(),
+    "op11_hard_negatives": MINE_SQL,
     "op13_substring_dedup": REPEAT_SQL,
 }
