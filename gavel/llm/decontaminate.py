@@ -9,7 +9,12 @@ candidate counts as a leak only if the longest common subsequence of words cover
 item, or less of it together with the item's answer (the ``answer`` column if there is one, else its
 last sentence).
 
-A passage is projected only if words of the items of its scale carry ``SHARED`` of its weight.
+A passage is projected only if words of the items of its scale carry ``SHARED`` of its weight, or weigh
+``LIGHTEST`` of the lightest passage of these items, however heavy the words between them are.
+
+Latent directions tell items of rare words apart better than items of frequent ones, so every stretch in which
+``SEEDED`` of an item's runs of ``GRAM`` words stand on one diagonal is a candidate too. With this no item that
+stands in a text word for word is lost; all candidates go through the same checks.
 
 The benchmark is the query set. Its distinct items are dealt into blocks of about ``BLOCK`` items and
 ``BLOCK_BYTES`` of text, each with its own latent space, and one pass over the texts tries as many
@@ -35,7 +40,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from gavel.llm.common import arrow_rows, batch, spans, unused, utf8
-from gavel.llm.hashing import powers, word_hashes
+from gavel.llm.hashing import mixed, powers, word_hashes
 
 #: Least words of an item, and words and step of the passages that are compared with it.
 SCALES = ((1, 6, 3), (12, 12, 6), (30, 24, 12))
@@ -46,7 +51,13 @@ RANK, EXTRA, POWERS = 256, 16, 1
 BLOCK, BLOCK_BYTES, PASS_BYTES, STRIP = 1024, 256 << 10, 256 << 20, 1024
 #: Least share of a passage's weight on words of the items of its scale.
 SHARED = 0.2
+#: Least weight of these words, as a share of that of the lightest passage of those items.
+LIGHTEST = 0.5
 COSINE = 0.55
+#: Words of the runs that are looked up as they are, and the share of an item's that must stand on one diagonal.
+GRAM, SEEDED = 4, 0.5
+#: Bits of the hash by which most runs are told to be no item's.
+GRAM_BITS = 20
 #: Covered share of an item that makes a leak, alone or with the answer, and of an answer.
 COVERED, COVERED_WITH_ANSWER, ANSWER_COVERED = 0.7, 0.5, 0.8
 TABLES = (1 << 20) + 1
@@ -141,6 +152,49 @@ def last_sentence(text: str) -> str:
     return body[cut + 1 :]
 
 
+def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of ``size`` words, in order."""
+    turns = [np.uint64((2 * k + 3) * 0x9E3779B97F4A7C15 % (1 << 64) | 1) for k in range(size)]
+    whole = max(0, len(words) - size + 1)
+    return mixed(sum((words[k : k + whole] * turns[k] for k in range(size)), np.zeros(whole, np.uint64)) + np.uint64(size))
+
+
+@dataclass
+class Seeds:
+    """Runs of words of the items of one block that have the same length: hash, item, and place in the item."""
+
+    size: int
+    hashes: np.ndarray
+    item: np.ndarray
+    place: np.ndarray
+    marks: np.ndarray  # by the highest bits of the hash
+
+    @classmethod
+    def of(cls, items: list[Item], size: int) -> Seeds | None:
+        """Of the items of ``size`` words, for less than ``GRAM``, or of all longer ones."""
+        own = [n for n, x in enumerate(items) if min(len(x.words), GRAM) == size]
+        if not own:
+            return None
+        grams = [gram_hashes(np.array(items[n].words, np.uint64), size) for n in own]
+        hashes = np.concatenate(grams)
+        order = np.argsort(hashes, kind="stable")
+        marks = np.zeros(1 << GRAM_BITS, bool)
+        marks[hashes >> np.uint64(64 - GRAM_BITS)] = True
+        item, place = np.repeat(own, [len(g) for g in grams]), np.concatenate([np.arange(len(g)) for g in grams])
+        return cls(size, hashes[order], item[order], place[order], marks)
+
+    def hits(self, grams: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, diagonal, runs) of each diagonal with runs of an item; ``owner`` has the text of each word."""
+        at = np.flatnonzero(self.marks[grams >> np.uint64(64 - GRAM_BITS)])
+        at = at[owner[at] == owner[at + self.size - 1]]
+        low, high = np.searchsorted(self.hashes, grams[at], "left"), np.searchsorted(self.hashes, grams[at], "right")
+        n = high - low
+        found = np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        at = np.repeat(at, n)
+        rows, runs = np.unique(np.stack([owner[at], self.item[found], at - self.place[found]], axis=1), axis=0, return_counts=True)
+        return *rows.T, runs
+
+
 @dataclass
 class Latent:
     """What a task needs to judge passages against one block of items."""
@@ -153,10 +207,13 @@ class Latent:
     queries: list[np.ndarray]  # by scale: (item passages, rank), unit length
     owner: list[np.ndarray]  # by scale: item of each passage
     items: list[Item]
+    lightest: list[float]  # by scale: weight of the lightest passage
+    seeds: list[Seeds]
 
     @property
     def n_bytes(self) -> int:
-        return self.vectors.nbytes + self.row.nbytes + sum(q.nbytes for q in self.queries) + 200 * sum(len(x.words) for x in self.items)
+        seeds = sum(x.hashes.nbytes + x.item.nbytes + x.place.nbytes + x.marks.nbytes for x in self.seeds)
+        return self.vectors.nbytes + self.row.nbytes + seeds + sum(q.nbytes for q in self.queries) + 200 * sum(len(x.words) for x in self.items)
 
     def rows_of(self, words: np.ndarray) -> np.ndarray:
         found = self.row[bucket(words)]
@@ -223,11 +280,13 @@ def fit_block(block: DataFrame, idf: np.ndarray) -> Latent | None:
     items.sort(key=lambda x: (str(x.key), x.words))
     vocabulary = np.unique(np.array([w for x in items for w in x.words], np.uint64))
     weight = idf[bucket(vocabulary)].astype(np.float64)
-    owner, rows, of_scale = [], [], np.zeros((len(SCALES), len(vocabulary)), bool)
+    owner, rows, of_scale, lightest = [], [], np.zeros((len(SCALES), len(vocabulary)), bool), [np.inf] * len(SCALES)
     for n, item in enumerate(items):
         places = np.searchsorted(vocabulary, np.array(item.words, np.uint64))
-        of_scale[scale_of(len(places)), places] = True
+        scale = scale_of(len(places))
+        of_scale[scale, places] = True
         for first, end in passages(len(places)):
+            lightest[scale] = min(lightest[scale], float((weight[places[first:end]] ** 2).sum()))
             at, times = np.unique(places[first:end], return_counts=True)
             weights = times * weight[at]
             if (norm := float(np.sqrt((weights**2).sum()))) > 0:
@@ -246,6 +305,7 @@ def fit_block(block: DataFrame, idf: np.ndarray) -> Latent | None:
     return Latent(
         idf, row, vocabulary, (vectors * weight[:, None]).astype(np.float32), of_scale,
         [queries[k].astype(np.float32) for k in by_scale], [owner[k] for k in by_scale], items,
+        lightest, [x for k in range(1, GRAM + 1) if (x := Seeds.of(items, k))],
     )
 
 
@@ -267,9 +327,13 @@ def find_in(latents: list[Latent], data: np.ndarray, at: np.ndarray, tables: tup
     n_words = np.bincount(owner, minlength=len(at) - 1)
     weight2 = latents[0].idf[bucket(words)].astype(np.float64) ** 2
     whole = np.r_[0.0, np.cumsum(weight2)]
+    grams = {size: gram_hashes(words, size) for size in {x.size for latent in latents for x in latent.seeds}}
     for latent in latents:
         best: dict[tuple[int, int], Leak] = {}
         rows = latent.rows_of(words)
+        for seeds in latent.seeds:
+            for leak in find_seeded(latent, seeds, grams[seeds.size], owner, words, n_words, rows):
+                best[leak.row, leak.item] = leak
         for scale in range(len(SCALES)):
             if len(latent.queries[scale]):
                 of_scale = np.where(rows >= 0, np.where(latent.of_scale[scale][rows], rows, -1), -1)
@@ -292,7 +356,7 @@ def find_at(latent: Latent, scale: int, words: np.ndarray, n_words: np.ndarray,
     end = np.minimum(first + size, (begin + n_words)[doc])
     known = np.r_[0.0, np.cumsum(np.where(rows >= 0, weight2, 0))]
     weight, shared = whole[end] - whole[first], known[end] - known[first]
-    likely = np.flatnonzero((weight > 0) & (shared > 0) & (shared >= SHARED * weight))
+    likely = np.flatnonzero((shared > 0) & ((shared >= SHARED * weight) | (shared >= LIGHTEST * latent.lightest[scale])))
     for low in range(0, len(likely), 2048):
         part = likely[low : low + 2048]
         steps = first[part][:, None] + np.arange(size)
@@ -304,20 +368,44 @@ def find_at(latent: Latent, scale: int, words: np.ndarray, n_words: np.ndarray,
         cosines = projected @ latent.queries[scale].T / np.maximum(np.linalg.norm(projected, axis=1, keepdims=True), 1e-12)
         for hit, query in zip(*np.nonzero(cosines >= COSINE), strict=True):
             window, item = part[taken[starts[hit]]], int(latent.owner[scale][query])
-            own = latent.items[item]
-            reach = len(own.words)
             low_word, d = int(begin[doc[window]]), int(doc[window])
-            a, b = max(low_word, int(first[window]) - reach), min(low_word + int(n_words[d]), int(end[window]) + reach)
-            region = words[a:b].tolist()
-            present = set(region)
-            if sum(w in present for w in own.words) < COVERED_WITH_ANSWER * reach:
-                continue  # the common subsequence can't be longer than the words that the region has
-            covered = common_words(own.masks, reach, region) / reach
-            answer = bool(own.answer) and common_words(own.answer_masks, len(own.answer), region) >= ANSWER_COVERED * len(own.answer)
+            covered, answer = coverage(latent.items[item], words, low_word, low_word + int(n_words[d]), int(first[window]), int(end[window]))
             if covered >= COVERED or (answer and covered >= COVERED_WITH_ANSWER):
                 yield Leak(d, item, float(cosines[hit, query]), covered, answer, int(first[window]) - low_word)
 
 
+def coverage(item: Item, words: np.ndarray, begin: int, end: int, first: int, last: int) -> tuple[float, bool]:
+    """Share of the item that stands in order around words ``first`` to ``last`` of the text from ``begin`` to ``end``; whether its answer does."""
+    reach = len(item.words)
+    region = words[max(begin, first - reach) : min(end, last + reach)].tolist()
+    present = set(region)
+    if sum(w in present for w in item.words) < COVERED_WITH_ANSWER * reach:
+        return 0.0, False  # the common subsequence can't be longer than the words that the region has
+    covered = common_words(item.masks, reach, region) / reach
+    return covered, bool(item.answer) and common_words(item.answer_masks, len(item.answer), region) >= ANSWER_COVERED * len(item.answer)
+
+
+def find_seeded(latent: Latent, seeds: Seeds, grams: np.ndarray, owner: np.ndarray, words: np.ndarray, n_words: np.ndarray, rows: np.ndarray) -> Iterator[Leak]:
+    """Leaks of items of which many runs of words stand on one diagonal: for each text and item the fullest, of equal ones the first."""
+    text, item, diagonal, runs = seeds.hits(grams, owner)
+    if not len(text):
+        return
+    sizes = np.array([len(x.words) for x in latent.items])[item]
+    enough = np.flatnonzero(runs >= SEEDED * (sizes - seeds.size + 1))
+    enough = enough[np.lexsort((diagonal[enough], -runs[enough], item[enough], text[enough]))]
+    first = np.r_[True, (item[enough[1:]] != item[enough[:-1]]) | (text[enough[1:]] != text[enough[:-1]])] if len(enough) else np.zeros(0, bool)
+    begin = np.cumsum(n_words) - n_words
+    for d, n, at, size in zip(*(x[enough[first]].tolist() for x in (text, item, diagonal, sizes)), strict=True):
+        low_word, high_word = int(begin[d]), int(begin[d] + n_words[d])
+        a, b = max(low_word, at), min(high_word, at + size)
+        covered, answer = coverage(latent.items[n], words, low_word, high_word, a, b)
+        if covered >= COVERED or (answer and covered >= COVERED_WITH_ANSWER):
+            scale = scale_of(size)
+            own = latent.vectors[rows[a:b][rows[a:b] >= 0]].sum(axis=0)
+            cosine = float((latent.queries[scale][latent.owner[scale] == n] @ own).max(initial=0.0) / max(float(np.linalg.norm(own)), 1e-12))
+            yield Leak(d, n, cosine, covered, answer, a - low_word)
+
+
 def blocks_of(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str) -> Iterator[list[Latent]]:
     """Latent spaces of the blocks of the benchmark, as many at a time as one pass holds."""
     answers = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
