@@ -43,9 +43,8 @@ def written_date(c: Column) -> Column:
 
 def month_name_date(c: Column) -> Column:
     """The first date like ``Mar 5, 2026`` in a text; null if there is none or it doesn't exist."""
-    pattern = rf"({MONTHS})\s+(\d{{1,2}}),\s+(\d{{4}})"
-    part = lambda n: F.regexp_extract(c, pattern, n)
-    return F.try_to_date(F.when(part(1) != "", F.concat_ws(" ", part(1), part(2), part(3))), "MMM d yyyy")
+    written = F.regexp_extract(c, rf"(?:{MONTHS})\s+[0-9]{{1,2}},\s+[0-9]{{4}}", 0)
+    return F.try_to_date(filled(F.regexp_replace(written, r"\s+", " ")), "MMM d, yyyy")
 
 
 def seen_timestamp(c: Column) -> Column:

@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavel.functions.scalars import merged
-from gavel.operators.upsert import new_only, overlay
+from gavel.operators.commits import Commit, Store
+from gavel.operators.upsert import new_only, overlay, with_unique
 from gavel.schemas import TABLES
 
 Tables = dict[str, DataFrame]
+RUN_TABLES = ("entities", "bills", "sources", "relationships")
 
 
 def none_stored(spark: SparkSession) -> Tables:
     """The stored tables before the first run."""
-    return {name: spark.createDataFrame([], TABLES[name]) for name in ("entities", "bills", "sources", "relationships")}
+    return {name: spark.createDataFrame([], TABLES[name]) for name in RUN_TABLES}
 
 
 def unchanged(stored: DataFrame, incoming: DataFrame, digest: str | None) -> DataFrame:
@@ -33,7 +35,7 @@ def ingested(stored: Tables, made: Tables, digest: str | None = None) -> Tables:
     winning, and ``created_at`` stays. People and relationships come only if they aren't stored yet.
     """
     same = unchanged(stored["entities"], made["entities"], digest)
-    entities = made["entities"].join(same, "id", "left_anti")
+    entities = with_unique(made["entities"], ["id"]).join(same, "id", "left_anti")
     ids = entities.select("id")
     for column in ("attributes", "created_at"):
         if column not in entities.columns:
@@ -47,7 +49,7 @@ def ingested(stored: Tables, made: Tables, digest: str | None = None) -> Tables:
     people = new_only(made["people"], everyone, ["id"])
 
     of_fresh = lambda name, key: made[name].join(ids.withColumnRenamed("id", key), key, "left_semi")
-    bills = overlay(stored["bills"], of_fresh("bills", "entity_id").unionByName(stored["bills"].limit(0), allowMissingColumns=True), ["entity_id"], keep_old=["created_at"])
+    bills = overlay(stored["bills"], with_unique(of_fresh("bills", "entity_id"), ["entity_id"]).unionByName(stored["bills"].limit(0), allowMissingColumns=True), ["entity_id"], keep_old=["created_at"])
     edges = of_fresh("relationships", "to_entity_id")
     edges = edges.join(stored["relationships"].select("id"), "id", "left_anti")
     used = of_fresh("source_of", "entity_id").select(F.col("source_id").alias("id"))
@@ -57,3 +59,16 @@ def ingested(stored: Tables, made: Tables, digest: str | None = None) -> Tables:
         "entities": append(everyone, people), "bills": bills,
         "sources": append(stored["sources"], new_sources), "relationships": append(stored["relationships"], edges),
     }
+
+
+def ingest_into(store: Store, made: Tables, digest: str | None = None) -> Commit:
+    """Run a feed against a store: the four tables move in one commit, so bills never stand without their sources.
+
+    Another writer's commit in between makes the run start from its tables. Tables of the store that a feed
+    doesn't know stay as they are.
+    """
+
+    def change(tables: Tables) -> Tables:
+        return ingested(none_stored(store.spark) | {n: df for n, df in tables.items() if n in RUN_TABLES}, made, digest)
+
+    return store.update(change)

@@ -18,6 +18,13 @@ def changed(incoming: DataFrame, stored: DataFrame, keys: Sequence[str], digest:
     return incoming.join(known, [*keys, digest], "left_anti")
 
 
+def with_unique(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows, failing the job if two of them share their keys; a join on the keys reuses the partitioning."""
+    said = F.concat(F.lit("repeated key: "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))
+    counted = rows.withColumn("__n", F.count(F.lit(1)).over(W.partitionBy(*keys)))
+    return counted.where(F.when(F.col("__n") == 1, True).otherwise(F.raise_error(said).cast("boolean"))).drop("__n")
+
+
 def overlay(base: DataFrame, incoming: DataFrame, keys: Sequence[str], keep_old: Sequence[str] = ()) -> DataFrame:
     """Incoming rows, and the base's where no incoming row has the key.
 
@@ -84,19 +91,33 @@ def frontier(ids: DataFrame, key: str, start: int, misses: int = 25, most: int =
     return ends.agg(F.greatest(F.min("id"), F.lit(start)).alias("highest"))
 
 
+#: Bits of an id by which blocks are told apart, from the finest level to one of 16 blocks.
+BLOCK_BITS = (20, 40, 60)
+
+
 def miss_runs(ids: DataFrame, key: str) -> DataFrame:
     """(before, after, misses) of every run of absent ids between two present ones.
 
-    The neighbour is found by joining each id to the least larger one within blocks of ids, so no
-    task has to hold the whole ordered table.
+    The next larger id of an id is looked for in its block of 2^20 ids, then, for the last of a block, among
+    the least ids of the blocks of 2^40, and so on up to 2^60, of which a long has 16. So no task sorts more
+    than 2^20 rows, whatever the spread, and each level has only one row for each block of the one below.
     """
-    size = 10_000
-    present = ids.select(F.col(key).cast("bigint").alias("id")).distinct().withColumn("block", F.floor(F.col("id") / size))
-    within = present.withColumn("after", F.lead("id").over(W.partitionBy("block").orderBy("id")))
-    heads = present.groupBy("block").agg(F.min("id").alias("head"))
-    following = heads.select(F.col("block"), F.lead("head").over(W.orderBy("block")).alias("next_head"))
-    joined = within.join(following, "block").withColumn("after", F.coalesce("after", "next_head"))
-    return joined.where(F.col("after") - F.col("id") > 1).select(F.col("id").alias("before"), "after", (F.col("after") - F.col("id") - 1).alias("misses"))
+    block = lambda bits: F.shiftright("id", bits)
+    levels = [ids.select(F.col(key).cast("bigint").alias("id")).distinct()]
+    for bits in BLOCK_BITS:
+        levels.append(levels[-1].groupBy(block(bits).alias("block")).agg(F.min("id").alias("id")).select("id"))
+    top = levels.pop().select("id", block(BLOCK_BITS[-1]).alias("block"))
+    lower = top.where("block > -8").select("id", F.explode(F.sequence(F.lit(-8).cast("bigint"), F.col("block") - 1)).alias("block"))
+    later = lower.groupBy("block").agg(F.min("id").alias("later"))  # least id of any higher block
+    for bits, rows in zip(BLOCK_BITS[::-1], levels[::-1], strict=True):
+        own = rows.withColumn("block", block(bits))
+        within = own.withColumn("next", F.lead("id").over(W.partitionBy("block").orderBy("id")))
+        found = within.join(later, "block", "left").select("id", F.coalesce("next", "later").alias("later"))
+        later = found.where("later IS NOT NULL")
+        if bits != BLOCK_BITS[0]:  # these ids are the least of the blocks one level down
+            later = later.select(F.shiftright("id", BLOCK_BITS[BLOCK_BITS.index(bits) - 1]).alias("block"), "later")
+    missing_ids = F.col("later") - F.col("id") - 1
+    return later.where(missing_ids > 0).select(F.col("id").alias("before"), F.col("later").alias("after"), missing_ids.alias("misses"))
 
 
 class Snapshots:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavel.functions import scalars as X
+from gavel.functions.geotags import places
 from gavel.operators import browse, flags, geo, upsert
 from gavel.sources import feeds, html
 
@@ -414,7 +415,8 @@ def _tag_sql(names: tuple[str, ...]) -> str:
 CASE WHEN len(a) > 0 THEN array_to_string(a, '|') WHEN len(b) > 0 THEN array_to_string(b, '|') ELSE 'FL' END AS scope_names
 FROM (SELECT doc_id, {_tag_sql(COUNTIES)} AS a, {_tag_sql(CITIES)} AS b FROM documents)""")
 def geotag(spark: SparkSession, d: str) -> DataFrame:
-    tagged = t(spark, d, "documents").select("doc_id", X.geo_scope(F.col("text"), COUNTIES, CITIES, "statewide", ["FL"]).alias("s"))
+    tag = places(COUNTIES, CITIES, "statewide", ["FL"])
+    tagged = t(spark, d, "documents").select("doc_id", tag(F.col("text")).alias("s"))
     return tagged.select("doc_id", "s.scope_type", F.array_join("s.scope_names", "|").alias("scope_names"))
 
 
@@ -480,4 +482,4 @@ def stream_event_counts(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("start timestamp, event_type string, n bigint").parquet(f"{base}/out").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-from gavel.plans import records  # noqa: E402, F401  the queries over composed payloads join the catalogue
+from gavel.plans import records, runs  # noqa: E402, F401  the queries over composed payloads and stored runs join the catalogue

@@ -37,6 +37,15 @@ def first_rows(feed: DataFrame, position: str, limit: int | None) -> DataFrame:
     return feed if limit is None else feed.orderBy(position).limit(limit)
 
 
+def last_of(rows: DataFrame, key: str) -> DataFrame:
+    """One row for each key, as updates one after the other would leave it: the last by ``position`` if there is one, else by its fields."""
+    if "position" in rows.columns:
+        order = F.struct("position", *[F.col(c) for c in rows.columns if c not in (key, "position")])
+    else:
+        order = F.struct(*[F.col(c) for c in rows.columns if c != key])
+    return rows.groupBy(key).agg(F.max(order).alias("__last")).select(key, "__last.*")
+
+
 def _ids(key: Column, value: Column) -> Column:
     return F.create_map(key, value.cast("string"))
 
@@ -66,8 +75,10 @@ def _source(rows: DataFrame, run_at: Column, url: Column, reference: Column, pub
 def state_bills(listing: DataFrame, details: DataFrame, state: str, run_at: Column) -> Tables:
     """The state feed: listing rows joined to their landed details on bill_id.
 
-    Names of missing people ids are keys themselves, so that unknown people don't merge.
+    Names of missing people ids are keys themselves, so that unknown people don't merge. A bill that the feed
+    repeats is one bill, as its last row has it, with the sponsors of all of its rows.
     """
+    every, listing, details = details, last_of(listing, "bill_id").drop("position"), last_of(details, "bill_id").drop("position")
     row = listing.select("bill_id", *[F.col(c).alias(f"row_{c}") for c in listing.columns if c != "bill_id"])
     rows = row.join(details, "bill_id").withColumn("entity_id", X.natural_id(F.lit("legiscan_id"), F.col("bill_id")))
     rows = rows.withColumn("source_id", X.natural_id(F.col("entity_id"), run_at))
@@ -88,7 +99,7 @@ def state_bills(listing: DataFrame, details: DataFrame, state: str, run_at: Colu
     )
     about = F.to_json(F.struct(F.col("bill_id").alias("legiscan_bill_id"), "change_hash"))
     sources = _source(rows, run_at, link, F.col("bill_number"), F.lit(f"{state} Legislature via LegiScan"), "legiscan_bill", about)
-    sponsors = rows.select("entity_id", "source_id", F.explode("sponsors").alias("s"))
+    sponsors = rows.select("bill_id", "entity_id", "source_id").join(every.select("bill_id", F.explode("sponsors").alias("s")), "bill_id")
     name = F.coalesce(F.col("s.name"), F.lit("Unknown"))
     people = sponsors.select(
         "entity_id", "source_id", name.alias("person"), F.lit(None).cast("string").alias("place"),
@@ -99,8 +110,8 @@ def state_bills(listing: DataFrame, details: DataFrame, state: str, run_at: Colu
 
 
 def city_bills(matters: DataFrame, sponsors: DataFrame, client: str, place: str, county: str, run_at: Column) -> Tables:
-    """The city feed: matters and (MatterId, MatterSponsorName) rows."""
-    rows = matters.withColumn("entity_id", X.natural_id(F.lit(client), F.col("MatterId"))).withColumn("source_id", X.natural_id(F.col("entity_id"), run_at))
+    """The city feed: matters and (MatterId, MatterSponsorName) rows; of a matter that the feed repeats the last row."""
+    rows = last_of(matters, "MatterId").withColumn("entity_id", X.natural_id(F.lit(client), F.col("MatterId"))).withColumn("source_id", X.natural_id(F.col("entity_id"), run_at))
     key = F.col("MatterId").cast("string")
     url = F.concat(F.lit(f"https://{client}.legistar.com/LegislationDetail.aspx?ID="), key)
     number = F.coalesce(F.col("MatterFile"), key)
@@ -133,8 +144,10 @@ def _named_people(rows: DataFrame, name: Column, place: str) -> DataFrame:
 
 
 def scraped_bills(pages: DataFrame, base_url: str, place: str, county: str, run_at: Column) -> Tables:
-    """Scraped pages (page_id, html) to bills; pages without a title are no record."""
-    records = pages.select("page_id", page_record("html", "page_id").alias("r")).where(F.col("r.title").isNotNull()).select("page_id", "r.*")
+    """Scraped pages (page_id, html) to bills; pages without a title are no record, and of a page that repeats the last record counts."""
+    place_in_feed = [c for c in ("position",) if c in pages.columns]
+    read = pages.select("page_id", *place_in_feed, page_record("html", "page_id").alias("r")).where(F.col("r.title").isNotNull())
+    records = last_of(read, "page_id").select("page_id", "r.*")
     rows = records.withColumn("entity_id", X.natural_id(F.lit("iqm2_legi_file_id"), F.col("page_id"))).withColumn("source_id", X.natural_id(F.col("entity_id"), run_at))
     url = F.concat(F.lit(f"{base_url}/Detail_LegiFile.aspx?ID="), F.col("page_id").cast("string"))
     acted = X.month_name_date(F.col("date_text"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from gavel.functions.scalars import as_multipolygon, natural_id
 from gavel.schemas import FEATURES, JURISDICTIONS
@@ -27,13 +29,21 @@ def boundaries(spark: SparkSession, path: str, origin: str) -> DataFrame:
     )
 
 
-def dbf_rows(data: bytes) -> Iterator[dict[str, str] | None]:
-    """Rows of a dBASE attribute table as texts; None for a deleted one."""
+def dbf_layout(data: bytes) -> tuple[int, int, int, list[tuple[str, int]]]:
+    """Rows, bytes before the first, bytes of each, and (name, width) of the fields of a dBASE table."""
     n, head, size = struct.unpack_from("<IHH", data, 4)
     fields, at = [], 32
     while data[at] != 0x0D:
         fields.append((data[at : at + 11].split(b"\0")[0].decode("latin-1"), data[at + 16]))
         at += 32
+    return n, head, size, fields
+
+
+def dbf_rows(data: bytes, layout: tuple[int, int, int, list[tuple[str, int]]] | None = None) -> Iterator[dict[str, str] | None]:
+    """Rows of a dBASE attribute table as texts; None for a deleted one. With a ``layout``, ``data`` are rows without a head."""
+    n, head, size, fields = layout or dbf_layout(data)
+    if layout:
+        n, head = len(data) // size, 0
     for k in range(n):
         row, place = {}, head + k * size + 1
         if data[place - 1 : place] == b"*":
@@ -71,9 +81,8 @@ def polygons(rings: list) -> list:
 POLYGONS, NO_SHAPE = (5, 15, 25), 0
 
 
-def shapes(data: bytes) -> Iterator[list]:
-    """MultiPolygon coordinates of each record of a shapefile; an empty list for a record without a shape."""
-    at = 100
+def shapes(data: bytes, at: int = 100) -> Iterator[list]:
+    """MultiPolygon coordinates of each record of a shapefile from byte ``at`` on; an empty list for a record without a shape."""
     while at + 8 <= len(data):
         (words,) = struct.unpack_from(">I", data, at + 4)
         kind, body = struct.unpack_from("<i", data, at + 8)[0], at + 12
@@ -90,15 +99,84 @@ def shapes(data: bytes) -> Iterator[list]:
         at += 8 + 2 * words
 
 
-def shapefile_boundaries(
-    spark: SparkSession, folder: str, *, scope_type: str, name_field: str, state: str = "12", state_field: str = "STATEFP",
-    names: Sequence[str] | None = None, origin: str = "US Census TIGER/Line",
-) -> DataFrame:
-    """Rows of spatial contexts from the shapefiles of a folder (NAME.shp beside NAME.dbf).
+#: Bytes of the index before its records and of each record, and bytes of shapes that a task reads at most, about.
+INDEX_HEAD, INDEX_RECORD, RANGE_BYTES = 100, 8, 16 << 20
+
+
+class _Records(InputPartition):
+    def __init__(self, stem: str, first: int, last: int):
+        super().__init__((stem, first, last))
+
+
+class _ShapeReader(DataSourceReader):
+    """Deals the records of each shapefile out by ranges, which its index names."""
+
+    def __init__(self, options: dict):
+        from gavel.sources.landed import local
+
+        self.folder, self.most = local(options["path"]), int(options.get("bytesPerPartition", RANGE_BYTES))
+
+    def partitions(self) -> list[InputPartition]:
+        out = []
+        for name in sorted(n for n in os.listdir(self.folder) if n.endswith(".shp")):
+            stem = os.path.join(self.folder, name[:-4])
+            for kind in ("shx", "dbf"):
+                if not os.path.exists(f"{stem}.{kind}"):
+                    raise ValueError(f"{name[:-4]} lacks its .{kind} file")
+            n = (os.path.getsize(f"{stem}.shx") - INDEX_HEAD) // INDEX_RECORD
+            with open(f"{stem}.dbf", "rb") as f:
+                if struct.unpack_from("<I", f.read(12), 4)[0] != n:
+                    raise ValueError(f"{name[:-4]}: its files differ in length")
+            each = max(1, min(n, n * self.most // max(1, os.path.getsize(f"{stem}.shp"))))
+            out += [_Records(stem, k, min(k + each, n)) for k in range(0, n, each)]
+        return out
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        stem, first, last = partition.value
+        with open(f"{stem}.shx", "rb") as f:
+            f.seek(INDEX_HEAD + first * INDEX_RECORD)
+            places = struct.unpack(f">{2 * (last - first)}I", f.read((last - first) * INDEX_RECORD))
+        with open(f"{stem}.dbf", "rb") as f:
+            head = f.read(struct.unpack_from("<IHH", f.read(12), 4)[1] - 12)  # after the 12 bytes that tell the length
+            f.seek(0)
+            layout = dbf_layout(f.read(12) + head)
+            f.seek(layout[1] + first * layout[2])
+            rows = list(dbf_rows(f.read((last - first) * layout[2]), layout))
+        with open(f"{stem}.shp", "rb") as f:
+            for k, row in enumerate(rows):  # offsets and lengths count words of two bytes
+                f.seek(2 * places[2 * k])
+                if row is not None:
+                    yield os.path.basename(stem), first + k, row, next(shapes(f.read(8 + 2 * places[2 * k + 1]), 0))
+
+
+class Shapefiles(DataSource):
+    """``spark.read.format("shapefiles").load(folder)``: (file, record, attributes, geom) of every record that isn't deleted.
+
+    A file is read by as many tasks as ranges of ``bytesPerPartition`` make; its index (.shx) says where they begin.
+    The folder must be mounted on every machine.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "shapefiles"
+
+    def schema(self) -> str:
+        return "file string, record bigint, attributes map<string,string>, geom array<array<array<array<double>>>>"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _ShapeReader(self.options)
 
-    A record of another state (where the field is there), without a name, or with a name that
-    isn't asked for is skipped. Files are read by Spark, one pair of files to a task.
+
+def shape_records(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, attributes, geom) of the shapefiles of a folder (NAME.shp beside NAME.dbf).
+
+    With an index (NAME.shx) beside each in a mounted folder, files are dealt out by ranges of records; else Spark
+    reads them whole, one pair of files to a task.
     """
+    kinds = {os.path.splitext(p)[1] for p in os.listdir(folder)} if os.path.isdir(folder) else set()
+    if ".shx" in kinds:
+        spark.dataSource.register(Shapefiles)
+        return spark.read.format("shapefiles").load(folder).drop("record")
     files = spark.read.format("binaryFile").load(f"{folder}/*.{{shp,dbf}}").select(
         F.regexp_replace("path", r"\.(shp|dbf)$", "").alias("stem"), F.regexp_extract("path", r"([^/]+)\.\w+$", 1).alias("file"),
         F.regexp_extract("path", r"\.(\w+)$", 1).alias("kind"), "content",
@@ -111,10 +189,23 @@ def shapefile_boundaries(
                 if pair["shp"] is None or pair["dbf"] is None:
                     raise ValueError(f"{pair['file']} lacks its .shp or .dbf file")
                 rows = zip(dbf_rows(pair["dbf"]), shapes(pair["shp"]), strict=True)  # a file of another length is broken
-                kept = [(r, g) for r, g in rows if r is not None and (state_field not in r or r[state_field] == state)]
-                yield pd.DataFrame({"file": [pair["file"]] * len(kept), "scope_name": [r.get(name_field, "").strip() for r, _ in kept], "geom": [g for _, g in kept]})
+                kept = [(r, g) for r, g in rows if r is not None]
+                yield pd.DataFrame({"file": [pair["file"]] * len(kept), "attributes": [r for r, _ in kept], "geom": [g for _, g in kept]})
+
+    return pairs.mapInPandas(run, "file string, attributes map<string,string>, geom array<array<array<array<double>>>>")
+
+
+def shapefile_boundaries(
+    spark: SparkSession, folder: str, *, scope_type: str, name_field: str, state: str = "12", state_field: str = "STATEFP",
+    names: Sequence[str] | None = None, origin: str = "US Census TIGER/Line",
+) -> DataFrame:
+    """Rows of spatial contexts from the shapefiles of a folder.
 
-    found = pairs.mapInPandas(run, "file string, scope_name string, geom array<array<array<array<double>>>>").where(F.col("scope_name") != "")
+    A record of another state (where the field is there), without a name, or with a name that isn't asked for is skipped.
+    """
+    own = F.coalesce(F.col("attributes")[state_field] == state, F.lit(True))
+    named = F.trim(F.coalesce(F.col("attributes")[name_field], F.lit("")))
+    found = shape_records(spark, folder).where(own).withColumn("scope_name", named).where(F.col("scope_name") != "")
     if names:
         found = found.where(F.col("scope_name").isin(*names))
     return found.select(
