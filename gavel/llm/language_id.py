@@ -27,14 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gavel.llm.common import batch, spans, unit, utf8
+from gavel.llm.common import batch, small, spans, unit, utf8, written
 
 UNKNOWN = "und"
 WIDTHS, FILTERS, DEPTH, LENGTH = (2, 3, 4), 8, 8, 256
-#: Bounds of the training sample: texts of each language, and windows of each text.
-TEXTS_PER_LANGUAGE, WINDOWS_PER_TEXT = 400, 4
-#: Languages that are learned: the most frequent ones, ties by name.
-MAX_LANGUAGES = 400
+#: Bounds of the training sample: texts of each language and of all (one of each language at least), and windows of each text.
+TEXTS_PER_LANGUAGE, TEXTS, WINDOWS_PER_TEXT = 400, 160_000, 4
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 BLOCK = 16
 
@@ -151,18 +149,17 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], seed: int = 7) ->
 def training_windows(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str) -> tuple[np.ndarray, list[str]]:
     """Windows of a sample of the rows that ``learn`` admits, with their languages.
 
-    Languages are counted over all rows; each then gives about ``TEXTS_PER_LANGUAGE`` texts, drawn
-    by a hash of the id, and of each text at most ``WINDOWS_PER_TEXT`` windows spread over the whole.
+    Languages are counted over all rows, and all of them are learned; each gives about ``TEXTS_PER_LANGUAGE``
+    texts, or fewer if there are so many languages that ``TEXTS`` would be passed, drawn by a hash of the id,
+    and of each text at most ``WINDOWS_PER_TEXT`` windows spread over the whole.
     """
-    admitted = docs.where(learn & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    counts = {r[lang_col]: r["n"] for r in admitted.groupBy(lang_col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang_col).limit(MAX_LANGUAGES).collect()}
-    if not counts:
+    rows = docs.where(learn).select(F.col(f"`{id_col}`").alias("own"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text"))
+    admitted = rows.where(F.col("lang").isNotNull() & F.col("own").isNotNull())
+    counts = written(admitted.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    if not (n_languages := counts.count()):
         return np.zeros((0, LENGTH), np.uint8), []
-    draw = unit(F.col(id_col), salt="language")
-    chosen = None
-    for lang, n in counts.items():
-        share = F.col(lang_col) == lang, draw < TEXTS_PER_LANGUAGE / n
-        chosen = F.when(*share) if chosen is None else chosen.when(*share)
+    each = max(1.0, min(TEXTS_PER_LANGUAGE, TEXTS / n_languages))
+    drawn = admitted.where(F.col("text").isNotNull()).join(small(counts), "lang").where(unit(F.col("own"), salt="language") < F.lit(each) / F.col("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([pa.field("id", pa.string()), pa.field("lang", pa.string()), pa.field("win", pa.binary())])
@@ -179,7 +176,7 @@ def training_windows(docs: DataFrame, learn: Column, id_col: str, text_col: str,
             take = pa.array(owner[taken])
             yield batch(schema, rows.column(0).take(take), rows.column(1).take(take), [w.tobytes() for w in x])
 
-    picked = admitted.where(chosen).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    picked = drawn.select(F.col("own").cast("string").alias("id"), "lang", "text")
     found = sorted((r["id"], r["lang"], bytes(r["win"])) for r in picked.mapInArrow(run, "id string, lang string, win binary").collect())
     return np.frombuffer(b"".join(w for *_, w in found), np.uint8).reshape(-1, LENGTH), [lang for _, lang, _ in found]
 

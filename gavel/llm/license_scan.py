@@ -88,8 +88,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     is joined by a shuffle beyond ``MAX_POSITIONS``; everything after the join holds hits only,
     grouped by row and template.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col).alias("row_id"), F.xxhash64(text).alias("text_hash"), split_words(text).alias("words"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    keyed = docs.select(F.col(f"`{id_col}`").alias("row_id"), F.xxhash64(text).alias("text_hash"), split_words(text).alias("words"))
     grams = keyed.withColumn("gram_hashes", gram_hashes(F.col("words"), k))
     # The outer form, since for the plain one Spark infers a filter on the size of the array and,
     # pushing it to the scan, splits the text anew for every element.
@@ -134,10 +134,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         labels(F.col("found")).alias("labels"),
         F.max(F.when(F.col("found"), F.col("share"))).alias("score"),
     )
-    sizes = docs.select(F.col(id_col), F.xxhash64(text).alias("text_hash"), F.size(split_words(text)).cast("bigint").alias("n_words"))
-    same = sizes[id_col].eqNullSafe(by_row["row_id"]) & (sizes["text_hash"] == by_row["text_hash"])
+    sizes = docs.select(F.col(f"`{id_col}`").alias("own_id"), F.xxhash64(text).alias("own_hash"), F.size(split_words(text)).cast("bigint").alias("n_words"))
+    same = F.col("own_id").eqNullSafe(F.col("row_id")) & (F.col("own_hash") == F.col("text_hash"))
     return sizes.join(by_row, same, "left").select(
-        sizes[id_col],
+        F.col("own_id").alias(id_col),
         "n_words",
         F.coalesce("n_base", F.lit(0)).cast("bigint").alias("n_base"),
         "first_word",

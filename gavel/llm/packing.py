@@ -6,9 +6,9 @@ least padding for the number of buckets. Inside each bucket, sequences fill batc
 budget: a bucket of length b takes ``budget // b`` sequences a batch, each padded to b.
 
 Places inside a bucket come from two steps that no single task has to hold: shards of a bucket
-(by a hash of the sequence) are numbered within, and shards are offset by the sizes of those
-before. So a bucket with a third of all rows is spread over as many tasks as any other rows, and
-each bucket has one batch at most that isn't full.
+(by a hash of the sequence and of its row's number) are numbered within, and shards are offset by the
+sizes of those before. So a bucket with a third of all rows, be they equal, is spread over as many tasks
+as any other rows, and each bucket has one batch at most that isn't full.
 
 Defined results: a null, empty or wordless text has length 0, forms no sequence and is returned
 once, with null bucket, batch and place; rows that repeat an id are told apart by their text, and
@@ -79,11 +79,13 @@ def pack(
     """
     if budget < context:
         raise ValueError("a batch must hold a sequence of the context's length")
-    tokens = (word_count(F.col(text_col)) if length is None else length).cast("bigint")
-    sized = written(docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.coalesce(tokens, F.lit(0)).alias("tokens")), "lengths")
+    tokens = (word_count(F.col(f"`{text_col}`")) if length is None else length).cast("bigint")
+    ident, body = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    # numbers of rows are written once, and so stay what they are when a task runs again
+    sized = written(docs.select(ident.alias("id"), F.xxhash64(ident, body).alias("key"), F.monotonically_increasing_id().alias("row"), F.coalesce(tokens, F.lit(0)).alias("tokens")), "lengths")
     chunks = F.when(F.col("tokens") > 0, F.sequence(F.lit(0), ((F.col("tokens") - 1) / context).cast("int")))
-    cut = sized.select("id", "key", "tokens", F.explode_outer(chunks).alias("chunk"))
-    cut = cut.select("id", "key", "chunk", F.least(F.lit(context), F.col("tokens") - F.coalesce("chunk", F.lit(0)) * context).cast("int").alias("n_tokens"))
+    cut = sized.select("id", "key", "row", "tokens", F.explode_outer(chunks).alias("chunk"))
+    cut = cut.select("id", "key", "row", "chunk", F.least(F.lit(context), F.col("tokens") - F.coalesce("chunk", F.lit(0)) * context).cast("int").alias("n_tokens"))
 
     real = cut.where("n_tokens > 0")
     histogram = sorted(tuple(r) for r in real.groupBy("n_tokens").agg(F.count("*")).collect())
@@ -94,9 +96,9 @@ def pack(
         bucket = F.when(F.col("n_tokens") <= b, b).otherwise(bucket)
     shards = max(1, -(-int(counts.sum()) // SHARD_ROWS)) * 8
     order = F.xxhash64("key", "chunk")
-    placed = real.withColumn("bucket", bucket).withColumn("order", order).withColumn("shard", F.pmod("order", F.lit(shards)))
+    placed = real.withColumn("bucket", bucket).withColumn("order", order).withColumn("shard", F.pmod(F.xxhash64("order", "row"), F.lit(shards)))
     # Numbers within shards, and the sizes of the shards before, from one written table of shard numbers.
-    numbered = placed.withColumn("number", F.row_number().over(W.partitionBy("bucket", "shard").orderBy("order", "id", "key", "chunk")) - 1)
+    numbered = placed.withColumn("number", F.row_number().over(W.partitionBy("bucket", "shard").orderBy("order", "row")) - 1)
     sizes = placed.groupBy("bucket", "shard").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("bucket").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("bucket", "shard", before.alias("before"))
