@@ -61,6 +61,10 @@ GRAM_BITS = 20
 #: Covered share of an item that makes a leak, alone or with the answer, and of an answer.
 COVERED, COVERED_WITH_ANSWER, ANSWER_COVERED = 0.7, 0.5, 0.8
 TABLES = (1 << 20) + 1
+#: Windows that are projected at a time, so that their sums stay in a fast cache.
+WINDOWS = 512
+#: Entries of a table of windows and words.
+ROOM = 1 << 20
 #: Texts that a task counts words of at a time.
 ROWS = 1000
 
@@ -209,11 +213,34 @@ class Latent:
     items: list[Item]
     lightest: list[float]  # by scale: weight of the lightest passage
     seeds: list[Seeds]
+    lengths: np.ndarray  # words of each item
+    item_rows: np.ndarray  # (items, longest): rows of the items' words, filled up with the number of rows
 
     @property
     def n_bytes(self) -> int:
         seeds = sum(x.hashes.nbytes + x.item.nbytes + x.place.nbytes + x.marks.nbytes for x in self.seeds)
-        return self.vectors.nbytes + self.row.nbytes + seeds + sum(q.nbytes for q in self.queries) + 200 * sum(len(x.words) for x in self.items)
+        return self.vectors.nbytes + self.row.nbytes + self.item_rows.nbytes + seeds + sum(q.nbytes for q in self.queries) + 200 * sum(len(x.words) for x in self.items)
+
+    def words_around(self, item: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray, last: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """For each pair of an item and a window (words ``first`` to ``last`` of the text from ``begin`` to ``end``): how many
+        of the item's words stand within its length around the window. Pairs are sorted by window; ``rows`` is by word."""
+        out, reach = np.zeros(len(item), np.int64), self.lengths[item]
+        low, high = np.maximum(begin, first - reach), np.minimum(end, last + reach)
+        width = len(self.vocabulary) + 1
+        at = 0
+        while at < len(item):  # some at a time, so that the table of what is there stays small
+            to = min(len(item), at + max(1, ROOM // width))
+            while to > at + 1 and int((high - low)[at:to].sum()) > ROOM:
+                to = at + (to - at) // 2
+            n = (high - low)[at:to]
+            owner = np.repeat(np.arange(to - at), n)
+            place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[at:to], n)
+            there = np.zeros((to - at, width), bool)
+            there[owner, rows[place]] = True  # -1, for a word of no item, is the last column
+            there[:, -1] = False
+            out[at:to] = there[np.arange(to - at)[:, None], self.item_rows[item[at:to]]].sum(axis=1)
+            at = to
+        return out
 
     def rows_of(self, words: np.ndarray) -> np.ndarray:
         found = self.row[bucket(words)]
@@ -302,10 +329,14 @@ def fit_block(block: DataFrame, idf: np.ndarray) -> Latent | None:
     owner = np.array(owner)
     scales = np.array([scale_of(len(x.words)) for x in items])[owner]
     by_scale = [np.flatnonzero(scales == k) for k in range(len(SCALES))]
+    lengths = np.array([len(x.words) for x in items])
+    item_rows = np.full((len(items), int(lengths.max())), len(vocabulary), np.int32)
+    for n, x in enumerate(items):
+        item_rows[n, : lengths[n]] = np.searchsorted(vocabulary, np.array(x.words, np.uint64))
     return Latent(
         idf, row, vocabulary, (vectors * weight[:, None]).astype(np.float32), of_scale,
         [queries[k].astype(np.float32) for k in by_scale], [owner[k] for k in by_scale], items,
-        lightest, [x for k in range(1, GRAM + 1) if (x := Seeds.of(items, k))],
+        lightest, [x for k in range(1, GRAM + 1) if (x := Seeds.of(items, k))], lengths, item_rows,
     )
 
 
@@ -337,7 +368,7 @@ def find_in(latents: list[Latent], data: np.ndarray, at: np.ndarray, tables: tup
         for scale in range(len(SCALES)):
             if len(latent.queries[scale]):
                 of_scale = np.where(rows >= 0, np.where(latent.of_scale[scale][rows], rows, -1), -1)
-                for leak in find_at(latent, scale, words, n_words, of_scale, weight2, whole):
+                for leak in find_at(latent, scale, words, n_words, rows, of_scale, weight2, whole):
                     old = best.get((leak.row, leak.item))
                     if old is None or (leak.covered, leak.cosine, -leak.first_word) > (old.covered, old.cosine, -old.first_word):
                         best[leak.row, leak.item] = leak
@@ -345,8 +376,8 @@ def find_in(latents: list[Latent], data: np.ndarray, at: np.ndarray, tables: tup
             yield latent, leak
 
 
-def find_at(latent: Latent, scale: int, words: np.ndarray, n_words: np.ndarray, rows: np.ndarray, weight2: np.ndarray, whole: np.ndarray) -> Iterator[Leak]:
-    """Leaks of the items of one scale; ``rows`` has the words of that scale's items, -1 for others."""
+def find_at(latent: Latent, scale: int, words: np.ndarray, n_words: np.ndarray, all_rows: np.ndarray, rows: np.ndarray, weight2: np.ndarray, whole: np.ndarray) -> Iterator[Leak]:
+    """Leaks of the items of one scale; ``rows`` has the words of that scale's items, -1 for others; ``all_rows`` those of all items."""
     _, size, step = SCALES[scale]
     begin = np.cumsum(n_words) - n_words
     each = np.where(n_words > 0, np.maximum(1, -(-(n_words - size) // step) + 1), 0)
@@ -357,21 +388,41 @@ def find_at(latent: Latent, scale: int, words: np.ndarray, n_words: np.ndarray,
     known = np.r_[0.0, np.cumsum(np.where(rows >= 0, weight2, 0))]
     weight, shared = whole[end] - whole[first], known[end] - known[first]
     likely = np.flatnonzero((shared > 0) & ((shared >= SHARED * weight) | (shared >= LIGHTEST * latent.lightest[scale])))
-    for low in range(0, len(likely), 2048):
-        part = likely[low : low + 2048]
+    for low in range(0, len(likely), WINDOWS):
+        part = likely[low : low + WINDOWS]
         steps = first[part][:, None] + np.arange(size)
         inside = steps < end[part][:, None]
         at_row = np.where(inside, rows[np.minimum(steps, len(rows) - 1)], -1)
-        taken, column = np.nonzero(at_row >= 0)
-        starts = np.flatnonzero(np.r_[True, taken[1:] != taken[:-1]])
-        projected = np.add.reduceat(latent.vectors[at_row[taken, column]], starts, axis=0)
+        projected = summed(latent.vectors, at_row)
         cosines = projected @ latent.queries[scale].T / np.maximum(np.linalg.norm(projected, axis=1, keepdims=True), 1e-12)
-        for hit, query in zip(*np.nonzero(cosines >= COSINE), strict=True):
-            window, item = part[taken[starts[hit]]], int(latent.owner[scale][query])
-            low_word, d = int(begin[doc[window]]), int(doc[window])
-            covered, answer = coverage(latent.items[item], words, low_word, low_word + int(n_words[d]), int(first[window]), int(end[window]))
+        hit, query = np.nonzero(cosines >= COSINE)
+        pair = hit * len(latent.items) + latent.owner[scale][query]
+        order = np.argsort(pair, kind="stable")
+        starts = np.flatnonzero(np.r_[True, pair[order[1:]] != pair[order[:-1]]]) if len(pair) else np.zeros(0, np.int64)
+        best = np.maximum.reduceat(cosines[hit, query][order], starts) if len(starts) else np.zeros(0)
+        hit, item = np.divmod(pair[order[starts]], len(latent.items))
+        window = part[hit]
+        texts = begin[doc[window]], (begin + n_words)[doc[window]]
+        enough = latent.words_around(item, *texts, first[window], end[window], all_rows) >= COVERED_WITH_ANSWER * latent.lengths[item]
+        for w, own, cosine in zip(window[enough].tolist(), item[enough].tolist(), best[enough].tolist(), strict=True):
+            d, low_word = int(doc[w]), int(begin[doc[w]])
+            covered, answer = coverage(latent.items[own], words, low_word, low_word + int(n_words[d]), int(first[w]), int(end[w]))
             if covered >= COVERED or (answer and covered >= COVERED_WITH_ANSWER):
-                yield Leak(d, item, float(cosines[hit, query]), covered, answer, int(first[window]) - low_word)
+                yield Leak(d, own, cosine, covered, answer, int(first[w]) - low_word)
+
+
+def summed(vectors: np.ndarray, at_row: np.ndarray) -> np.ndarray:
+    """The sum of the vectors of each row of ``at_row``, in which -1 stands for none."""
+    n = (at_row >= 0).sum(axis=1)
+    order = np.argsort(-n, kind="stable")  # the fullest first, so that each step adds to the first rows only
+    at_row = -np.sort(-at_row[order], axis=1)  # and what is there before what isn't
+    total = np.zeros((len(at_row), vectors.shape[1]), vectors.dtype)
+    for k in range(int(n.max(initial=0))):
+        live = int(np.searchsorted(-n[order], -k, "left"))
+        total[:live] += vectors[at_row[:live, k]]
+    out = np.empty_like(total)
+    out[order] = total
+    return out
 
 
 def coverage(item: Item, words: np.ndarray, begin: int, end: int, first: int, last: int) -> tuple[float, bool]:
