@@ -240,9 +240,9 @@ def answers(pairs: DataFrame, same_label: bool, want: int, dims: int, store: typ
             out: list[list[np.ndarray]] = [[] for _ in range(5)]
             for k in range(part.num_rows):
                 read = lambda c, kind=np.int64: np.frombuffer(part.column(c)[k].as_py(), kind)  # noqa: B023, E731
-                a_uid, a_label, a_vec = read(0), read(1), read(2, store).reshape(-1, dims).astype(kind)
+                a_uid, a_label, a_vec = read(0), read(1), read(2, store).reshape(len(read(0)), dims).astype(kind)
                 low, high, least, least_id = (read(c).reshape(len(a_uid), -1) for c in (3, 4, 5, 6))
-                uid, ids, label, vec = read(7), read(8), read(9), read(10, store).reshape(-1, dims).astype(kind)
+                uid, ids, label, vec = read(7), read(8), read(9), read(10, store).reshape(len(read(7)), dims).astype(kind)
                 scores = (a_vec @ vec.T).astype(np.int64)
                 fits = (a_label[:, None] == label) if same_label else (a_label[:, None] != label)
                 fits &= (scores >= np.maximum(low, least).min(axis=1)[:, None]) & (scores <= high.max(axis=1)[:, None])

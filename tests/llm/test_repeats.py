@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 
@@ -17,7 +18,7 @@ def brute(rows):
     seen, firsts = {}, {}
     for k, (i, text) in enumerate(rows):
         seen.setdefault((i, text), k)
-    docs = [(i, text, (text or "").split()) for i, text in seen]
+    docs = [(i, text, re.findall(r"[^\x20\x09-\x0D]+", text or "")) for i, text in seen]
     for i, text, words in docs:
         for s in range(len(words) - SIZE + 1):
             firsts.setdefault(tuple(words[s : s + SIZE]), []).append((i is None, i or 0, text, s))
@@ -44,7 +45,7 @@ def corpus(rng):
             text += rng.choice(passages)[rng.choice([0, 0, 3]) :] + words(rng.randrange(25))
         rows.append((k * 3 % 127, " ".join(text)))
     rows += [(200 + k, " ".join(passages[3])) for k in range(60)] + [(300 + k, "same " * (15 + k)) for k in range(15)]
-    rows += [(400, None), (401, ""), (402, " \n\t"), (403, "a\x0bb c d " * 30), (404, " ".join(passages[2] + passages[2] + passages[2][:19]))]
+    rows += [(400, None), (401, ""), (402, " \n\t"), (403, "a\x0bb\u00a0c d " * 30), (404, " ".join(passages[2] + passages[2] + passages[2][:19]))]
     rows += [(500, rows[0][1])] * 3 + [(None, rows[1][1])] * 3 + [(None, None)]
     return rows
 
