@@ -146,14 +146,16 @@ def over_words(text_col: str, body: Callable[[Measure], Column]) -> Column:
     return bind(split_words(text), lambda words: body(expressions(text, words)))
 
 
-#: Rows of the sample that orders the rules, tasks that share it, and how often a timed job repeats each row.
-SAMPLE_ROWS, SAMPLE_TASKS, REPEATS = 1000, 4, 4
+#: Rows and bytes of the sample that orders the rules, about; tasks that share it; how often a timed job repeats each row.
+SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_TASKS, REPEATS = 1000, 16 << 20, 4, 4
 
 
 def rule_sample(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
-    """About ``rows`` texts drawn evenly from all partitions, dealt out evenly to ``SAMPLE_TASKS`` tasks."""
-    n = max(1, docs.count())
-    return docs.select(F.col(text_col).alias("text")).sample(min(1.0, rows / n), seed=1).repartition(SAMPLE_TASKS)
+    """About ``rows`` whole texts, or as many as have ``SAMPLE_BYTES`` bytes, drawn evenly from all partitions, dealt out evenly to ``SAMPLE_TASKS`` tasks."""
+    texts = docs.select(F.col(f"`{text_col}`").alias("text"))
+    n, size = texts.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    share = min(1.0, rows / max(1, n), SAMPLE_BYTES / max(1, size or 0))
+    return texts.sample(share, seed=1).repartition(SAMPLE_TASKS)
 
 
 def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text", rows: int = SAMPLE_ROWS) -> list[Rule]:
