@@ -196,13 +196,22 @@ def news_feed(spark: SparkSession, d: str) -> DataFrame:
     return made["events"].join(urls, "source_id").select(F.col("entity_id").cast("bigint").alias("bill"), "title", "url")
 
 
-@query("SELECT count(*) AS articles, count(DISTINCT user_id % 50) AS bills FROM (SELECT DISTINCT user_id, props FROM events WHERE user_id % 50 <> 13 AND lower(event_type) LIKE '%error%')")
+@query("""SELECT count(*) AS articles, count(DISTINCT bill) AS bills, (SELECT count(DISTINCT user_id % 50) FROM events WHERE user_id % 50 = 13) AS failed
+FROM (SELECT DISTINCT user_id % 50 AS bill, user_id || props AS url FROM events WHERE user_id % 50 <> 13 AND lower(event_type) LIKE '%error%')""")
 def news_batch(spark: SparkSession, d: str) -> DataFrame:
-    """Articles with a keyword, for a batch of bills of which one fails and is skipped; written rows are counted."""
-    rows = t(spark, d, "events").select((F.col("user_id") % 50).cast("string").alias("entity_id"), F.concat("user_id", "props").alias("url"), F.col("event_type").alias("title"))
-    found = feeds.with_keywords(rows, "title", ["error"])
-    failed = found.select("entity_id").distinct().where("entity_id = '13'")
-    return feeds.batch_outcome(found.dropDuplicates(["entity_id", "url"]), failed, "entity_id")
+    """Answers of a search for a batch of bills, those of one bill cut off in transit; articles with a keyword are counted."""
+    rows = t(spark, d, "events").select((F.col("user_id") % 50).alias("bill"), "user_id", F.to_date("ts").alias("day"), F.struct(F.concat("user_id", "props").alias("url"), F.col("event_type").alias("title")).alias("a"))
+    whole = rows.groupBy("bill", "user_id", "day").agg(F.to_json(F.struct(F.collect_list("a").alias("articles"))).alias("payload"))
+    cut = F.when(F.col("bill") == 13, F.left("payload", F.length("payload") - 2)).otherwise(F.col("payload"))
+    return feeds.batch_outcome(feeds.searches(whole.withColumn("payload", cut), "bill", ["error"]), "bill")
+
+
+@query("""SELECT o_orderkey AS matter, CAST(o_orderdate AS DATE) AS introduced FROM orders ORDER BY CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END DESC NULLS LAST, o_orderkey DESC LIMIT 50""")
+def newest_matters(spark: SparkSession, d: str) -> DataFrame:
+    """The 50 matters that were introduced last; some have no date."""
+    k, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd'T'00:00:00")
+    matters = t(spark, d, "orders").select(k.alias("MatterId"), F.when(k % 4 != 0, day).alias("MatterIntroDate"), F.to_date("o_orderdate").alias("introduced"))
+    return feeds.newest_matters(matters, 50).select(F.col("MatterId").alias("matter"), "introduced")
 
 
 @query("SELECT doc_id FROM documents WHERE regexp_matches(lower(text), 'energ|budget|the')")

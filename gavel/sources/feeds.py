@@ -7,12 +7,14 @@ hashes of natural keys. Fixed values are the names that stored rows carry (sourc
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavel.functions import scalars as X
+from gavel.operators.attempts import attempted
 from gavel.sources.html import page_record
 
 Tables = dict[str, DataFrame]
@@ -196,10 +198,42 @@ def with_keywords(articles: DataFrame, column: str, words: Sequence[str]) -> Dat
     return articles.where(hit)
 
 
-def batch_outcome(written: DataFrame, failed: DataFrame, key: str) -> DataFrame:
-    """(articles, bills) that a batch wrote; a bill that failed wrote nothing and stops no other."""
-    kept = written.join(failed.select(key), key, "left_anti")
-    return kept.agg(F.count("*").alias("articles"), F.count_distinct(key).alias("bills"))
+ARTICLES = "position bigint, url string, title string"
+
+
+def searched(payload: str | None, words: Sequence[str]) -> list[dict]:
+    """Articles of one answer of the search, (position, url, title) with any of the words in the title; a broken answer raises ``ValueError``."""
+    answer = json.loads(payload or "")
+    if not isinstance(answer, dict) or not isinstance(answer.get("articles", []), list):
+        raise ValueError("the answer holds no list of articles")
+    rows = [{"position": k, "url": a.get("url"), "title": a.get("title")} for k, a in enumerate(answer.get("articles", []))]
+    return [r for r in rows if not words or any(w.lower() in (r["title"] or "").lower() for w in words)]
+
+
+def searches(answers: DataFrame, key: str, words: Sequence[str]) -> DataFrame:
+    """(key, position, url, title, error, empty) of the answers (key, payload) of a batch: one that can't be read
+    gives one row with its error, and stops no other."""
+
+    def make() -> Callable[[dict], list[dict]]:
+        return lambda row: searched(row["payload"], words)
+
+    return attempted(answers.select(key, "payload"), key, make, ARTICLES)
+
+
+def batch_outcome(found: DataFrame, key: str) -> DataFrame:
+    """(articles, bills, failed): distinct articles that a batch of ``searches`` wrote, the bills that have some, and the bills that failed."""
+    fine, own = F.expr("error IS NULL AND NOT empty"), F.col(key)
+    return found.agg(
+        F.count_distinct(F.when(fine, F.struct(own, "url"))).alias("articles"), F.count_distinct(F.when(fine, own)).alias("bills"),
+        F.count_distinct(F.when(F.col("error").isNotNull(), own)).alias("failed"),
+    )
+
+
+def newest_matters(matters: DataFrame, most: int) -> DataFrame:
+    """The matters that were introduced last, those without a date at the end, ties by id; at most ``most``, which must be positive."""
+    if most < 1:
+        raise ValueError("most must be positive")
+    return last_of(matters, "MatterId").orderBy(X.written_date(F.col("MatterIntroDate")).desc_nulls_last(), F.col("MatterId").desc()).limit(most)
 
 
 def newest_successes(candidates: DataFrame, key: str, ok: str, most: int, tried: int | None = None) -> DataFrame:

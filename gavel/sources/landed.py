@@ -1,6 +1,6 @@
 """Feeds that are landed as JSON files, as sources of Spark: articles by search, and an id space that grows.
 
-``articles`` is a batch source. Each file is a partition of its own; equality filters on the entity and bounds on
+``articles`` is a batch source. Files are dealt out to partitions by number and bytes; equality filters on the entity and bounds on
 the time are pushed into the reader, and an option keeps only the newest rows of each file. A file that
 can't be read becomes one row with an error, and the others are read on. Both read through Spark's file
 systems only where that is possible: a folder must be one that driver and executors share.
@@ -55,14 +55,15 @@ def seen_at(text: str | None) -> datetime | None:
         return None
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
+class _Files(InputPartition):
+    def __init__(self, paths: list[str]):
+        super().__init__(paths)
 
 
 class _ArticleReader(DataSourceReader):
     def __init__(self, options: dict):
         self.folder, self.newest = local(options["path"]), int(options.get("newest", 0))
+        self.most_files, self.most_bytes = int(options.get("filesPerPartition", 64)), int(options.get("bytesPerPartition", 16 << 20))
         self.entities: set[str] | None = None
         self.bounds: list[tuple[str, datetime]] = []
         self.present: set[str] = set()
@@ -82,17 +83,28 @@ class _ArticleReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        names = sorted(n for n in os.listdir(self.folder) if n.endswith(".json"))
-        return [_File(os.path.join(self.folder, n)) for n in names]
+        out: list[list[str]] = []
+        size = 0
+        for entry in sorted((e for e in os.scandir(self.folder) if e.name.endswith(".json")), key=lambda e: e.name):
+            size += entry.stat().st_size
+            if not out or len(out[-1]) >= self.most_files or size > self.most_bytes:
+                out.append([])
+                size = entry.stat().st_size
+            out[-1].append(entry.path)
+        return [_Files(paths) for paths in out]
 
     def _fits(self, at: datetime | None) -> bool:
         tests = {">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b}
         return all(at is not None and tests[side](at, bound) for side, bound in self.bounds)
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        name = os.path.basename(partition.value)
+        for path in partition.value:
+            yield from self._rows(path)
+
+    def _rows(self, path: str) -> Iterator[tuple]:
+        name = os.path.basename(path)
         try:
-            with open(partition.value, encoding="utf-8") as f:
+            with open(path, encoding="utf-8") as f:
                 payload = json.load(f)
             entity, articles = payload["entity_id"], payload.get("articles") or []
             rows = [(name, k, entity, *[a.get(c) for c in FIELDS], seen_at(a.get("seendate")), None) for k, a in enumerate(articles)]

@@ -54,7 +54,9 @@ def test_articles_are_filtered_in_the_reader(spark, tmp_path):
     assert rows(spark.read.format("articles").option("newest", 2).load(folder).where("error IS NULL"), "url") == [("u2",), ("u4",), ("u5",)]
     # the newest within a span are those of the rows that fit it
     assert rows(spark.read.format("articles").option("newest", 1).load(folder).where(F.col("seen_at") < F.lit("2026-03-05 00:00:00").cast("timestamp")), "url") == [("u1",)]
-    assert found.rdd.getNumPartitions() == 5
+    assert found.rdd.getNumPartitions() == 1
+    assert spark.read.format("articles").option("filesPerPartition", 1).load(folder).rdd.getNumPartitions() == 5
+    assert spark.read.format("articles").option("bytesPerPartition", 1).load(folder).rdd.getNumPartitions() == 5
     with pytest.raises(ValueError, match="mounted"):
         landed.local("s3://bucket/x")
 
