@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavel.functions.scalars import filled, natural_id, prefix
+from gavel.schemas import REVIEW_BILLS
 
 PROMPT_CHARS = 12_000
 Generator = Callable[[str], str]
@@ -81,3 +82,28 @@ def review_lines(bills: DataFrame, made: DataFrame) -> DataFrame:
     listed = F.array_join(F.transform("answers", lambda a: F.concat(F.lit("**"), a["claim_type"], F.lit(":** "), a["text"])), "\n\n")
     section = F.concat_ws("\n\n", F.concat(F.lit("## "), "bill_number", F.lit(": "), "title"), F.concat(F.lit("> "), quote), listed)
     return bills.join(answers, "entity_id").select("bill_number", section.alias("report"))
+
+
+def review_bills(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(entity_id, bill_number, title, bill_text) of bills that are to be reviewed: a JSON file with one list, or with a bill on each of its ``lines``."""
+    rows = spark.read.schema(REVIEW_BILLS).option("multiLine", not lines).json(path)
+    return rows.select(natural_id(F.col("bill_number"), F.col("title")).alias("entity_id"), "*")
+
+
+VERDICT = "**Verdict:** [ ] accurate  [ ] change the prompt  [ ] reject"
+
+
+def review_report(bills: DataFrame, made: DataFrame, model: str) -> DataFrame:
+    """(place, bill_number, report): a header that tells the model and how many bills come, then a section for each bill."""
+    said = [F.concat(F.lit(f"# Review of summaries\n\nModel: {model}\nBills: "), F.count(F.lit(1)).cast("string"), F.lit("\n\nCompare each answer with its text: invented facts, missing provisions, judgements of value."))]
+    head = bills.agg(F.lit(0).alias("place"), F.lit("").alias("bill_number"), said[0].alias("report"))
+    sections = review_lines(bills, made).select(F.lit(1).alias("place"), "bill_number", F.concat_ws("\n\n", "report", F.lit(VERDICT)).alias("report"))
+    return head.unionByName(sections)
+
+
+def review_run(spark: SparkSession, path: str, out: str, templates: Mapping[str, str], make: Callable[[], Generator], model: str) -> None:
+    """From a JSON file of bills to a folder of text files that hold the report in the order of their names."""
+    bills = review_bills(spark, path)
+    asked = prompts(bills, templates, text="bill_text")
+    report = review_report(bills, generated(asked, make), model)
+    report.orderBy("place", "bill_number").select(F.concat("report", F.lit("\n\n---\n")).alias("value")).write.mode("overwrite").text(out)

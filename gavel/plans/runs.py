@@ -9,16 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavel.functions import wkb
-from gavel.operators import attempts, ingest
+from gavel.operators import attempts, claims, ingest, samples
 from gavel.operators.commits import Store
-from gavel.plans.catalogue import CHANGED_SQL, _digests, query, t
-from gavel.plans.records import RUN_AT
+from gavel.plans.catalogue import CHANGED_SQL, CITIES, COUNTIES, _digests, _tag_sql, query, t
 from gavel.plans.storage import scratch
 from gavel.sources import feeds, html, landed
 from gavel.streaming import changes, upserts
 from gavel.streaming.batches import run_available
 
-EARLY, LATE = "2026-03-01 10:00:00", RUN_AT
+EARLY, LATE = "2026-03-01 10:00:00", "2026-03-05 10:00:00"
 
 
 def _at(text: str):
@@ -225,3 +224,73 @@ def retry_runs(spark: SparkSession, d: str) -> DataFrame:
     _, tables = store.snapshot()
     failed = tables["sizes_failed"].select("k", F.lit(None).cast("bigint").alias("value"), "tries", "error")
     return tables["sizes"].select("k", "value", "tries", F.lit(None).cast("string").alias("error")).unionByName(failed)
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_custkey % 9 AS who, o_orderstatus AS s FROM orders)
+SELECT 'entities' AS name, count(*) + (SELECT count(DISTINCT who || s) FROM o) AS n FROM o UNION ALL SELECT 'bills', count(*) FROM o UNION ALL SELECT 'sources', count(*) FROM o
+UNION ALL SELECT 'relationships', count(*) FROM o UNION ALL SELECT 'claims', 2 * count(*) FROM o UNION ALL SELECT 'claim_sources', 2 * count(*) FROM o
+UNION ALL SELECT 'claims with their source', 2 * count(*) FROM o""")
+def sample_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Sample bills entered in two overlapping runs: every row is there once, and each claim has its source."""
+    k = F.col("o_orderkey").cast("string")
+    nothing = F.lit(None)
+    rows = t(spark, d, "orders").select(
+        "o_orderkey", F.concat(F.lit("HB "), k).alias("bill_number"), F.col("o_orderpriority").alias("title"), F.lit("state").alias("jurisdiction_level"), F.col("o_orderstatus").alias("jurisdiction_name"),
+        F.lit("2026").alias("session"), F.lit("House").alias("chamber"), F.lit("Passed").alias("status"), F.to_date("o_orderdate").alias("introduced_date"), nothing.cast("date").alias("last_action_date"),
+        nothing.cast("string").alias("last_action"), F.concat(F.lit("https://x.example/"), k).alias("source_url"), F.lit("legiscan").alias("source_system"), F.lit("statewide").alias("geo_scope_type"),
+        F.array(F.lit("FL")).alias("geo_scope_names"), F.concat(F.lit("Rep. "), (F.col("o_custkey") % 9).cast("string")).alias("sponsor"),
+        F.create_map(F.lit("what_it_does"), k, F.lit("who_it_affects"), F.col("o_orderpriority")).alias("claims"),
+    )
+    store = Store(spark, scratch(spark, "samples"))
+    for part in (rows.where("o_orderkey % 3 <> 0"), rows.where("o_orderkey % 2 = 0"), rows):
+        samples.enter(store, samples.sample_tables(part.drop("o_orderkey"), _at(EARLY)))
+    _, tables = store.snapshot()
+    linked = tables["claims"].select(F.col("id").alias("claim_id")).join(tables["claim_sources"], "claim_id").join(tables["sources"].select(F.col("id").alias("source_id")), "source_id")
+    found = linked.agg(F.count("*").alias("n")).select(F.lit("claims with their source").alias("name"), "n")
+    for name, df in tables.items():
+        found = found.union(df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n"))
+    return found
+
+
+@query(f"""WITH tagged AS (SELECT doc_id, text, {_tag_sql(COUNTIES)} AS a, {_tag_sql(CITIES)} AS b FROM documents)
+SELECT 'D ' || doc_id AS bill_number, 'D ' || doc_id || ' - ' || coalesce(source, '') || chr(10) || 'status: Filed, ' || CASE WHEN len(a) > 0 THEN 'county: ' || array_to_string(a, ', ') WHEN len(b) > 0 THEN 'city: ' || array_to_string(b, ', ') ELSE 'statewide: FL' END
+|| CASE WHEN doc_id % 10 = 3 THEN '' ELSE chr(10) || 'what_it_does: ' || least(length(coalesce(text, '')), 12000) || chr(10) || 'sources: https://x.example/' || doc_id END AS card
+FROM (SELECT t.*, source FROM tagged t JOIN documents USING (doc_id))""")
+def by_hand(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as bills that are entered by hand: place, claim and source of each as one card; some prompts fail."""
+    key = F.col("doc_id").cast("string")
+    nothing = F.lit(None)
+    rows = t(spark, d, "documents").select(
+        F.concat(F.lit("D "), key).alias("bill_number"), F.col("source").alias("title"), F.lit("state").alias("jurisdiction_level"), F.lit("FL").alias("jurisdiction_name"), F.lit("2026").alias("session"),
+        F.lit("House").alias("chamber"), F.lit("Filed").alias("status"), nothing.cast("date").alias("introduced_date"), nothing.cast("date").alias("last_action_date"), nothing.cast("string").alias("last_action"),
+        F.concat(F.lit("https://x.example/"), key).alias("source_url"), F.lit("legiscan").alias("source_system"), nothing.cast("string").alias("sponsor"), F.col("text").alias("bill_text"),
+    )
+
+    def make():
+        def tell(prompt: str) -> str:
+            number, _, text = prompt.partition("|")
+            if number.endswith("3"):
+                raise TimeoutError("no answer")
+            return str(len(text))
+
+        return tell
+
+    made = samples.by_hand(rows, _at(EARLY), {"what_it_does": "{bill_number}|{bill_text}"}, make, "stub", COUNTIES, CITIES)
+    store = Store(spark, scratch(spark, "hand"))
+    samples.enter(store, made)
+    return samples.shown(store.snapshot()[1])
+
+
+@query("""WITH asked AS (SELECT p_partkey, p_brand || '-' || p_partkey AS bill_number, p_name AS title, p_type AS body FROM part)
+SELECT 0 AS place, '' AS bill_number, '# Review of summaries' || chr(10) || chr(10) || 'Model: stub' || chr(10) || 'Bills: ' || count(*) || chr(10) || chr(10) || 'Compare each answer with its text: invented facts, missing provisions, judgements of value.' AS report FROM asked
+UNION ALL SELECT 1, bill_number, '## ' || bill_number || ': ' || title || chr(10) || chr(10) || '> ' || body || chr(10) || chr(10) || '**what_it_does:** ' || CASE WHEN contains(body, 'ring') THEN 'error: ValueError: no answer' ELSE CAST(length(body) AS VARCHAR) END
+|| chr(10) || chr(10) || '**Verdict:** [ ] accurate  [ ] change the prompt  [ ] reject' FROM asked""")
+def review_report(spark: SparkSession, d: str) -> DataFrame:
+    """Bills landed as JSON, answered, and written as a report; here its rows."""
+    from gavel.plans.records import _count_words
+
+    folder = scratch(spark, "review")
+    rows = t(spark, d, "part").select(F.concat("p_brand", F.lit("-"), F.col("p_partkey").cast("string")).alias("bill_number"), F.col("p_name").alias("title"), F.col("p_type").alias("bill_text"))
+    rows.write.json(folder)
+    bills = claims.review_bills(spark, folder, lines=True)
+    return claims.review_report(bills, claims.generated(claims.prompts(bills, {"what_it_does": "{bill_text}"}, text="bill_text"), _count_words), "stub")

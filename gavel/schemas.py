@@ -51,6 +51,14 @@ TABLES = {
     "events": EVENTS, "relationships": RELATIONSHIPS, "spatial_contexts": SPATIAL_CONTEXTS, "flags": FLAGS,
 }
 
+#: A file of bills for review, and of sample bills with what is said of them.
+REVIEW_BILLS = _struct(("bill_number", S), ("title", S), ("bill_text", S))
+SAMPLE_BILLS = _struct(
+    ("bill_number", S), ("title", S), ("jurisdiction_level", S), ("jurisdiction_name", S), ("session", S), ("chamber", S), ("status", S),
+    ("introduced_date", D), ("last_action_date", D), ("last_action", S), ("source_url", S), ("source_system", S),
+    ("geo_scope_type", S), ("geo_scope_names", T.ArrayType(S)), ("sponsor", S), ("claims", T.MapType(S, S)),
+)
+
 #: Values that validation admits.
 FLAG_STATUSES = ("pending", "reviewed", "dismissed")
 CLAIM_TYPES = ("what_it_does", "who_it_affects", "key_provision")
