@@ -311,3 +311,42 @@ def run_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("collapsed"))
     names = {f.name: f.name for f in T.StructType.fromDDL(FOUND)}
     return with_runs(rows, "id", "collapsed", names).withColumnRenamed("id", id_col)
+
+
+RUNS_SQL = r"""
+WITH split AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+             lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1))))) AS h
+  FROM documents
+), placed AS (
+  SELECT *, CAST(len(w) AS BIGINT) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a, 3 + (h // 10) % 8 AS parts FROM split
+), docs AS (
+  SELECT rid, doc_id, n,
+         CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // parts) END]) END AS w
+  FROM placed
+), grams AS (
+  SELECT rid, n, i, array_to_string(w[i + 1 : i + 8], ' ') AS g FROM docs, LATERAL (SELECT unnest(range(n - 7)) AS i) AS t WHERE n >= 24
+), periods AS (
+  SELECT DISTINCT x.rid, y.i - x.i AS q FROM grams x JOIN grams y ON x.rid = y.rid AND x.g = y.g AND y.i > x.i AND 3 * (y.i - x.i) <= x.n WHERE x.i % 8 = 0
+), equal AS (
+  SELECT d.rid, q, t.i AS i FROM periods p JOIN docs d ON p.rid = d.rid, LATERAL (SELECT unnest(range(d.n - p.q)) AS i) AS t WHERE d.w[t.i + 1] = d.w[t.i + p.q + 1]
+), stretches AS (
+  SELECT rid, q, min(i) AS s, count(*) + q AS len FROM (SELECT rid, q, i, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island FROM equal) GROUP BY rid, q, island
+), runs AS (
+  SELECT rid, s, len, min(q) AS q FROM stretches WHERE len >= greatest(24, 3 * q) GROUP BY rid, s, len
+), by_row AS (
+  SELECT rid, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS listed FROM runs GROUP BY rid
+), best AS (
+  SELECT rid, s, len, q FROM runs QUALIFY row_number() OVER (PARTITION BY rid ORDER BY CAST(len AS DOUBLE) / q DESC, s, q) = 1
+), gone AS (
+  SELECT DISTINCT rid, t.i AS i FROM runs, LATERAL (SELECT unnest(range(s + q, s + len)) AS i) AS t
+), kept AS (
+  SELECT rid, string_agg(word, ' ' ORDER BY i) AS txt FROM (SELECT rid, t.i AS i, w[t.i + 1] AS word FROM docs, LATERAL (SELECT unnest(range(n)) AS i) AS t) AS words
+  WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.rid = words.rid AND gone.i = words.i) GROUP BY rid
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(s AS BIGINT) AS start, CAST(len AS BIGINT) AS length, CAST(q AS BIGINT) AS period,
+       CAST(1000 * len // q AS BIGINT) AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(txt, '')) AS collapsed_sha256
+FROM docs LEFT JOIN by_row USING (rid) LEFT JOIN best USING (rid) LEFT JOIN kept USING (rid)
+"""

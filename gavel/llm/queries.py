@@ -12,7 +12,7 @@ from gavel.llm.hard_negatives import MINE_SQL, mine_hard_negatives
 from gavel.llm.license_scan import scan_licenses, scan_sql
 from gavel.llm.line_dedup import REPORT_SQL, line_report
 from gavel.llm.packing import pack
-from gavel.llm.periodic_runs import run_report
+from gavel.llm.periodic_runs import RUNS_SQL, run_report
 from gavel.llm.quality_rules import JUDGE_SQL, judge_quality
 from gavel.llm.secret_scan import scan_secrets
 from gavel.llm.simhash import hex16, near_duplicates
@@ -115,5 +115,6 @@ ORACLES: dict[str, str] = {
     "op4_line_dedup": REPORT_SQL,
     "op5_license_scan": scan_sql(),
     "op11_hard_negatives": MINE_SQL,
+    "op12_periodic_runs": RUNS_SQL,
     "op13_substring_dedup": REPEAT_SQL,
 }

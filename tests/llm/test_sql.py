@@ -13,6 +13,10 @@ AWKWARD = [
     (6, "under the MIT license " * 3), (7, "this program is free software you can redistribute it and modify it under the terms of the gnu license " * 2), (8, None), (8, None), (9, ""),
     (10, "either version 3 of the license or at your option any later version either version 3 of the new license or at your option any later version"),
 ]
+VECTORS = [
+    (0, [0.5, 0.5, -0.25], 9), (0, [0.5, 0.5, -0.25], 9), (50, [0.5, 0.4, -0.25], 0), (100, [-0.5, -0.5, 0.25], 1), (150, None, 1), (200, [float("nan"), 0.1, 0.1], 1), (250, [0.1, None, 0.3], 1),
+    (300, [0.25, 0.5, 0.0], None), *[(k, [0.5 - k / 400, 0.4, -k / 500], k % 3) for k in range(1, 40)], *[(k, [0.3, 0.3, 0.0], k % 2) for k in range(400, 420)],
+]
 
 
 def plain(rows, columns):
@@ -27,9 +31,11 @@ def test_operator_matches_sql(spark, sf_dir, tmp_path, name, which):
     if which != "given":
         rows = spark.createDataFrame(AWKWARD, "doc_id bigint, text string")
         rows.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+        spark.createDataFrame(VECTORS, "vec_id bigint, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
         path = str(tmp_path)
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet{'/*.parquet' if which != 'given' else ''}'")
+    for name_of in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {name_of} AS SELECT * FROM '{path}/{name_of}.parquet{'/*.parquet' if which != 'given' else ''}'")
     found, want = QUERIES[name](spark, path), con.sql(ORACLES[name])
     assert plain(found.collect(), found.columns) == plain(want.fetchall(), want.columns)
 
