@@ -482,4 +482,4 @@ def stream_event_counts(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("start timestamp, event_type string, n bigint").parquet(f"{base}/out").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-from gavel.plans import records, runs  # noqa: E402, F401  the queries over composed payloads and stored runs join the catalogue
+from gavel.plans import landings, records, runs  # noqa: E402, F401  the queries over composed payloads and stored runs join the catalogue

@@ -12,7 +12,7 @@ from gavel.functions import wkb
 from gavel.operators import attempts, claims, ingest, samples
 from gavel.operators.commits import Store
 from gavel.plans.catalogue import CHANGED_SQL, CITIES, COUNTIES, _digests, _tag_sql, query, t
-from gavel.plans.storage import scratch
+from gavel.plans.storage import landed_files, scratch
 from gavel.sources import feeds, html, landed
 from gavel.streaming import changes, upserts
 from gavel.streaming.batches import run_available
@@ -160,30 +160,13 @@ def landed_articles(spark: SparkSession, d: str) -> DataFrame:
     article = F.struct("event_id", F.concat(F.lit("u"), F.col("event_id").cast("string")).alias("url"), F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'").alias("seendate"))
     whole = rows.groupBy("entity_id").agg(F.sort_array(F.collect_list(article)).alias("articles"))
     folder = scratch(spark, "articles")
-    _landed(whole.select(F.concat("entity_id", F.lit(".json")).alias("name"), F.to_json(F.struct("entity_id", "articles")).alias("body")), folder)
-    _landed(t(spark, d, "region").limit(1).select(F.lit("broken.json").alias("name"), F.lit("{").alias("body")), folder)
+    landed_files(whole.select(F.concat("entity_id", F.lit(".json")).alias("name"), F.to_json(F.struct("entity_id", "articles")).alias("body")), folder)
+    landed_files(t(spark, d, "region").limit(1).select(F.lit("broken.json").alias("name"), F.lit("{").alias("body")), folder)
     landed.register(spark)
     found = spark.read.format("articles").option("newest", 5).load(folder).where(F.col("seen_at") >= F.lit("2024-01-10 00:00:00").cast("timestamp"))
     return found.select(F.col("entity_id").cast("bigint").alias("entity_id"), "url", F.date_format("seen_at", "yyyy-MM-dd HH:mm:ss").alias("seen"))
 
 
-def _landed(files: DataFrame, folder: str) -> None:
-    """Write each row's body to the file of its name, inside tasks."""
-    import os
-
-    path = landed.local(folder)
-    os.makedirs(path, exist_ok=True)
-
-    def put(batches):
-        for part in batches:
-            for name, body in zip(part["name"], part["body"], strict=True):
-                with open(os.path.join(path, name), "w", encoding="utf-8") as f:
-                    f.write(body)
-            yield part[["name"]]
-
-    files.mapInPandas(put, "name string").write.format("noop").mode("overwrite").save()
-
-
 @query("SELECT o_orderkey AS page_id, '<p>' || o_orderstatus AS html FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey >= 5")
 def id_stream(spark: SparkSession, d: str) -> DataFrame:
     """Pages named by id, landed in three steps, each read by a stream that goes on where it ended; some come late, just below the newest."""
@@ -194,7 +177,7 @@ def id_stream(spark: SparkSession, d: str) -> DataFrame:
     late = (k <= top // 2) & (k > top // 2 - 4) & (k % 3 == 1)
     landed.register(spark)
     for step in ((k <= top // 2) & ~late, late | (k == top // 2 + 1), k > top // 2):
-        _landed(rows.where(step).select("name", "body"), folder)
+        landed_files(rows.where(step).select("name", "body"), folder)
         run_available(spark.readStream.format("id_space").option("start", 5).load(folder), out, state)
     return spark.read.schema("page_id bigint, html string").parquet(out)
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+
+from gavel.sources.landed import local
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -16,3 +21,18 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="gavel-")
     return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def landed_files(files: DataFrame, folder: str) -> None:
+    """Write each row's ``body``, text or bytes, to the file of its ``name`` in a mounted folder, inside tasks."""
+    path = local(folder)
+    os.makedirs(path, exist_ok=True)
+
+    def put(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for name, body in zip(part["name"], part["body"], strict=True):
+                with open(os.path.join(path, name), "wb") as f:
+                    f.write(body.encode() if isinstance(body, str) else body)
+            yield part[["name"]]
+
+    files.select("name", "body").mapInPandas(put, "name string").write.format("noop").mode("overwrite").save()
