@@ -94,10 +94,11 @@ def bit_map(keys: DataFrame, n: int) -> tuple[int, np.ndarray] | None:
     if n > 1 << MAP_BITS:
         return None
     bits = min(MAP_BITS, max(12, (n * BITS_PER_KEY).bit_length()))
-    part = keys.select(F.shiftrightunsigned("mini", 64 - bits).alias("slot")).selectExpr("slot >> 3 AS at", "shiftleft(1, CAST(slot & 7 AS INT)) AS bit")
-    found = part.groupBy("at").agg(F.bit_or("bit").cast("short").alias("bits")).toArrow()
-    whole = np.zeros((1 << bits) // 8, np.uint8)
-    whole[found.column("at").to_numpy()] = found.column("bits").to_numpy().astype(np.uint8)
+    # words of 64 bits are made by Spark, so the driver gets 64 MB of them at most
+    part = keys.select(F.shiftrightunsigned("mini", 64 - bits).alias("slot")).selectExpr("slot >> 6 AS at", "shiftleft(1L, CAST(slot & 63 AS INT)) AS bit")
+    found = part.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    whole = np.zeros((1 << bits) // 64, np.uint64)
+    whole[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return bits, whole
 
 
@@ -105,7 +106,7 @@ def in_map(held: tuple[int, np.ndarray] | None, keys: np.ndarray) -> np.ndarray:
     if held is None:
         return np.ones(len(keys), bool)
     slot = keys >> np.uint64(64 - held[0])
-    return (held[1][(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    return (held[1][(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
 
 
 def windows(packed: bytes, n: int, size: int) -> list[bytes]:
