@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
 import numpy as np
@@ -42,15 +43,42 @@ def _local_dir() -> str:
     return "file://" + tempfile.mkdtemp(prefix="gavel-")
 
 
+#: Folders that ``written`` made within ``intermediates``.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: the lineage ends here,
     and a lost executor costs no more than the tasks that read its part."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``written`` made."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables written inside are deleted at the end, but for those that are taken out of the given list.
+
+    Only for work whose result is itself written inside and taken out: a plan that still reads them would fail.
+    """
+    token = _made.set(paths := [])
+    try:
+        yield paths
+    finally:
+        _made.reset(token)
+        for path in paths:
+            removed(spark, path)
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Jobs that run inside hand Python at most ``rows`` rows at a time, for rows that may be large."""

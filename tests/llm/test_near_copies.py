@@ -88,3 +88,16 @@ def test_components_of_paths_and_stars(spark):
     for k in range(0, 9, 2):
         want |= {100 - k: 100 - k, 101 - k: 100 - k}
     assert got == want
+
+
+def test_names_that_unlike_sets_share_are_replaced(spark):
+    rows = [(1, 1, 1, 7, 100, [5]), (2, 2, 2, 7, 200, [6]), (3, 3, 3, 7, 200, [6]), (4, 4, 4, 8, 300, []), (5, 5, 5, 8, 300, [])]
+    got = {r.id: r.name for r in near_copies.told_apart(spark.createDataFrame(rows, "k1 bigint, k2 bigint, id bigint, name bigint, mark bigint, keys array<bigint>")).collect()}
+    assert got[1] != got[2] == got[3] and got[4] == got[5] == 8 and 7 not in got.values()
+
+
+def test_a_run_leaves_only_its_result(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr("gavel.llm.common.shared_dir", lambda spark: f"file://{tmp_path}")
+    found = corpus_pipeline.run(spark, sf_dir)
+    assert [p.name.rpartition("-")[0] for p in tmp_path.iterdir()] == ["stage-packing"]
+    assert found.count() > 0
