@@ -1,10 +1,10 @@
-"""Incremental tables: change detection, overlays, deduplicated appends, cascades, snapshots."""
+"""Incremental tables: change detection, overlays, deduplicated appends, cascades, gaps."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -118,35 +118,3 @@ def miss_runs(ids: DataFrame, key: str) -> DataFrame:
             later = later.select(F.shiftright("id", BLOCK_BITS[BLOCK_BITS.index(bits) - 1]).alias("block"), "later")
     missing_ids = F.col("later") - F.col("id") - 1
     return later.where(missing_ids > 0).select(F.col("id").alias("before"), F.col("later").alias("after"), missing_ids.alias("misses"))
-
-
-class Snapshots:
-    """A table as dated snapshot folders and a pointer to the current one.
-
-    Parquet tables have no updates: a change is a new snapshot, written whole beside the one that
-    is being read, and then the pointer, itself a one-row table, moves on.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def versions(self) -> list[int]:
-        try:
-            found = self.spark.read.parquet(f"{self.path}/pointer").select("version").distinct().collect()
-        except Exception as problem:
-            if "PATH_NOT_FOUND" not in str(problem):
-                raise
-            return []
-        return sorted(r["version"] for r in found)
-
-    def read(self, version: int | None = None) -> DataFrame:
-        known = self.versions()
-        if not known:
-            raise ValueError(f"no snapshot at {self.path}")
-        return self.spark.read.parquet(f"{self.path}/v{version if version is not None else known[-1]}")
-
-    def write(self, df: DataFrame) -> int:
-        version = (self.versions() or [0])[-1] + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/v{version}")
-        self.spark.range(1).select(F.lit(version).alias("version")).write.mode("append").parquet(f"{self.path}/pointer")
-        return version

@@ -42,6 +42,6 @@ def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "app
 
 
 def each_batch(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> None:
-    """Hand every micro-batch that is available to ``apply``, as for upserts into snapshots."""
+    """Hand every micro-batch that is available to ``apply``, as for upserts into a store."""
     query = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

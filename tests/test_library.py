@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gavel import schemas
 from gavel.functions.scalars import natural_id
 from gavel.operators import browse, claims, flags, geo, upsert
+from gavel.operators.commits import Store
 from gavel.sources import feeds, files, html
 from gavel.streaming import batches
 
@@ -235,11 +236,10 @@ def test_upserts_and_snapshots(spark, tmp_path):
     fresh = upsert.changed(come, base, ["id"], "digest")
     assert pairs(fresh, "id") == [("b",), ("c",), ("d",)]
     assert pairs(upsert.overlay(base, fresh, ["id"], keep_old=["name"]), "id", "name") == [("a", "n1"), ("b", "n2"), ("c", "n3"), ("d", "w")]
-    store = upsert.Snapshots(spark, str(tmp_path / "t"))
-    assert store.versions() == []
-    store.write(base)
-    store.write(upsert.overlay(store.read(), fresh, ["id"]))
-    assert store.read().count() == 4 and store.read(1).count() == 3 and store.versions() == [1, 2]
+    store = Store(spark, str(tmp_path / "t"))
+    store.commit({"t": base}, 0)
+    store.update(lambda tables: {"t": upsert.overlay(tables["t"], fresh, ["id"])})
+    assert store.read("t").count() == 4 and store.read("t", 1).count() == 3 and store.version() == 2
     assert spark.range(0).agg(upsert.high_water_mark(F.col("id"), 19_550).alias("v")).first().v == 19_545
 
 
