@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 import unicodedata
 
@@ -10,7 +11,8 @@ from test_near_copies import heads
 from test_operators import ascii_lower, brute_lines, brute_measures, words_of
 
 import corpus_pipeline
-from gavel.llm.common import table
+from gavel.llm.common import table, written
+from gavel.llm.decontaminate import find_leaks
 
 
 def rejected(text):
@@ -55,7 +57,43 @@ def test_stages_keep_the_columns_of_documents(spark, sf_dir):
         assert stage(spark, docs, sf_dir).columns == docs.columns
 
 
-@pytest.mark.parametrize("number", range(1, 11))
+def prose(rng, n):
+    return " ".join(f"{rng.choice('bcdfglmnprst')}{rng.choice('aeiou')}{rng.choice('lnrst')}{rng.randrange(10**6):x}".rstrip("0123456789") + rng.choice("aeiou") for _ in range(n))
+
+
+def test_stages_as_a_chain_on_odd_rows(spark, sf_dir):
+    rng = random.Random(21)
+    whole, item = prose(rng, 400), table(spark, sf_dir, "benchmark").first().text
+    rows = [
+        (1, None, None, None, None), (2, "", "en", "a", 0), (3, " \n\t ", None, None, 4), (4, whole, "en", "a", 1), (4, whole, "en", "a", 1), (5, whole + " more", "en", "b", 2),
+        (None, prose(rng, 300), None, None, None), (None, prose(rng, 300), "fr", "b", 3), (6, prose(rng, 200) + " " + item, "en", "b", 3), (7, prose(rng, 30_000), "en", "c", 1), (8, "same " * 100_000, "en", "c", 2),
+    ]
+    docs = spark.createDataFrame(rows, table(spark, sf_dir, "documents").schema).repartition(3)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"odd-{name}")
+    got = sorted(((r.doc_id, r.chunk, r.n_tokens) for r in docs.collect()), key=str)
+    # of rows equal in id and text one stays, and the near copy goes; rows without an id stay apart; the leak, the empty rows and the run go
+    assert got == sorted([(4, 0, 400), (None, 0, 300), (None, 0, 300), *[(7, k, min(4096, 30_000 - 4096 * k)) for k in range(8)]], key=str)
+
+
+def test_stages_as_a_chain_on_an_empty_table(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"none-{name}")
+        assert docs.count() == 0
+
+
+def test_leak_ties(spark):
+    bench = spark.createDataFrame([(1, "red river runs along nine old stone mills today"), (1, "red river runs along nine old stone mills today"), (2, "red river runs along nine old stone mills today")], "item_id bigint, text string")
+    text = "we say red river runs along nine old stone mills today and again red river runs along nine old stone mills today"
+    docs = spark.createDataFrame([(1, text), (1, text), (None, text), (2, "nothing of the kind")], "doc_id bigint, text string")
+    got = find_leaks(docs, bench).collect()
+    assert sorted(((r.doc_id, r.item_id) for r in got), key=str) == sorted([(i, j) for i in (1, None) for j in (1, 2)], key=str)
+    # equal rows and items get equal places, in the first of the two stretches
+    assert {(r.covered, r.answer_found, r.first_word // 9) for r in got} == {(1.0, True, 0)} and len({(r.cosine, r.first_word) for r in got}) == 1
+
+
+@pytest.mark.parametrize("number", range(1, 14))
 def test_every_operator_has_one_query(number):
     from gavel.llm.queries import QUERIES
 
