@@ -20,7 +20,8 @@ than that leave a task. Where vectors have no structure the bounds cut little of
 query set, meet all rows in blocks.
 
 Rows of a cell lie in blocks of ``BLOCK`` rows, dealt out in parts of ``PART_ROWS``, so one vector that a third of all
-rows share fills many tasks. The codebooks, their radii and the sizes of the cells are bounded by ``WORDS`` and its
+rows share fills many tasks. Parts are dealt to lanes of about ``LANE_ROWS`` rows; anchors travel in groups of ``ANCHORS``,
+once to each lane that holds a cell one of them visits, however many cells that are. The codebooks, their radii and the sizes of the cells are bounded by ``WORDS`` and its
 square, whatever the table holds.
 
 Defined results: rows with a null id or label, a null vector or a null or non-finite component take no part; a
@@ -52,19 +53,27 @@ WORDS, CELL_ROWS = 256, 512
 SAMPLE, SAMPLE_BYTES, ROUNDS = 20_000, 64 << 20, 12
 #: Rows of a block, and rows of a cell that travel together.
 BLOCK, PART_ROWS = 2048, 16_384
-#: Anchors that are compared with a block at once.
-ANCHORS = 256
+#: Rows of the parts that share a lane, about, and the least number of lanes.
+LANE_ROWS, LANES = 1 << 18, 64
+#: Anchors that are compared with a block at once (their places fit in a byte), and bytes of the requests made at once.
+ANCHORS, REQUEST_BYTES = 256, 16 << 20
 #: Rows in the cells of the first round, and how many times more each next one has.
 FIRST_ROWS, GROWTH = 4096, 8
 
 
 @dataclass
 class Index:
-    """Two codebooks (words, half the dimensions), the radii of their words, and the rows of each cell."""
+    """Two codebooks (words, half the dimensions), the radii of their words, and the rows and parts of each cell."""
 
     books: tuple[np.ndarray, np.ndarray]
     radii: tuple[np.ndarray, np.ndarray]
     sizes: np.ndarray
+    parts: np.ndarray
+    lanes: int
+
+    def lanes_of(self, cell: int) -> set[int]:
+        """Lanes of the parts of a cell, as ``lane`` has them."""
+        return {(cell * STRIDE + part) % self.lanes for part in range(min(self.lanes, int(self.parts[cell])))}
 
     def half_bounds(self, vectors: np.ndarray) -> list[np.ndarray]:
         """Most that a row with each word can add to each vector's score: (vectors, words) for each half."""
@@ -94,6 +103,10 @@ class Index:
                 heapq.heappush(heap, (-first[i + 1] - second[0], i + 1, 0))
 
 
+def lane(lanes: int) -> Column:
+    return F.pmod(F.col("cell").cast("bigint") * STRIDE + F.col("part"), F.lit(lanes)).cast("int").alias("lane")
+
+
 def nearest(points: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nearest word of each point, and its distance."""
     found = ((words**2).sum(axis=1) - 2 * (points @ words.T)).argmin(axis=1)
@@ -146,12 +159,17 @@ CODED = "uid bigint, vec_id bigint, label bigint, one int, two int, far_one doub
 CODED_TYPES = pa.schema([*[pa.field(c, pa.int64()) for c in ("uid", "vec_id", "label")], *[pa.field(c, pa.int32()) for c in ("one", "two")], *[pa.field(c, pa.float64()) for c in ("far_one", "far_two")], pa.field("vec", pa.binary())])
 BLOCKS = "cell int, part int, n int, uid binary, vec_id binary, label binary, vec binary"
 BLOCK_TYPES = pa.schema([*[pa.field(c, pa.int32()) for c in ("cell", "part", "n")], *[pa.field(c, pa.binary()) for c in ("uid", "vec_id", "label", "vec")]])
-#: Of a request: its cell, and for each anchor that asks its number, label, vector and windows.
-ASKED = "cell int, uid binary, label binary, vec binary, low binary, high binary, least binary, least_id binary"
-ASKED_TYPES = pa.schema([pa.field("cell", pa.int32()), *[pa.field(c, pa.binary()) for c in ("uid", "label", "vec", "low", "high", "least", "least_id")]])
+#: Of a request: its lane, the cells there and which of its anchors visit each; of each anchor the number, label, vector and windows.
+ASKED = "lane int, cells array<int>, members array<binary>, uid binary, label binary, vec binary, low binary, high binary, least binary, least_id binary"
+ASKED_TYPES = pa.schema([
+    pa.field("lane", pa.int32()), pa.field("cells", pa.list_(pa.int32())), pa.field("members", pa.list_(pa.binary())),
+    *[pa.field(c, pa.binary()) for c in ("uid", "label", "vec", "low", "high", "least", "least_id")],
+])
 FOUND = "anchor bigint, slot int, score bigint, vec_id bigint, uid bigint"
 FOUND_TYPES = pa.schema([pa.field("anchor", pa.int64()), pa.field("slot", pa.int32()), *[pa.field(c, pa.int64()) for c in ("score", "vec_id", "uid")]])
 FAR = (1 << 63) - 1
+#: Lanes between the first parts of neighbouring cells.
+STRIDE = 40_503
 
 
 def coded(rows: DataFrame, index_of: tuple[np.ndarray, np.ndarray], dims: int, store: type) -> DataFrame:
@@ -214,12 +232,23 @@ def requests(anchors: DataFrame, index, budget: tuple[int, int], dims: int, stor
                         if before >= budget[0]:
                             asking.setdefault(cell, []).append(k)
                         before += sizes[cell]
-                uid, label = part.column(0).to_numpy(), part.column(1).to_numpy()
-                yield batch(
-                    ASKED_TYPES, list(asking), [uid[k].tobytes() for k in asking.values()], [label[k].tobytes() for k in asking.values()],
-                    [b"".join([vectors[i] for i in k]) for k in asking.values()],
-                    *[[x[k].tobytes() for k in asking.values()] for x in (low, high, least, least_id)],
-                )
+                numbers = [part.column(k).to_numpy() for k in (0, 1)]
+                by_lane: dict[int, list[int]] = {}
+                for cell in asking:
+                    for place in known.lanes_of(cell):
+                        by_lane.setdefault(place, []).append(cell)
+                rows, size = [], 0
+                for place, cells in by_lane.items():
+                    who = sorted(set().union(*(asking[c] for c in cells)))
+                    at_of = {k: n for n, k in enumerate(who)}
+                    members = [bytes(at_of[k] for k in asking[c]) for c in cells]
+                    rows.append((place, cells, members, *[x[who].tobytes() for x in numbers], b"".join([vectors[k] for k in who]), *[x[who].tobytes() for x in (low, high, least, least_id)]))
+                    size += sum(map(len, members)) + sum(map(len, rows[-1][3:]))
+                    if size > REQUEST_BYTES:
+                        yield batch(ASKED_TYPES, *[list(x) for x in zip(*rows, strict=True)])
+                        rows, size = [], 0
+                if rows:
+                    yield batch(ASKED_TYPES, *[list(x) for x in zip(*rows, strict=True)])
 
     return anchors.select("uid", "label", "vec", "low", "high", "least", "least_id").mapInArrow(run, ASKED)
 
@@ -240,9 +269,11 @@ def answers(pairs: DataFrame, same_label: bool, want: int, dims: int, store: typ
             out: list[list[np.ndarray]] = [[] for _ in range(5)]
             for k in range(part.num_rows):
                 read = lambda c, kind=np.int64: np.frombuffer(part.column(c)[k].as_py(), kind)  # noqa: B023, E731
-                a_uid, a_label, a_vec = read(0), read(1), read(2, store).reshape(len(read(0)), dims).astype(kind)
-                low, high, least, least_id = (read(c).reshape(len(a_uid), -1) for c in (3, 4, 5, 6))
-                uid, ids, label, vec = read(7), read(8), read(9), read(10, store).reshape(len(read(7)), dims).astype(kind)
+                every, own = read(0), read(11, np.uint8)
+                a_uid, a_label, a_vec = every[own], read(1)[own], read(2, store).reshape(len(every), dims)[own].astype(kind)
+                low, high, least, least_id = (read(c).reshape(len(every), -1)[own] for c in (3, 4, 5, 6))
+                uid, ids, label = read(7), read(8), read(9)
+                vec = read(10, store).reshape(len(uid), dims).astype(kind)
                 scores = (a_vec @ vec.T).astype(np.int64)
                 fits = (a_label[:, None] == label) if same_label else (a_label[:, None] != label)
                 fits &= (scores >= np.maximum(low, least).min(axis=1)[:, None]) & (scores <= high.max(axis=1)[:, None])
@@ -252,16 +283,16 @@ def answers(pairs: DataFrame, same_label: bool, want: int, dims: int, store: typ
                     for slot in range(low.shape[1]):
                         inside = (score >= low[n, slot]) & (score <= high[n, slot])
                         inside &= (score > least[n, slot]) | (score == least[n, slot]) & (ids[rows] < least_id[n, slot])
-                        own = rows[inside]
-                        if len(own):
-                            own = own[best(score[inside], ids[own], uid[own], want)]
-                            for column, values in zip(out, (np.full(len(own), a_uid[n]), np.full(len(own), slot), scores[n, own], ids[own], uid[own]), strict=True):
+                        taken = rows[inside]
+                        if len(taken):
+                            taken = taken[best(score[inside], ids[taken], uid[taken], want)]
+                            for column, values in zip(out, (np.full(len(taken), a_uid[n]), np.full(len(taken), slot), scores[n, taken], ids[taken], uid[taken]), strict=True):
                                 column.append(values)
             none = np.zeros(0, np.int64)
             yield batch(FOUND_TYPES, *[np.concatenate(x or [none]).astype(np.int32 if c == 1 else np.int64) for c, x in enumerate(out)])
 
     columns = [f"asked_{c}" for c in ("uid", "label", "vec", "low", "high", "least", "least_id")]
-    return pairs.select(*columns, "uid", "vec_id", "label", "vec").mapInArrow(run, FOUND)
+    return pairs.select(*columns, "uid", "vec_id", "label", "vec", "member").mapInArrow(run, FOUND)
 
 
 class Search:
@@ -286,11 +317,12 @@ class Search:
                 radii[k][r[word]] = r["far"]
         cells = whole.groupBy((F.col("one") * width + F.col("two")).alias("cell")).agg(F.count("*").alias("n"))
         self.cells = written(cells.withColumn("parts", F.ceil(F.col("n") / PART_ROWS).cast("int")), f"{name}-cells")
-        sizes = np.zeros(len(books[0]) * width, np.int64)
+        sizes, parts = (np.zeros(len(books[0]) * width, np.int64) for _ in range(2))
         for r in self.cells.collect():
-            sizes[r["cell"]] = r["n"]
-        self.index = spark.sparkContext.broadcast(Index(books, tuple(radii), sizes))
-        self.blocks = written(blocks_of(whole, self.cells, width), f"{name}-blocks")
+            sizes[r["cell"]], parts[r["cell"]] = r["n"], r["parts"]
+        lanes = max(LANES, -(-self.n // LANE_ROWS))
+        self.index = spark.sparkContext.broadcast(Index(books, tuple(radii), sizes, parts, lanes))
+        self.blocks = written(blocks_of(whole, self.cells, width).select("*", lane(lanes)), f"{name}-blocks")
         self.whole, self.name = whole, name
 
     def rounds(self, anchors: DataFrame, same_label: bool, want: int) -> DataFrame:
@@ -307,9 +339,9 @@ class Search:
             budget = (budget[1], budget[1] * GROWTH)
             if asked.isEmpty():
                 continue
-            asked = asked.select("cell", *[F.col(c).alias(f"asked_{c}") for c in asked.columns[1:]])
-            dealt = asked.join(F.broadcast(self.cells.select("cell", "parts")), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            more = answers(dealt.join(self.blocks, ["cell", "part"]), same_label, want, self.dims, self.store, self.kind)
+            asked = asked.select("lane", *[F.col(c).alias(f"asked_{c}") for c in asked.columns[1:]])
+            pairs = asked.join(self.blocks, "lane").withColumn("visit", F.array_position("asked_cells", F.col("cell")).cast("int")).where("visit > 0")
+            more = answers(pairs.withColumn("member", F.element_at("asked_members", F.col("visit"))), same_label, want, self.dims, self.store, self.kind)
             both = more if found is None else more.union(found.select(more.columns))
             found = written(both.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= want), f"{self.name}-found")
         return anchors.sparkSession.createDataFrame([], FOUND + ", rank int") if found is None else found

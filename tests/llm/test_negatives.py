@@ -48,6 +48,8 @@ def test_mining_matches_all_pairs(spark, first_rows, monkeypatch):
     monkeypatch.setattr(hard_negatives, "CELL_ROWS", 4)
     monkeypatch.setattr(hard_negatives, "BLOCK", 7)
     monkeypatch.setattr(hard_negatives, "PART_ROWS", 16)
+    monkeypatch.setattr(hard_negatives, "LANES", 5 if first_rows == 20 else 64)
+    monkeypatch.setattr(hard_negatives, "REQUEST_BYTES", 2000)
     rng = random.Random(4)
     rows = clustered(rng, 300)
     rows += [(1000 + k, rows[3][1], 1) for k in range(90)]  # one vector that a fifth of the rows share
@@ -79,7 +81,7 @@ def test_walk_gives_cells_by_falling_bound():
     own = [hard_negatives.nearest(p, b)[0] for p, b in zip((points[:, :2], points[:, 2:]), books, strict=True)]
     radii = tuple(np.array([np.linalg.norm(p[o == k] - b[k], axis=1).max(initial=0) for k in range(len(b))]) for p, b, o in zip((points[:, :2], points[:, 2:]), books, own, strict=True))
     cells = own[0] * 5 + own[1]
-    index = Index(books, radii, np.bincount(cells, minlength=30))
+    index = Index(books, radii, np.bincount(cells, minlength=30), np.ones(30, int), 64)
     first, second = index.half_bounds(points[:3])
     for k in range(3):
         walk = list(index.cells(first[k], second[k], -np.inf))
