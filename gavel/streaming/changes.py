@@ -40,7 +40,7 @@ class _Changes(StatefulProcessor):
         self._wait(timers)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
-        known, last = self.seen.get() if self.seen.exists() else ("", None)
+        known, last = self.seen.get() or ("", None)
         come = pd.concat(list(rows)).sort_values([self.version, self.digest], na_position="first", kind="stable")
         kept = []
         for row in come.itertuples(index=False):
