@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gavel.functions import scalars as X
 from gavel.operators import browse, claims, flags, geo, ingest
 from gavel.plans.catalogue import bills, links, query, t
+from gavel.plans.storage import dealt_out
 from gavel.sources import feeds, html
 
 RUN_AT = "2026-03-05 10:00:00"
@@ -95,7 +96,8 @@ def page_records(spark: SparkSession, d: str) -> DataFrame:
         F.lit(f'<table id="{html.INFO_TABLE}">'), F.when(k % 2 == 0, row("Department", F.col("p_type"))).otherwise("<tr><th>Department:</th></tr>"),
         F.when(k % 4 != 0, row("Sponsors", F.concat("p_name", F.lit("; "), "p_brand"))).otherwise(""), F.lit("</table></body></html>"),
     )
-    found = t(spark, d, "part").select(k.alias("page_id"), html.page_record(page, key).alias("r")).where("r.title IS NOT NULL")
+    rows = dealt_out(t(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type"), "p_partkey")
+    found = rows.select(k.alias("page_id"), html.page_record(page, key).alias("r")).where("r.title IS NOT NULL")
     return found.select("page_id", "r.number", "r.type", "r.status", "r.title", "r.department", "r.sponsors")
 
 

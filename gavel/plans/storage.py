@@ -23,6 +23,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def dealt_out(rows: DataFrame, key: str) -> DataFrame:
+    """The rows in as many partitions as keep all cores busy: a small file of many rows is else a few tasks, however much is done to each."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism), key)
+
+
 def landed_files(files: DataFrame, folder: str) -> None:
     """Write each row's ``body``, text or bytes, to the file of its ``name`` in a mounted folder, inside tasks."""
     path = local(folder)
