@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from gavel.functions.geotags import places
 from gavel.functions.scalars import natural_id
 from gavel.operators import claims
-from gavel.operators.commits import Commit, Store, Tables
+from gavel.operators.commits import Added, Commit, Store, Tables
+from gavel.operators.upsert import absent
 from gavel.schemas import TABLES
 
 #: Kinds of sources by the system that a bill comes from, and the kind of any other.
@@ -62,8 +63,8 @@ def sample_tables(rows: DataFrame, run_at: Column, made_by: str = "seed_demo_dat
 def enter(store: Store, made: Tables) -> Commit:
     """Add the rows whose keys aren't stored yet, all tables in one commit."""
 
-    def change(stored: Tables) -> Tables:
-        return {n: df if n not in stored else stored[n].unionByName(df.join(stored[n].select(*KEYS[n]), KEYS[n], "left_anti")) for n, df in made.items()}
+    def change(stored: Tables) -> dict[str, DataFrame | Added]:
+        return {n: Added(df if n not in stored else absent(df, stored[n], KEYS[n])) for n, df in made.items()}
 
     return store.update(change)
 

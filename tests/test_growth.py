@@ -17,3 +17,25 @@ def test_a_page_is_parsed_once_and_by_many_tasks(spark, sf_dir):
     pages = spark.createDataFrame([(1, f'<span id="{html.FIELD_IDS["title"]}">a</span>'), (2, "")], "page_id long, html string")
     read = pages.select("page_id", html.page_record("html", "page_id").alias("r")).where("r.title IS NOT NULL")
     assert plan(read).count("ArrowEvalPython") == 1 and [r.page_id for r in read.collect()] == [1]
+
+
+def test_rows_that_are_added_leave_the_stored_folders(spark, tmp_path, monkeypatch):
+    from gavel.operators import commits
+
+    monkeypatch.setattr(commits, "MOST_FOLDERS", 3)
+    store, written = commits.Store(spark, str(tmp_path / "s")), []
+    for k in range(5):
+        made = store.commit({"a": commits.Added(spark.createDataFrame([(k, f"x{k}")], "k long, x string"))}, k)
+        written.append(made.tables["a"]["folder"])
+        assert sorted(r.k for r in store.read("a").collect()) == list(range(k + 1)) and made.tables["a"]["rows"] == k + 1
+    assert store.log(3).tables["a"]["more"] == written[:2][::-1] and "more" not in store.log(4).tables["a"]
+    assert [r.k for r in store.read("a", 1).collect()] == [0]
+    assert set(store.retain(1)) == set(written[:3]) and store.read("a").count() == 5
+
+
+def test_absent_keeps_null_keys_and_drops_stored_ones(spark):
+    from gavel.operators.upsert import absent
+
+    rows = spark.createDataFrame([("a", "b", 1), ("a", None, 2), (None, None, 3), ("c", "d", 4)], "x string, y string, n int")
+    stored = spark.createDataFrame([("a", "b"), ("a", None), (None, None)], "x string, y string")
+    assert sorted(r.n for r in absent(rows, stored, ["x", "y"]).collect()) == [2, 3, 4]
