@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavel.functions.scalars import merged
-from gavel.operators.commits import Commit, Store
-from gavel.operators.upsert import new_only, overlay, with_unique
+from gavel.operators.commits import Added, Commit, Store
+from gavel.operators.upsert import absent, new_only, overlay, with_unique
 from gavel.schemas import TABLES
 
 Tables = dict[str, DataFrame]
@@ -27,16 +27,14 @@ def unchanged(stored: DataFrame, incoming: DataFrame, digest: str | None) -> Dat
     return incoming.select("id", F.col("external_ids")[digest].alias("digest")).join(known, ["id", "digest"], "left_semi").select("id")
 
 
-def ingested(stored: Tables, made: Tables, digest: str | None = None) -> Tables:
-    """The tables after the run: ``entities``, ``bills``, ``sources`` and ``relationships``.
-
-    ``made`` are the tables of a feed, which also say the source of each bill. Bills that the digest says are unchanged write nothing, not even
-    a source. Others replace the stored bill; external ids and attributes are merged, the new value
-    winning, and ``created_at`` stays. People and relationships come only if they aren't stored yet.
-    """
-    same = unchanged(stored["entities"], made["entities"], digest)
-    entities = with_unique(made["entities"], ["id"]).join(same, "id", "left_anti")
-    ids = entities.select("id")
+def _run(stored: Tables, made: Tables, digest: str | None) -> tuple[Tables, Tables]:
+    """Entities and bills after the run, whole, and the sources and relationships that it adds."""
+    ids, written = made["entities"].select("id"), with_unique(made["entities"], ["id"])
+    every = digest is None  # nothing can be unchanged
+    if not every:
+        same = unchanged(stored["entities"], made["entities"], digest)
+        ids, written = ids.join(same, "id", "left_anti"), written.join(same, "id", "left_anti")
+    entities = written
     for column in ("attributes", "created_at"):
         if column not in entities.columns:
             entities = entities.withColumn(column, F.lit(None).cast(stored["entities"].schema[column].dataType))
@@ -44,21 +42,32 @@ def ingested(stored: Tables, made: Tables, digest: str | None = None) -> Tables:
     fresh = entities.join(old, "id", "left")
     for column in ("external_ids", "attributes"):
         fresh = fresh.withColumn(column, merged(F.col(f"__old_{column}"), F.col(column)))
-    fresh = fresh.withColumn("created_at", F.coalesce("__old_created_at", "created_at"))
-    everyone = overlay(stored["entities"], fresh, ["id"])
-    people = new_only(made["people"], everyone, ["id"])
-
-    of_fresh = lambda name, key: made[name].join(ids.withColumnRenamed("id", key), key, "left_semi")
-    bills = overlay(stored["bills"], with_unique(of_fresh("bills", "entity_id"), ["entity_id"]).unionByName(stored["bills"].limit(0), allowMissingColumns=True), ["entity_id"], keep_old=["created_at"])
-    edges = of_fresh("relationships", "to_entity_id")
-    edges = edges.join(stored["relationships"].select("id"), "id", "left_anti")
-    used = of_fresh("source_of", "entity_id").select(F.col("source_id").alias("id"))
-    new_sources = made["sources"].join(used, "id", "left_semi").join(stored["sources"].select("id"), "id", "left_anti")
-    append = lambda base, rows: base.unionByName(rows.select(*[c for c in base.columns if c in rows.columns]), allowMissingColumns=True)
-    return {
-        "entities": append(everyone, people), "bills": bills,
-        "sources": append(stored["sources"], new_sources), "relationships": append(stored["relationships"], edges),
-    }
+    fresh = fresh.withColumn("created_at", F.coalesce("__old_created_at", "created_at")).select(*stored["entities"].columns)
+    everyone = fresh.unionByName(stored["entities"].join(ids, "id", "left_anti"))
+    people = new_only(made["people"], stored["entities"].select("id").union(ids), ["id"])
+
+    of_fresh = lambda name, key: made[name] if every else made[name].join(ids.withColumnRenamed("id", key), key, "left_semi")
+    shaped = lambda name, rows: stored[name].limit(0).unionByName(rows.select(*[c for c in stored[name].columns if c in rows.columns]), allowMissingColumns=True)
+    new_bills = shaped("bills", with_unique(of_fresh("bills", "entity_id"), ["entity_id"]))
+    bills = overlay(stored["bills"], new_bills, ["entity_id"], keep_old=["created_at"])
+    edges = absent(of_fresh("relationships", "to_entity_id"), stored["relationships"], ["id"])
+    sources = made["sources"]
+    if not every:
+        used = of_fresh("source_of", "entity_id").select(F.col("source_id").alias("id"))
+        sources = sources.join(used, "id", "left_semi")
+    sources = absent(sources, stored["sources"], ["id"])
+    return {"entities": everyone.unionByName(shaped("entities", people)), "bills": bills}, {"sources": shaped("sources", sources), "relationships": shaped("relationships", edges)}
+
+
+def ingested(stored: Tables, made: Tables, digest: str | None = None) -> Tables:
+    """The tables after the run: ``entities``, ``bills``, ``sources`` and ``relationships``.
+
+    ``made`` are the tables of a feed, which also say the source of each bill. Bills that the digest says are unchanged write nothing, not even
+    a source. Others replace the stored bill; external ids and attributes are merged, the new value
+    winning, and ``created_at`` stays. People and relationships come only if they aren't stored yet.
+    """
+    whole, added = _run(stored, made, digest)
+    return whole | {name: stored[name].unionByName(rows) for name, rows in added.items()}
 
 
 def ingest_into(store: Store, made: Tables, digest: str | None = None) -> Commit:
@@ -68,7 +77,8 @@ def ingest_into(store: Store, made: Tables, digest: str | None = None) -> Commit
     doesn't know stay as they are.
     """
 
-    def change(tables: Tables) -> Tables:
-        return ingested(none_stored(store.spark) | {n: df for n, df in tables.items() if n in RUN_TABLES}, made, digest)
+    def change(tables: Tables) -> dict[str, DataFrame | Added]:
+        whole, added = _run(none_stored(store.spark) | {n: df for n, df in tables.items() if n in RUN_TABLES}, made, digest)
+        return whole | {name: Added(rows) for name, rows in added.items()}
 
     return store.update(change)

@@ -39,3 +39,21 @@ def test_absent_keeps_null_keys_and_drops_stored_ones(spark):
     rows = spark.createDataFrame([("a", "b", 1), ("a", None, 2), (None, None, 3), ("c", "d", 4)], "x string, y string, n int")
     stored = spark.createDataFrame([("a", "b"), ("a", None), (None, None)], "x string, y string")
     assert sorted(r.n for r in absent(rows, stored, ["x", "y"]).collect()) == [2, 3, 4]
+
+
+def test_a_second_run_writes_only_new_sources_and_edges(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from gavel.operators import ingest
+    from gavel.operators.commits import Store
+    from gavel.sources import feeds
+
+    fields = ("MatterName", "MatterTitle", "MatterFile", "MatterTypeName", "MatterAgendaDate", "MatterIntroDate", "MatterPassedDate", "MatterBodyName", "MatterStatusName")
+    matters = spark.range(4).select(F.col("id").alias("MatterId"), *[F.lit(None).cast("string").alias(c) for c in fields])
+    by = matters.select("MatterId", F.lit("Ann").alias("MatterSponsorName"))
+    store = Store(spark, str(tmp_path / "s"))
+    for day in ("2026-03-01", "2026-03-02"):
+        made = ingest.ingest_into(store, feeds.city_bills(matters, by, "town", "Town", "County", F.lit(day).cast("timestamp")))
+    assert {n: made.tables[n]["rows"] for n in made.tables} == {"entities": 5, "bills": 4, "sources": 8, "relationships": 4}
+    rows = lambda n: spark.read.parquet(f"{store.path}/{made.tables[n]['folder']}").count()
+    assert (rows("sources"), rows("relationships")) == (4, 0)
