@@ -5,6 +5,7 @@ The tables lie in a new folder under the shared one; feeds are composed of fixtu
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from gavel.functions import wkb
 from gavel.operators import attempts, claims, ingest, samples
 from gavel.operators.commits import Store
 from gavel.plans.catalogue import CHANGED_SQL, CITIES, COUNTIES, _digests, _tag_sql, query, t
-from gavel.plans.storage import landed_files, scratch
+from gavel.plans.storage import dealt_out, landed_files, scratch
 from gavel.sources import feeds, html, landed
 from gavel.streaming import changes, upserts
 from gavel.streaming.batches import run_available
@@ -74,9 +75,16 @@ def ingest_pages(spark: SparkSession, d: str) -> DataFrame:
         )
         return rows.select(k.alias("page_id"), page.alias("html"), F.lit(position).alias("position"))
 
-    rows = t(spark, d, "part")
+    rows = dealt_out(t(spark, d, "part").select("p_partkey", "p_name", "p_brand"), "p_partkey")
     store = Store(spark, scratch(spark, "pages"))
-    run = lambda pages, at: ingest.ingest_into(store, feeds.scraped_bills(pages, "https://x.example", "Miami", "Miami-Dade County", _at(at)))
+
+    def run(pages: DataFrame, at: str) -> None:
+        records = feeds.page_records(pages).persist(StorageLevel.DISK_ONLY)  # every table reads them
+        try:
+            ingest.ingest_into(store, feeds.scraped_bills(records, "https://x.example", "Miami", "Miami-Dade County", _at(at)))
+        finally:
+            records.unpersist()
+
     run(pages(rows.where("p_partkey % 3 = 0"), "Filed", 0), EARLY)
     run(pages(rows, "Filed", 0).union(pages(rows, "Adopted", 1)), LATE)
     return _by_bill(store)

@@ -145,11 +145,19 @@ def _named_people(rows: DataFrame, name: Column, place: str) -> DataFrame:
     )
 
 
-def scraped_bills(pages: DataFrame, base_url: str, place: str, county: str, run_at: Column) -> Tables:
-    """Scraped pages (page_id, html) to bills; pages without a title are no record, and of a page that repeats the last record counts."""
+def page_records(pages: DataFrame) -> DataFrame:
+    """The records of scraped pages (page_id, html): pages without a title are no record, and of a page that repeats the last record counts."""
     place_in_feed = [c for c in ("position",) if c in pages.columns]
     read = pages.select("page_id", *place_in_feed, page_record("html", "page_id").alias("r")).where(F.col("r.title").isNotNull())
-    records = last_of(read, "page_id").select("page_id", "r.*")
+    return last_of(read, "page_id").select("page_id", "r.*")
+
+
+def scraped_bills(pages: DataFrame, base_url: str, place: str, county: str, run_at: Column) -> Tables:
+    """Scraped pages (page_id, html), or the ``page_records`` of them, to bills.
+
+    Each table is worked out on its own, so give records that are kept: pages are else parsed for every table.
+    """
+    records = page_records(pages) if "html" in pages.columns else pages
     rows = records.withColumn("entity_id", X.natural_id(F.lit("iqm2_legi_file_id"), F.col("page_id"))).withColumn("source_id", X.natural_id(F.col("entity_id"), run_at))
     url = F.concat(F.lit(f"{base_url}/Detail_LegiFile.aspx?ID="), F.col("page_id").cast("string"))
     acted = X.month_name_date(F.col("date_text"))

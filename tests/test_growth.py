@@ -57,3 +57,18 @@ def test_a_second_run_writes_only_new_sources_and_edges(spark, tmp_path):
     assert {n: made.tables[n]["rows"] for n in made.tables} == {"entities": 5, "bills": 4, "sources": 8, "relationships": 4}
     rows = lambda n: spark.read.parquet(f"{store.path}/{made.tables[n]['folder']}").count()
     assert (rows("sources"), rows("relationships")) == (4, 0)
+
+
+def test_records_that_are_kept_are_not_parsed_again(spark):
+    from pyspark.sql import functions as F
+
+    from gavel.sources import feeds
+
+    page = f'<span id="{html.FIELD_IDS["title"]}">a</span><span id="{html.FIELD_IDS["number"]}">R-1</span>'
+    pages = spark.createDataFrame([(1, page, 0), (1, page.replace("R-1", "R-2"), 1), (2, "", 0)], "page_id long, html string, position int")
+    at, about = F.lit("2026-03-01").cast("timestamp"), ("https://x.example", "Miami", "Miami-Dade County")
+    kept = spark.createDataFrame(feeds.page_records(pages).collect(), feeds.page_records(pages).schema)
+    ours, plain = feeds.scraped_bills(kept, *about, at), feeds.scraped_bills(pages, *about, at)
+    for name in plain:
+        assert "ArrowEvalPython" not in plan(ours[name])
+        assert sorted(map(str, ours[name].collect())) == sorted(map(str, plain[name].collect()))
