@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gavel.functions.scalars import merged
 from gavel.operators.commits import Added, Commit, Store
-from gavel.operators.upsert import absent, new_only, overlay, with_unique
+from gavel.operators.upsert import absent, overlay, with_unique
 from gavel.schemas import TABLES
 
 Tables = dict[str, DataFrame]
@@ -16,53 +16,54 @@ RUN_TABLES = ("entities", "bills", "sources", "relationships")
 
 def none_stored(spark: SparkSession) -> Tables:
     """The stored tables before the first run."""
-    return {name: spark.createDataFrame([], TABLES[name]) for name in RUN_TABLES}
+    return {name: spark.createDataFrame([], TABLES[name]).limit(0) for name in RUN_TABLES}  # a limit that the optimizer knows to be empty
 
 
-def unchanged(stored: DataFrame, incoming: DataFrame, digest: str | None) -> DataFrame:
-    """Ids of incoming entities whose stored digest, kept among the external ids, is the same and not empty."""
-    if digest is None:
-        return incoming.select("id").where("false")
-    known = stored.select("id", F.col("external_ids")[digest].alias("digest")).where("digest <> ''")
-    return incoming.select("id", F.col("external_ids")[digest].alias("digest")).join(known, ["id", "digest"], "left_semi").select("id")
+def changed_ids(stored: DataFrame, incoming: DataFrame, digest: str) -> DataFrame:
+    """Ids of incoming entities but for those whose stored digest, kept among the external ids, is the same and not empty."""
+    known = stored.select(F.col("id").alias("__id"), F.col("external_ids")[digest].alias("__digest")).where("__digest <> ''")
+    new = incoming.select("id", F.col("external_ids")[digest].alias("__new"))
+    # the digest is no join key, so rows that lie by their ids stay where they are
+    return new.join(known, (F.col("id") == F.col("__id")) & F.array_contains(F.array("__digest"), F.col("__new")), "left_anti").select("id")
+
+
+def _entities(stored: DataFrame, incoming: DataFrame, digest: str | None) -> DataFrame:
+    """Stored and incoming entities, met once: changed ones replace the stored row, whose maps and ``created_at`` they take over."""
+    for column in ("attributes", "created_at"):
+        if column not in incoming.columns:
+            incoming = incoming.withColumn(column, F.lit(None).cast(stored.schema[column].dataType))
+    before = lambda c: F.col(f"__old_{c}")
+    old = stored.select("id", *[F.col(c).alias(f"__old_{c}") for c in stored.columns if c != "id"])
+    both = incoming.withColumn("__new", F.lit(True)).join(old, "id", "full_outer")
+    stays = F.col("__new").isNull()
+    if digest is not None:
+        known = before("external_ids")[digest]
+        stays = stays | F.coalesce((known != "") & (known == F.col("external_ids")[digest]), F.lit(False))
+    made = {c: merged(before(c), F.col(c)) for c in ("external_ids", "attributes")} | {"created_at": F.coalesce(before("created_at"), "created_at")}
+    return both.select("id", *[F.when(stays, before(c)).otherwise(made.get(c, F.col(c))).alias(c) for c in stored.columns if c != "id"])
 
 
 def _run(stored: Tables, made: Tables, digest: str | None) -> tuple[Tables, Tables]:
     """Entities and bills after the run, whole, and the sources and relationships that it adds."""
-    ids, written = made["entities"].select("id"), with_unique(made["entities"], ["id"])
-    every = digest is None  # nothing can be unchanged
-    if not every:
-        same = unchanged(stored["entities"], made["entities"], digest)
-        ids, written = ids.join(same, "id", "left_anti"), written.join(same, "id", "left_anti")
-    entities = written
-    for column in ("attributes", "created_at"):
-        if column not in entities.columns:
-            entities = entities.withColumn(column, F.lit(None).cast(stored["entities"].schema[column].dataType))
-    old = stored["entities"].select("id", *[F.col(c).alias(f"__old_{c}") for c in ("external_ids", "attributes", "created_at")])
-    fresh = entities.join(old, "id", "left")
-    for column in ("external_ids", "attributes"):
-        fresh = fresh.withColumn(column, merged(F.col(f"__old_{column}"), F.col(column)))
-    fresh = fresh.withColumn("created_at", F.coalesce("__old_created_at", "created_at")).select(*stored["entities"].columns)
-    everyone = fresh.unionByName(stored["entities"].join(ids, "id", "left_anti"))
-    people = new_only(made["people"], stored["entities"].select("id").union(ids), ["id"])
+    everyone = _entities(stored["entities"], with_unique(made["entities"], ["id"]), digest)
+    known = stored["entities"].select("id").union(made["entities"].select("id"))
+    people = absent(made["people"].where("id <> ''").dropDuplicates(["id"]), known, ["id"])
 
+    every = digest is None  # nothing can be unchanged
+    ids = None if every else changed_ids(stored["entities"], made["entities"], digest)
     of_fresh = lambda name, key: made[name] if every else made[name].join(ids.withColumnRenamed("id", key), key, "left_semi")
     shaped = lambda name, rows: stored[name].limit(0).unionByName(rows.select(*[c for c in stored[name].columns if c in rows.columns]), allowMissingColumns=True)
     new_bills = shaped("bills", with_unique(of_fresh("bills", "entity_id"), ["entity_id"]))
     bills = overlay(stored["bills"], new_bills, ["entity_id"], keep_old=["created_at"])
-    edges = absent(of_fresh("relationships", "to_entity_id"), stored["relationships"], ["id"])
-    sources = made["sources"]
-    if not every:
-        used = of_fresh("source_of", "entity_id").select(F.col("source_id").alias("id"))
-        sources = sources.join(used, "id", "left_semi")
-    sources = absent(sources, stored["sources"], ["id"])
+    edges = absent(of_fresh("relationships", "to_entity_id"), stored["relationships"], ["id"], near="to_entity_id")
+    sources = absent(of_fresh("sources", "entity_id"), stored["sources"], ["id"])
     return {"entities": everyone.unionByName(shaped("entities", people)), "bills": bills}, {"sources": shaped("sources", sources), "relationships": shaped("relationships", edges)}
 
 
 def ingested(stored: Tables, made: Tables, digest: str | None = None) -> Tables:
     """The tables after the run: ``entities``, ``bills``, ``sources`` and ``relationships``.
 
-    ``made`` are the tables of a feed, which also say the source of each bill. Bills that the digest says are unchanged write nothing, not even
+    ``made`` are the tables of a feed, whose sources also name their bill. Bills that the digest says are unchanged write nothing, not even
     a source. Others replace the stored bill; external ids and attributes are merged, the new value
     winning, and ``created_at`` stays. People and relationships come only if they aren't stored yet.
     """

@@ -31,10 +31,12 @@ def overlay(base: DataFrame, incoming: DataFrame, keys: Sequence[str], keep_old:
     Columns in ``keep_old`` keep the base's value where it has one.
     """
     fresh = incoming.select(*base.columns)
-    if keep_old:
-        old = base.select(*keys, *[F.col(c).alias(f"__old_{c}") for c in keep_old])
-        fresh = fresh.join(old, list(keys), "left")
-        fresh = fresh.select(*[F.coalesce(f"__old_{c}", c).alias(c) if c in keep_old else F.col(c) for c in base.columns])
+    if keep_old:  # both meet once
+        rest = [c for c in base.columns if c not in keys]
+        old = base.select(*keys, *[F.col(c).alias(f"__old_{c}") for c in rest])
+        both = fresh.withColumn("__new", F.lit(True)).join(old, list(keys), "full_outer")
+        chosen = lambda c: F.coalesce(f"__old_{c}", c) if c in keep_old else F.when(F.col("__new").isNull(), F.col(f"__old_{c}")).otherwise(F.col(c))
+        return both.select(*[F.col(c) if c in keys else chosen(c).alias(c) for c in base.columns])
     return fresh.unionByName(base.join(incoming.select(*keys), list(keys), "left_anti").select(*base.columns))
 
 
@@ -45,10 +47,18 @@ def new_only(batch: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFr
     return batch.dropDuplicates(list(keys)).join(stored.select(*keys), list(keys), "left_anti")
 
 
-def absent(rows: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The rows whose keys aren't stored; stored keys travel once and without the rest of their rows, as 128 bits of a hash."""
+def absent(rows: DataFrame, stored: DataFrame, keys: Sequence[str], near: str | None = None) -> DataFrame:
+    """The rows whose keys aren't stored; stored keys travel once and without the rest of their rows, as 128 bits of a hash.
+
+    ``near`` is a column that follows from the keys and is never null: rows that lie in partitions by it stay where they are.
+    """
     named = [F.xxhash64(*keys), F.xxhash64(F.lit(1), *keys)]
-    known = stored.where(F.concat(*[F.col(k).cast("string") for k in keys]).isNotNull()).select(named[0].alias("__k1"), named[1].alias("__k2"))
+    known = stored.where(F.concat(*[F.col(k).cast("string") for k in keys]).isNotNull())
+    if near is not None:
+        known = known.select(F.col(near).alias("__near"), F.struct(*named).alias("__known"))
+        # the hash is no join key: the partitions of the rows are by ``near`` alone
+        return rows.join(known, (F.col(near) == F.col("__near")) & F.array_contains(F.array("__known"), F.struct(*named)), "left_anti")
+    known = known.select(named[0].alias("__k1"), named[1].alias("__k2"))
     return rows.withColumns({"__k1": named[0], "__k2": named[1]}).join(known, ["__k1", "__k2"], "left_anti").drop("__k1", "__k2")
 
 

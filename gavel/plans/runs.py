@@ -13,7 +13,7 @@ from gavel.functions import wkb
 from gavel.operators import attempts, claims, ingest, samples
 from gavel.operators.commits import Store
 from gavel.plans.catalogue import CHANGED_SQL, CITIES, COUNTIES, _digests, _tag_sql, query, t
-from gavel.plans.storage import dealt_out, landed_files, scratch
+from gavel.plans.storage import dealt_out, kept, landed_files, scratch
 from gavel.sources import feeds, html, landed
 from gavel.streaming import changes, upserts
 from gavel.streaming.batches import run_available
@@ -25,6 +25,11 @@ def _at(text: str):
     return F.lit(text).cast("timestamp")
 
 
+def _city_run(store: Store, matters: DataFrame, sponsors: DataFrame, at: str) -> None:
+    with kept(feeds.city_records(matters, sponsors, "town")) as (records,):  # every table reads them
+        ingest.ingest_into(store, feeds.city_tables(records, "town", "Town", "County", _at(at)))
+
+
 def _by_bill(store: Store) -> DataFrame:
     """Bill number, status and name with the numbers of sources and sponsors, of the newest version."""
     _, tables = store.snapshot()
@@ -55,9 +60,9 @@ def ingest_city(spark: SparkSession, d: str) -> DataFrame:
     by = by.union(by).union(by.withColumn("MatterSponsorName", F.lit("Clerk 3"))).union(by.withColumn("MatterSponsorName", F.lit("")))
     store = Store(spark, scratch(spark, "city"))
     first = matters(rows.where("o_orderkey % 2 = 0"), F.lit("old"), 0)
-    ingest.ingest_into(store, feeds.city_bills(first, by, "town", "Town", "County", _at(EARLY)))
+    _city_run(store, first, by, EARLY)
     again = matters(rows, F.lit("early"), 0).union(matters(rows, F.col("o_orderstatus"), 1))
-    ingest.ingest_into(store, feeds.city_bills(again, by, "town", "Town", "County", _at(LATE)))
+    _city_run(store, again, by, LATE)
     return _by_bill(store)
 
 
@@ -105,19 +110,19 @@ def run_history(spark: SparkSession, d: str) -> DataFrame:
     by = rows.select(k.alias("MatterId"), F.concat(F.lit("Clerk "), (F.col("o_custkey") % 7).cast("string")).alias("MatterSponsorName"))
     store = Store(spark, scratch(spark, "history"))
     for part, at in ((matters.where("MatterId % 2 = 0"), EARLY), (matters, LATE)):
-        ingest.ingest_into(store, feeds.city_bills(part, by, "town", "Town", "County", _at(at)))
+        _city_run(store, part, by, at)
     return store.history().select("version", "name", "rows")
 
 
 @query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(props, event_id) AS props FROM events GROUP BY user_id")
 def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     """Events as a stream of several batches; the store keeps the last event of each user."""
-    landed, kept = scratch(spark, "landed"), Store(spark, scratch(spark, "users"))
+    landed, users = scratch(spark, "landed"), Store(spark, scratch(spark, "users"))
     rows = t(spark, d, "events").select("user_id", "event_id", "event_type", "props")
     rows.repartition(4, "event_id").write.parquet(landed)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(landed)
-    upserts.stream_into(stream, kept, "events", upserts.upsert_latest("users", ["user_id"], ["event_id"]), scratch(spark, "progress"))
-    return kept.read("users")
+    upserts.stream_into(stream, users, "events", upserts.upsert_latest("users", ["user_id"], ["event_id"]), scratch(spark, "progress"))
+    return users.read("users")
 
 
 BITS_SQL = "CASE WHEN {0} = 0 THEN 0 ELSE ((1023 + CAST(floor(log2({0})) AS BIGINT)) << 52) + CAST(({0} / pow(2, floor(log2({0}))) - 1) * pow(2, 52) AS BIGINT) END"

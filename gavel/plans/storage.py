@@ -6,8 +6,10 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from gavel.sources.landed import local
@@ -29,6 +31,26 @@ def dealt_out(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism), key)
 
 
+@contextmanager
+def kept(*tables: DataFrame) -> Iterator[list[DataFrame]]:
+    """The tables kept on disk within the block, in the partitions that they are in: joins and groups by these don't shuffle them again.
+
+    A plan that adapts while it runs doesn't say beforehand how its rows will lie, so these don't.
+    """
+    spark, adapts = tables[0].sparkSession, "spark.sql.adaptive.enabled"
+    before = spark.conf.get(adapts)
+    spark.conf.set(adapts, "false")
+    try:
+        found = [df.persist(StorageLevel.DISK_ONLY) for df in tables]
+    finally:
+        spark.conf.set(adapts, before)
+    try:
+        yield found
+    finally:
+        for df in found:
+            df.unpersist()
+
+
 def landed_files(files: DataFrame, folder: str) -> None:
     """Write each row's ``body``, text or bytes, to the file of its ``name`` in a mounted folder, inside tasks."""
     path = local(folder)

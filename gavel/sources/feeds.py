@@ -1,8 +1,8 @@
 """Landed feed payloads to model tables.
 
 Nothing here calls a network: payloads are landed as JSON and read with a schema. Each function
-returns DataFrames of ``entities``, ``bills``, ``sources``, ``people`` and ``relationships``; ids are
-hashes of natural keys. Fixed values are the names that stored rows carry (source systems, types).
+returns DataFrames of ``entities``, ``bills``, ``sources`` (with the ``entity_id`` of their bill), ``people`` and
+``relationships``; ids are hashes of natural keys. Fixed values are the names that stored rows carry (source systems, types).
 """
 
 from __future__ import annotations
@@ -39,22 +39,35 @@ def first_rows(feed: DataFrame, position: str, limit: int | None) -> DataFrame:
     return feed if limit is None else feed.orderBy(position).limit(limit)
 
 
-def last_of(rows: DataFrame, key: str) -> DataFrame:
-    """One row for each key, as updates one after the other would leave it: the last by ``position`` if there is one, else by its fields."""
+def last_of(rows: DataFrame, key: str, *instead: Column) -> DataFrame:
+    """One row for each key, as updates one after the other would leave it: the last by ``position`` if there is one, else by its fields.
+
+    ``instead`` are named aggregates over all rows of the key, which take the place of the columns of their names.
+    """
     if "position" in rows.columns:
         order = F.struct("position", *[F.col(c) for c in rows.columns if c not in (key, "position")])
     else:
         order = F.struct(*[F.col(c) for c in rows.columns if c != key])
-    return rows.groupBy(key).agg(F.max(order).alias("__last")).select(key, "__last.*")
+    found = rows.groupBy(key).agg(F.max(order).alias("__last"), F.struct(*instead).alias("__instead") if instead else F.lit(None).alias("__instead"))
+    found = found.select(key, "__last.*", "__instead")
+    return found.withColumns({c: F.col("__instead")[c] for c in found.schema["__instead"].dataType.names}).drop("__instead") if instead else found.drop("__instead")
 
 
 def _ids(key: Column, value: Column) -> Column:
     return F.create_map(key, value.cast("string"))
 
 
+def _dealt_out(rows: DataFrame, entity_id: Column) -> DataFrame:
+    """The rows with their ``entity_id``, in partitions by it: all that follows for one entity needs no further shuffle. It is
+    worked out on both sides, since its 64 digits would be most of what travels."""
+    spark = rows.sparkSession
+    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(count, entity_id).withColumn("entity_id", entity_id)
+
+
 def _edges(people: DataFrame) -> DataFrame:
-    """Distinct edges of (person_id, entity_id, relationship_type, source_id)."""
-    edges = people.groupBy("person_id", "entity_id", "relationship_type").agg(F.min("source_id").alias("source_id"))
+    """Distinct edges of (person_id, entity_id, relationship_type), each with the one source_id of its entity."""
+    edges = people.select("person_id", "entity_id", "relationship_type", "source_id").distinct()
     return edges.select(
         X.natural_id(F.col("person_id"), F.col("entity_id"), F.col("relationship_type")).alias("id"),
         F.col("person_id").alias("from_entity_id"), F.col("entity_id").alias("to_entity_id"), "relationship_type", "source_id",
@@ -67,23 +80,33 @@ def _people(people: DataFrame) -> DataFrame:
     return one.select(F.col("person_id").alias("id"), F.lit("person").alias("entity_type"), "name", "jurisdiction_name")
 
 
-def _source(rows: DataFrame, run_at: Column, url: Column, reference: Column, publisher: Column, kind: str, about: Column) -> DataFrame:
+def _source(rows: DataFrame, run_at: Column, url: Column, reference: Column, publisher: Column, kind: str, about: Column, *more: str) -> DataFrame:
     return rows.select(
-        F.col("source_id").alias("id"), url.alias("url"), reference.alias("document_reference"), publisher.alias("publisher"),
+        *more, F.col("source_id").alias("id"), url.alias("url"), reference.alias("document_reference"), publisher.alias("publisher"),
         F.lit(kind).alias("source_type"), run_at.alias("retrieved_at"), about.alias("metadata_json"),
     )
 
 
-def state_bills(listing: DataFrame, details: DataFrame, state: str, run_at: Column) -> Tables:
-    """The state feed: listing rows joined to their landed details on bill_id.
+def state_records(listing: DataFrame, details: DataFrame) -> DataFrame:
+    """The state feed: listing rows joined to their landed details on bill_id, one row for each bill, in partitions by its entity.
 
-    Names of missing people ids are keys themselves, so that unknown people don't merge. A bill that the feed
-    repeats is one bill, as its last row has it, with the sponsors of all of its rows.
+    A bill that the feed repeats is one bill, as its last row has it, with the sponsors of all of its rows.
     """
-    every, listing, details = details, last_of(listing, "bill_id").drop("position"), last_of(details, "bill_id").drop("position")
-    row = listing.select("bill_id", *[F.col(c).alias(f"row_{c}") for c in listing.columns if c != "bill_id"])
-    rows = row.join(details, "bill_id").withColumn("entity_id", X.natural_id(F.lit("legiscan_id"), F.col("bill_id")))
-    rows = rows.withColumn("source_id", X.natural_id(F.col("entity_id"), run_at))
+    listing, details = (_dealt_out(rows.where("bill_id IS NOT NULL"), X.natural_id(F.lit("legiscan_id"), F.col("bill_id"))) for rows in (listing, details))
+    row = last_of(listing, "entity_id").drop("position")
+    row = row.select("entity_id", *[F.col(c).alias(f"row_{c}") for c in row.columns if c not in ("entity_id", "bill_id")])
+    named = F.array_distinct(F.flatten(F.collect_list("sponsors"))).alias("sponsors")
+    return row.join(last_of(details, "entity_id", named).drop("position"), "entity_id")
+
+
+def state_bills(listing: DataFrame, details: DataFrame, state: str, run_at: Column) -> Tables:
+    """The tables of the state feed. Each is worked out on its own; to read the feed once, give kept ``state_records`` to ``state_tables``."""
+    return state_tables(state_records(listing, details), state, run_at)
+
+
+def state_tables(records: DataFrame, state: str, run_at: Column) -> Tables:
+    """Tables of ``state_records``. Names of missing people ids are keys themselves, so that unknown people don't merge."""
+    rows = records.withColumn("source_id", X.natural_id(F.col("entity_id"), run_at))
     number = F.coalesce(F.col("bill_number"), F.col("row_number"), F.lit(""))
     ids = F.map_concat(_ids(F.lit("legiscan_id"), F.col("bill_id")), _ids(F.lit("legiscan_change_hash"), F.col("row_change_hash")))
     link = X.first_filled(F.col("state_link"), F.col("row_url"), default="")
@@ -100,20 +123,35 @@ def state_bills(listing: DataFrame, details: DataFrame, state: str, run_at: Colu
         F.lit("statewide").alias("geo_scope_type"), F.array(F.lit(state)).alias("geo_scope_names"),
     )
     about = F.to_json(F.struct(F.col("bill_id").alias("legiscan_bill_id"), "change_hash"))
-    sources = _source(rows, run_at, link, F.col("bill_number"), F.lit(f"{state} Legislature via LegiScan"), "legiscan_bill", about)
-    sponsors = rows.select("bill_id", "entity_id", "source_id").join(every.select("bill_id", F.explode("sponsors").alias("s")), "bill_id")
+    sources = _source(rows, run_at, link, F.col("bill_number"), F.lit(f"{state} Legislature via LegiScan"), "legiscan_bill", about, "entity_id")
+    sponsors = rows.select("entity_id", "source_id", F.explode("sponsors").alias("s"))
     name = F.coalesce(F.col("s.name"), F.lit("Unknown"))
     people = sponsors.select(
         "entity_id", "source_id", name.alias("person"), F.lit(None).cast("string").alias("place"),
         F.when(F.col("s.people_id").isNotNull(), X.natural_id(F.lit("legiscan_people_id"), F.col("s.people_id"))).otherwise(X.natural_id(F.lit("name"), name)).alias("person_id"),
         F.when(F.col("s.sponsor_type_id") == 1, "sponsor").otherwise("co_sponsor").alias("relationship_type"),
     )
-    return {"entities": entities, "bills": bills, "sources": sources, "people": _people(people), "relationships": _edges(people), "source_of": rows.select("entity_id", "source_id")}
+    return {"entities": entities, "bills": bills, "sources": sources, "people": _people(people), "relationships": _edges(people)}
+
+
+def city_records(matters: DataFrame, sponsors: DataFrame, client: str) -> DataFrame:
+    """The city feed: matters with the distinct names of their (MatterId, MatterSponsorName) rows, in partitions by their entity.
+
+    Of a matter that the feed repeats the last row.
+    """
+    entity_id = X.natural_id(F.lit(client), F.col("MatterId"))
+    by = _dealt_out(sponsors.select("MatterId", "MatterSponsorName").where("MatterId IS NOT NULL"), entity_id)
+    named = by.groupBy("entity_id").agg(F.collect_set("MatterSponsorName").alias("sponsors"))
+    return last_of(_dealt_out(matters, entity_id), "entity_id").join(named, "entity_id", "left")
 
 
 def city_bills(matters: DataFrame, sponsors: DataFrame, client: str, place: str, county: str, run_at: Column) -> Tables:
-    """The city feed: matters and (MatterId, MatterSponsorName) rows; of a matter that the feed repeats the last row."""
-    rows = last_of(matters, "MatterId").withColumn("entity_id", X.natural_id(F.lit(client), F.col("MatterId"))).withColumn("source_id", X.natural_id(F.col("entity_id"), run_at))
+    """The tables of the city feed. Each is worked out on its own; to read the feed once, give kept ``city_records`` to ``city_tables``."""
+    return city_tables(city_records(matters, sponsors, client), client, place, county, run_at)
+
+
+def city_tables(records: DataFrame, client: str, place: str, county: str, run_at: Column) -> Tables:
+    rows = records.withColumn("source_id", X.natural_id(F.col("entity_id"), run_at))
     key = F.col("MatterId").cast("string")
     url = F.concat(F.lit(f"https://{client}.legistar.com/LegislationDetail.aspx?ID="), key)
     number = F.coalesce(F.col("MatterFile"), key)
@@ -132,9 +170,9 @@ def city_bills(matters: DataFrame, sponsors: DataFrame, client: str, place: str,
         F.lit("city").alias("geo_scope_type"), F.array(F.lit(county)).alias("geo_scope_names"),
     )
     about = F.to_json(F.struct(F.col("MatterId").alias("matter_id"), F.col("MatterTypeName").alias("matter_type")))
-    sources = _source(rows, run_at, url, F.col("MatterFile"), F.lit(f"{place} City Clerk (Legistar)"), "legistar_agenda", about)
-    people = _named_people(rows.join(sponsors, "MatterId"), F.col("MatterSponsorName"), place)
-    return {"entities": entities, "bills": bills, "sources": sources, "people": _people(people), "relationships": _edges(people), "source_of": rows.select("entity_id", "source_id")}
+    sources = _source(rows, run_at, url, F.col("MatterFile"), F.lit(f"{place} City Clerk (Legistar)"), "legistar_agenda", about, "entity_id")
+    people = _named_people(rows.select("entity_id", "source_id", F.explode("sponsors").alias("one")), F.col("one"), place)
+    return {"entities": entities, "bills": bills, "sources": sources, "people": _people(people), "relationships": _edges(people)}
 
 
 def _named_people(rows: DataFrame, name: Column, place: str) -> DataFrame:
@@ -171,10 +209,10 @@ def scraped_bills(pages: DataFrame, base_url: str, place: str, county: str, run_
         F.lit("iqm2").alias("source_system"), F.col("title").alias("description"), F.lit("city").alias("geo_scope_type"), F.array(F.lit(county)).alias("geo_scope_names"),
     )
     about = F.to_json(F.struct(F.col("page_id").alias("legi_file_id"), "type", "department"))
-    sources = _source(rows, run_at, url, F.col("number"), F.lit(f"{place} (Granicus iQM2)"), "iqm2_legislation", about)
+    sources = _source(rows, run_at, url, F.col("number"), F.lit(f"{place} (Granicus iQM2)"), "iqm2_legislation", about, "entity_id")
     named = rows.withColumn("one", F.explode(X.parts(F.col("sponsors"), ";")))
     people = _named_people(named, F.col("one"), place)
-    return {"entities": entities, "bills": bills, "sources": sources, "people": _people(people), "relationships": _edges(people), "source_of": rows.select("entity_id", "source_id")}
+    return {"entities": entities, "bills": bills, "sources": sources, "people": _people(people), "relationships": _edges(people)}
 
 
 def news(articles: DataFrame, stored: DataFrame, run_at: Column) -> Tables:

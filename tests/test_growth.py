@@ -72,3 +72,49 @@ def test_records_that_are_kept_are_not_parsed_again(spark):
     for name in plain:
         assert "ArrowEvalPython" not in plan(ours[name])
         assert sorted(map(str, ours[name].collect())) == sorted(map(str, plain[name].collect()))
+
+
+def test_records_of_a_run_are_shuffled_once(spark):
+    from pyspark.sql import functions as F
+
+    from gavel.operators import ingest
+    from gavel.plans.storage import kept
+    from gavel.sources import feeds
+
+    fields = ("MatterName", "MatterTitle", "MatterFile", "MatterTypeName", "MatterAgendaDate", "MatterIntroDate", "MatterPassedDate", "MatterBodyName", "MatterStatusName")
+    matters = spark.range(4).select(F.col("id").alias("MatterId"), *[F.lit(None).cast("string").alias(c) for c in fields])
+    by = spark.createDataFrame([(0, "Ann"), (0, "Ann"), (0, "Bo"), (1, None), (2, ""), (None, "Cy"), (9, "Di")], "MatterId long, MatterSponsorName string")
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as large tables have it
+    try:
+        with kept(feeds.city_records(matters, by, "town"), feeds.city_records(matters.union(matters), by, "town")) as found:
+            stored = ingest.none_stored(spark)
+            for records, day in zip(found, ("2026-03-01", "2026-03-02"), strict=True):
+                stored = ingest.ingested(stored, feeds.city_tables(records, "town", "Town", "County", F.lit(day).cast("timestamp")))
+            for name in ("bills", "relationships"):
+                first, second = (plan(df.select("entity_id")).count("Exchange hashpartitioning") for df in found)
+                assert plan(stored[name]).count("Exchange hashpartitioning") <= 2 * (first + second) + 1
+            assert {n: df.count() for n, df in stored.items()} == {"entities": 6, "bills": 4, "sources": 8, "relationships": 2}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_absent_rows_by_a_column_that_they_lie_by(spark):
+    from gavel.operators.upsert import absent
+
+    rows = spark.createDataFrame([("a", "x", 1), ("b", "x", 2), (None, "x", 3), ("c", "y", 4)], "id string, place string, n int")
+    stored = spark.createDataFrame([("a", "x"), (None, "x"), ("d", "y")], "id string, place string")
+    assert sorted(r.n for r in absent(rows, stored, ["id"], near="place").collect()) == [2, 3, 4]
+
+
+def test_a_repeated_bill_has_the_sponsors_of_all_its_rows(spark):
+    from pyspark.sql import functions as F
+
+    from gavel import schemas
+    from gavel.sources import feeds
+
+    listing = spark.createDataFrame([(k, "S", "t", "h", "9", None, None, "u") for k in (1, 2, None)], schemas.STATE_LISTING)
+    details = spark.createDataFrame([(k, "T", None, None, "h", 4, None, None, None, None, None, s) for k, s in ((1, [(5, "Ann", 1)]), (1, [(6, "Bo", 1)]), (2, None), (None, [(7, "Cy", 1)]))], schemas.STATE_DETAIL)
+    made = feeds.state_bills(listing, details, "FL", F.lit("2026-03-01").cast("timestamp"))
+    assert (made["bills"].count(), sorted(r.name for r in made["people"].collect()), made["relationships"].count()) == (2, ["Ann", "Bo"], 2)
