@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gavel.functions import scalars as X
 from gavel.operators import browse, claims, flags, geo, ingest
 from gavel.plans.catalogue import bills, links, query, t
-from gavel.plans.storage import dealt_out
+from gavel.plans.storage import dealt_out, kept
 from gavel.sources import feeds, html
 
 RUN_AT = "2026-03-05 10:00:00"
@@ -111,7 +111,7 @@ def recent_ids(spark: SparkSession, d: str) -> DataFrame:
 # feeds
 
 
-def _state(spark: SparkSession, d: str, rows: DataFrame, run_at=None) -> feeds.Tables:
+def _state_records(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
     k = F.col("o_orderkey")
     owned = rows.join(t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey")
     listing = owned.select(
@@ -130,14 +130,18 @@ def _state(spark: SparkSession, d: str, rows: DataFrame, run_at=None) -> feeds.T
             F.struct(F.lit(None).cast("bigint").alias("people_id"), F.col("c_name").alias("name"), F.lit(2).alias("sponsor_type_id")),
         ).alias("sponsors"),
     )
-    return feeds.state_bills(listing, details, "FL", run_at if run_at is not None else _run_at())
+    return feeds.state_records(listing, details)
+
+
+def _state(spark: SparkSession, d: str) -> feeds.Tables:
+    return feeds.state_tables(_state_records(spark, d, t(spark, d, "orders")), "FL", _run_at())
 
 
 @query("""SELECT CASE WHEN o_orderkey % 2 = 0 THEN 's ' ELSE 'H ' END || o_orderkey AS bill_number, CASE WHEN o_orderkey % 2 = 0 THEN 'Senate' ELSE 'House' END AS chamber,
 CASE WHEN o_orderkey % 5 = 0 THEN 'Passed' ELSE o_orderpriority END AS status, CASE WHEN o_orderkey % 4 <> 0 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS introduced,
 CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS last_action_date, 'listed' AS last_action, 'https://x.example/' || o_orderkey AS full_text_url FROM orders JOIN customer ON o_custkey = c_custkey""")
 def state_feed(spark: SparkSession, d: str) -> DataFrame:
-    made = _state(spark, d, t(spark, d, "orders"))["bills"]
+    made = _state(spark, d)["bills"]
     return made.select("bill_number", "chamber", "status", F.col("introduced_date").cast("string").alias("introduced"), F.col("last_action_date").cast("string").alias("last_action_date"), "last_action", "full_text_url")
 
 
@@ -145,7 +149,7 @@ def state_feed(spark: SparkSession, d: str) -> DataFrame:
 SELECT DISTINCT o_orderkey, 'sponsor' AS relationship_type, 'P' || o_orderkey % 10 AS person FROM orders JOIN customer ON o_custkey = c_custkey
 UNION ALL SELECT o_orderkey, 'co_sponsor', c_name FROM orders JOIN customer ON o_custkey = c_custkey) GROUP BY relationship_type""")
 def state_feed_sponsors(spark: SparkSession, d: str) -> DataFrame:
-    edges = _state(spark, d, t(spark, d, "orders"))["relationships"]
+    edges = _state(spark, d)["relationships"]
     return edges.groupBy("relationship_type").agg(F.count("*").alias("n"), F.count_distinct("from_entity_id").alias("people"))
 
 
@@ -158,14 +162,15 @@ def ingest_state(spark: SparkSession, d: str) -> DataFrame:
     rows = t(spark, d, "orders")
     before = rows.where("o_orderkey % 2 = 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 6 == 0, "old").otherwise(F.col("o_orderstatus")))
     early = F.lit("2026-03-01 10:00:00").cast("timestamp")
-    stored = ingest.ingested(ingest.none_stored(spark), _state(spark, d, before, early), "legiscan_change_hash")
-    after = ingest.ingested(stored, _state(spark, d, rows), "legiscan_change_hash")
     count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
-    late = after["sources"].where(F.col("retrieved_at") == _run_at())
-    found = count(late, "bills of the second run")
-    for name in ("bills", "entities", "sources", "relationships"):
-        found = found.union(count(after[name], name))
-    return found
+    with kept(*[_state_records(spark, d, r) for r in (before, rows)]) as (first, second):  # every table of both runs reads them
+        stored = ingest.ingested(ingest.none_stored(spark), feeds.state_tables(first, "FL", early), "legiscan_change_hash")
+        after = ingest.ingested(stored, feeds.state_tables(second, "FL", _run_at()), "legiscan_change_hash")
+        late = after["sources"].where(F.col("retrieved_at") == _run_at())
+        found = count(late, "bills of the second run")
+        for name in ("bills", "entities", "sources", "relationships"):
+            found = found.union(count(after[name], name))
+        return spark.createDataFrame(found.collect(), found.schema)
 
 
 @query("""SELECT CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey AS VARCHAR) ELSE 'F' || o_orderkey END AS bill_number, CASE WHEN o_orderkey % 4 = 0 THEN 'current' ELSE strftime(o_orderdate, '%Y') END AS session,
