@@ -18,6 +18,8 @@ from gavel.sources import feeds, html, landed
 from gavel.streaming import changes, upserts
 from gavel.streaming.batches import run_available
 
+#: Ids of one folder of landed pages.
+PAGES_PER_FOLDER = 1000
 EARLY, LATE = "2026-03-01 10:00:00", "2026-03-05 10:00:00"
 
 
@@ -185,13 +187,14 @@ def id_stream(spark: SparkSession, d: str) -> DataFrame:
     """Pages named by id, landed in three steps, each read by a stream that goes on where it ended; some come late, just below the newest."""
     folder, out, state = (scratch(spark, n) for n in ("pages", "out", "state"))
     k = F.col("o_orderkey")
-    rows = t(spark, d, "orders").where(k % 3 != 0).select(k, F.concat(k.cast("string"), F.lit(".html")).alias("name"), F.concat(F.lit("<p>"), "o_orderstatus").alias("body"))
+    rows = t(spark, d, "orders").where(k % 3 != 0).select(k, F.floor(k / PAGES_PER_FOLDER).alias("folder"), F.concat(F.lit("<p>"), "o_orderstatus").alias("body"))
     top = rows.agg(F.max("o_orderkey")).first()[0]
     late = (k <= top // 2) & (k > top // 2 - 4) & (k % 3 == 1)
+    rows = rows.withColumn("name", F.concat(F.col("folder").cast("string"), F.lit("/"), k.cast("string"), F.lit(".html")))
     landed.register(spark)
     for step in ((k <= top // 2) & ~late, late | (k == top // 2 + 1), k > top // 2):
-        landed_files(rows.where(step).select("name", "body"), folder)
-        run_available(spark.readStream.format("id_space").option("start", 5).load(folder), out, state)
+        landed_files(dealt_out(rows.where(step), "folder"), folder)  # each folder is one task's
+        run_available(spark.readStream.format("id_space").option("start", 5).option("idsPerFolder", PAGES_PER_FOLDER).load(folder), out, state)
     return spark.read.schema("page_id bigint, html string").parquet(out)
 
 

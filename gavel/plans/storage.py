@@ -52,12 +52,16 @@ def kept(*tables: DataFrame) -> Iterator[list[DataFrame]]:
 
 
 def landed_files(files: DataFrame, folder: str) -> None:
-    """Write each row's ``body``, text or bytes, to the file of its ``name`` in a mounted folder, inside tasks."""
+    """Write each row's ``body``, text or bytes, to the file of its ``name``, which may begin with a folder, in a mounted folder, inside tasks."""
     path = local(folder)
     os.makedirs(path, exist_ok=True)
 
     def put(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made = {""}
         for part in parts:
+            for inner in {os.path.dirname(name) for name in part["name"]} - made:
+                os.makedirs(os.path.join(path, inner), exist_ok=True)
+                made.add(inner)
             for name, body in zip(part["name"], part["body"], strict=True):
                 with open(os.path.join(path, name), "wb") as f:
                     f.write(body.encode() if isinstance(body, str) else body)

@@ -39,6 +39,9 @@ FIELDS = ("url", "title", "domain", "language", "sourcecountry", "seendate")
 SEEN = "%Y%m%dT%H%M%SZ"
 ARTICLES = "file string, position int, entity_id string, url string, title string, domain string, language string, sourcecountry string, seendate string, seen_at timestamp, error string"
 
+#: Parts of one batch of ids, beyond which each takes more record batches: a task and a file for every few rows cost more than the rows.
+MOST_PARTS = 256
+
 
 def local(path: str) -> str:
     """The path of a ``file:`` address or of a plain path."""
@@ -159,36 +162,49 @@ class _IdReader(DataSourceStreamReader):
 
     def __init__(self, options: dict):
         self.folder, self.start, self.back = local(options["path"]), int(options.get("start", 1)), int(options.get("back", 5))
+        self.grouped = int(options.get("idsPerFolder", 0))
         self.split, self.mark = int(options.get("rowsPerPartition", 1000)), int(options.get("start", 1)) - 1
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {"mark": self.start - 1, "there": []}
 
     def latestOffset(self) -> dict:  # noqa: N802
-        names = (re.fullmatch(r"(\d+)\.html", n) for n in os.listdir(self.folder))
-        here = sorted(k for m in names if m and (k := int(m[1])) >= max(self.start, self.mark - self.back + 1))
+        least = max(self.start, self.mark - self.back + 1)
+        names = (re.fullmatch(r"(\d+)\.html", n) for folder in self._folders(least) for n in os.listdir(folder))
+        here = sorted(k for m in names if m and (k := int(m[1])) >= least)
         return {"mark": max([self.mark, *here]), "there": ranges(here)}
 
+    def _folders(self, least: int) -> list[str]:
+        """Where pages from the id ``least`` on may lie; folders of lower ids aren't listed again."""
+        if not self.grouped:
+            return [self.folder]
+        return [os.path.join(self.folder, n) for n in os.listdir(self.folder) if n.isdecimal() and int(n) >= least // self.grouped]
+
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         self.mark = end["mark"]
         given = {k for a, b in start["there"] for k in range(max(a, start["mark"] - self.back + 1), b + 1)}
         new = [k for a, b in end["there"] for k in range(max(a, start["mark"] - self.back + 1), b + 1) if k not in given]
-        return [_Ids([str(k) for k in new[n : n + self.split]]) for n in range(0, len(new), self.split)]
+        size = -(-max(len(new), 1) // (self.split * MOST_PARTS)) * self.split  # whole record batches
+        return [_Ids([str(k) for k in new[n : n + size]]) for n in range(0, len(new), size)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        ids = [int(k) for k in partition.value]
-        pages = []
-        for k in ids:
-            with open(os.path.join(self.folder, f"{k}.html"), encoding="utf-8", errors="replace") as f:
-                pages.append(f.read())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pages, pa.string())], names=["page_id", "html"])
+        for n in range(0, len(partition.value), self.split):
+            ids = [int(k) for k in partition.value[n : n + self.split]]
+            pages = []
+            for k in ids:
+                with open(os.path.join(self.folder, str(k // self.grouped) if self.grouped else "", f"{k}.html"), encoding="utf-8", errors="replace") as f:
+                    pages.append(f.read())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pages, pa.string())], names=["page_id", "html"])
 
     def commit(self, end: dict) -> None:
         pass
 
 
 class IdSpace(DataSource):
-    """``spark.readStream.format("id_space").option("start", k).load(folder)``: pages named by their id, ``<id>.html``."""
+    """``spark.readStream.format("id_space").option("start", k).load(folder)``: pages named by their id, ``<id>.html``.
+
+    With ``idsPerFolder`` n, page k lies in the folder k // n: files of one folder are made one after the other, whoever makes them.
+    """
 
     @classmethod
     def name(cls) -> str:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gavel.operators import attempts, upsert
 from gavel.operators.commits import Store
+from gavel.plans.storage import landed_files
 from gavel.sources import files, landed
 from gavel.streaming import changes
 from gavel.streaming.batches import run_available
@@ -99,6 +100,35 @@ def test_a_replayed_batch_of_ids_is_the_same(tmp_path):
     assert ids(again.partitions(later, again.latestOffset())) == []
 
 
+def test_many_ids_make_few_parts_of_bounded_record_batches(tmp_path, monkeypatch):
+    monkeypatch.setattr(landed, "MOST_PARTS", 3)
+    put(str(tmp_path), *range(1, 21))
+    reader = landed._IdReader({"path": str(tmp_path), "rowsPerPartition": "2"})
+    parts = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    assert [len(p.value) for p in parts] == [8, 8, 4]
+    batches = [b for p in parts for b in reader.read(p)]
+    assert {b.num_rows for b in batches} == {2} and [k for b in batches for k in b.column(0).to_pylist()] == list(range(1, 21))
+
+
+def test_pages_in_folders_by_id_are_listed_from_the_mark_on(spark, tmp_path):
+    folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+
+    def land_pages(*ids):
+        landed_files(spark.createDataFrame([(f"{k // 10}/{k}.html", f"<p>{k}") for k in ids], "name string, body string"), folder)
+
+    def run():
+        run_available(spark.readStream.format("id_space").option("idsPerFolder", 10).load(folder), out, state)
+        return rows(spark.read.parquet(out), "page_id", "html")
+
+    want = lambda *ids: sorted([(k, f"<p>{k}") for k in ids], key=str)
+    land_pages(1, 9, 10, 31)
+    assert run() == want(1, 9, 10, 31)
+    land_pages(12, 28, 30, 40)  # 12 is too far below the mark
+    assert run() == want(1, 9, 10, 31, 28, 30, 40)
+    reader = landed._IdReader({"path": folder, "idsPerFolder": "10"})
+    assert sorted(os.path.basename(f) for f in reader._folders(30)) == ["3", "4"]
+
+
 @pytest.fixture
 def rocks(spark):
     provider = "spark.sql.streaming.stateStore.providerClass"
